@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlattice.llm import frequent, quantiles
+from rowlattice.llm import frequent, leakage, mixing, quantiles
 
 PERCENTS = [5, 25, 50, 75, 95, 99]
 
@@ -57,7 +57,38 @@ def p5_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(F.split("g", " ")[0].alias("colname"), F.split("g", " ")[1].alias("month"), F.col("pct").cast("int").alias("pct"), "n", "rows")
 
 
-QUERIES = {"p2_found": p2_found, "p2_top20": p2_top20, "p5_found": p5_found, "p5_monthly": p5_monthly}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_shares(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the share of their words that a document holds."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/eval_items.parquet").select("item_id", "text")
+    return leakage.leaked_items(documents, items)
+
+
+def p6_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that leaked, by suite, and in how many documents."""
+    suites = spark.read.parquet(f"{sf_dir}/eval_items.parquet").select("item_id", "suite")
+    return p6_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs")).join(suites, "item_id").select("item_id", "suite", "n_docs")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/source_targets.parquet")
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture itself: whole documents, repeated and shuffled."""
+    return mixing.mixture(*_corpus(spark, sf_dir)).documents
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: tokens there were, target share, rate, share reached."""
+    return mixing.mixture(*_corpus(spark, sf_dir)).report
+
+
+QUERIES = {"p2_found": p2_found, "p2_top20": p2_top20, "p5_found": p5_found, "p5_monthly": p5_monthly, "p6_found": p6_found, "p6_shares": p6_shares, "p6_leaked_items": p6_leaked_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 
 _STRINGS = """WITH r AS (SELECT DISTINCT ON (row_id) colname, str FROM enum_rows),
 d AS (SELECT DISTINCT ON (describe_id) colname, enums['value'] AS m FROM describes),
