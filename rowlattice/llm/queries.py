@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlattice.llm import frequent, leakage, mixing, quantiles
+from rowlattice.llm import frequent, language, leakage, mixing, quantiles
 
 PERCENTS = [5, 25, 50, 75, 95, 99]
 
@@ -88,7 +88,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(*_corpus(spark, sf_dir)).report
 
 
-QUERIES = {"p2_found": p2_found, "p2_top20": p2_top20, "p5_found": p5_found, "p5_monthly": p5_monthly, "p6_found": p6_found, "p6_shares": p6_shares, "p6_leaked_items": p6_leaked_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language and segments, with their confidence."""
+    return language.label_languages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.corrections(p8_languages(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_top20": p2_top20, "p5_found": p5_found, "p5_monthly": p5_monthly, "p6_found": p6_found, "p6_shares": p6_shares, "p6_leaked_items": p6_leaked_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
 
 _STRINGS = """WITH r AS (SELECT DISTINCT ON (row_id) colname, str FROM enum_rows),
 d AS (SELECT DISTINCT ON (describe_id) colname, enums['value'] AS m FROM describes),
