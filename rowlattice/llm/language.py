@@ -361,12 +361,13 @@ def read_batches(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iter
 
 
 def fit_on(documents: DataFrame, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on ``per_language`` labelled documents of each language, by hash."""
+    """Fit on ``per_language`` labelled documents of each language, by hash;
+    those of more than 100,000 characters are left out of the sample."""
     labelled = documents.select(F.col(doc_id).alias("d"), label_code(F.col(lang)).alias("c")).where(F.col("c").isNotNull() & F.col("d").isNotNull())
     by_code = Window.partitionBy("c").orderBy(F.xxhash64(F.lit(17), "d"), "d")
     chosen = labelled.withColumn("__place", F.row_number().over(by_code)).where(F.col("__place") <= per_language)
     texts = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "d").select("d", "c", F.substring("t", 1, 100_000).alias("t")).collect()
+    rows = texts.where(F.length("t") <= 100_000).join(F.broadcast(chosen), "d").select("d", "c", "t").collect()
     return fit([(r["t"], r["c"]) for r in sorted(rows, key=lambda r: (str(r["d"]), r["t"] or ""))])
 
 
