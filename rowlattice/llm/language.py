@@ -231,7 +231,8 @@ def cleaned(coded: list[np.ndarray], given: np.ndarray, labels: int, passes: int
         share = np.log((counts + 0.3) / (counts.sum(0) + 0.3 * size)) * common[:, None]
         score = np.zeros((len(coded), labels))
         np.add.at(score, owner, share[words])
-        truth = score.argmax(1)
+        told = np.bincount(owner, common[words], len(coded)) > 0
+        truth = np.where(told, score.argmax(1), given)
     return truth
 
 
@@ -256,6 +257,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
     pool = [(list(words), int(v.argmax())) for words, v in votes.items()]
     if not pool:
         return None
+    rounds = max(rounds, min(100, 20_000 // len(pool)))  # as many steps for a small sample
     k = len(labels)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in pool for w in s[0]))}
     table = feature_table(list(vocabulary))

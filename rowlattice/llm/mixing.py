@@ -147,13 +147,15 @@ def mixture(
     the ends are one source; documents without source or with one that has no
     target, and texts that are null or empty, are not in the mixture (the
     report names the former); a target without documents reaches no share; a
-    share or cap that is null, zero or negative gives nothing; repeated
+    share or cap that is null, zero or negative gives nothing; a column
+    ``copy_no`` of the input is replaced; repeated
     targets of a source: the greatest share and cap; documents with the same
     id share their number of copies; empty tables give an empty mixture.
     """
     spark = documents.sparkSession
     ship_package(spark)
-    cleaned = documents.withColumn(source, clean_source(F.col(source)))
+    kept_columns = [c for c in documents.columns if c not in ("copy_no", "__cdf", "__u", "__copies", "__place", "__source")]
+    cleaned = documents.select(*kept_columns).withColumn(source, clean_source(F.col(source)))
     sizes = cleaned.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), F.col(text).alias("t"))
     kinds = {f.name: f.dataType.simpleString() for f in sizes.schema.fields}
     counted = materialize(sizes.mapInArrow(lambda it: count_tokens(it, vocabulary, pattern), f"source string, id {kinds['id']}, n_tokens bigint"))
@@ -175,16 +177,16 @@ def mixture(
 
     def copies(frame: DataFrame, id_column: str, source_column: str) -> DataFrame:
         draw = unit(F.lit(seed), F.col(id_column))
-        joined = frame.join(thresholds.withColumnRenamed("source", "__source"), F.col(source_column) == F.col("__source")).drop("__source")
+        joined = frame.join(thresholds.toDF("__source", "__cdf"), F.col(source_column) == F.col("__source")).drop("__source")
         drawn = joined.withColumn("__u", draw)
-        return drawn.withColumn("__copies", F.size(F.filter("cdf", lambda c: F.col("__u") >= c))).drop("cdf", "__u")
+        return drawn.withColumn("__copies", F.size(F.filter("__cdf", lambda c: F.col("__u") >= c))).drop("__cdf", "__u")
 
     kept = copies(cleaned.where(F.length(text) > 0), doc_id, source).where(F.col("__copies") > 0)
     repeated = kept.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
     place = F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.col("copy_no"))
     shuffled = repeated.withColumn("__place", place).repartition("__place").sortWithinPartitions("__place").drop("__place")
 
-    reached = copies(counted, "id", "source").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("__copies")).alias("mixed"), F.sum("__copies").cast("bigint").alias("copies"))
+    reached = copies(counted.where("n_tokens > 0"), "id", "source").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("__copies")).alias("mixed"), F.sum("__copies").cast("bigint").alias("copies"))
     full = planned.join(reached, planned["source"].eqNullSafe(reached["source"]), "left").select(planned["source"], "documents", "tokens", "share", "cap", "scaled", "rate", F.coalesce("mixed", F.lit(0)).alias("mixed"), F.coalesce("copies", F.lit(0)).alias("copies"))
     full = materialize(full)
     whole = full.agg(F.sum("mixed")).first()[0] or 0
