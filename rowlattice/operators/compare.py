@@ -151,7 +151,7 @@ def multiset_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return found.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(left.columns)], "n_left", "n_right")
 
 
-def ordered_differences(left: DataFrame, right: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+def ordered_differences(left: DataFrame, right: DataFrame, order: Sequence[str] | None = None, nan_differs: bool = False) -> DataFrame:
     """Rows that differ place by place: row_index, the left and the right row.
 
     Places are those in ``order``, or in which the frames deliver their rows;
@@ -162,7 +162,12 @@ def ordered_differences(left: DataFrame, right: DataFrame, order: Sequence[str]
     columns = [F.col(quoted(c)) for c in left.columns]
     x = a.select("row_index", F.struct(*columns).alias("left"))
     y = b.select("row_index", F.struct(*columns).alias("right"))
-    return x.join(y, "row_index", "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))
+    unequal = ~F.col("left").eqNullSafe(F.col("right"))
+    if nan_differs:
+        for f in left.schema.fields:
+            if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+                unequal = unequal | F.coalesce(F.isnan(F.col(f"left.{quoted(f.name)}")), F.lit(False))
+    return x.join(y, "row_index", "full_outer").where(unequal)
 
 
 @dataclass(frozen=True)
@@ -267,7 +272,7 @@ def assert_equal(actual: DataFrame, expected: DataFrame, *, ordered: bool = True
         return
     found = []
     wanted = policy.max_row_error if policy.max_row_error > 0 else None
-    for row in ordered_differences(actual, expected, order).orderBy("row_index").toLocalIterator():
+    for row in ordered_differences(actual, expected, order, approx > 0).orderBy("row_index").toLocalIterator():
         left, right = (None if x is None else x.asDict(recursive=True) for x in (row["left"], row["right"]))
         changes = compare_values(left or {}, right or {}, approx)
         if changes or left is None or right is None:

@@ -450,8 +450,9 @@ def run(df: DataFrame, query: Query, strict: bool = False) -> DataFrame:
         columns = []
         for name, e in branch.columns:
             typed = compiler.compile(e)
-            columns.append((typed.column if typed.kind is not None else F.lit(None).cast("string")).alias(name))
-        part = rows.select(*columns)
+            # a name of its own first: a lambda would take an output for an input
+            columns.append((typed.column if typed.kind is not None else F.lit(None).cast("string")).alias(f"__out{len(columns)}"))
+        part = rows.select(*columns).toDF(*[name for name, _ in branch.columns])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

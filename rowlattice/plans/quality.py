@@ -7,6 +7,7 @@ and aggregations; all of it is columns, so Catalyst sees the whole plan.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -72,21 +73,31 @@ def has_warning(notes: Column | str = NAME) -> Column:
 
 @dataclass(frozen=True)
 class Checked:
-    """A column, the notes made on the way to it, and the fields it came from."""
+    """A column, the notes made on the way to it, and the fields it came from.
+
+    ``stages`` are columns that must be there first: calls of Python.
+    """
 
     column: Column
     notes: tuple[Column, ...] = ()
     fields: frozenset[str] = frozenset()
+    stages: tuple[tuple[str, Column], ...] = ()
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        for name, column in self.stages:
+            if name not in df.columns:
+                df = df.withColumn(name, column)
+        return df
 
     def all_notes(self) -> Column:
         return F.concat(*self.notes) if self.notes else none()
 
     def map(self, f: Callable[[Column], Column]) -> Checked:
-        return Checked(f(self.column), self.notes, self.fields)
+        return Checked(f(self.column), self.notes, self.fields, self.stages)
 
     def combine(self, other: Checked | object, f: Callable[[Column, Column], Column]) -> Checked:
         other = other if isinstance(other, Checked) else Checked(other if isinstance(other, Column) else F.lit(other))
-        return Checked(f(self.column, other.column), self.notes + other.notes, self.fields | other.fields)
+        return Checked(f(self.column, other.column), self.notes + other.notes, self.fields | other.fields, self.stages + other.stages)
 
     def __add__(self, other) -> Checked:
         return self.combine(other, lambda a, b: a + b)
@@ -101,7 +112,7 @@ class Checked:
         """No value, and an error, where the condition is not true of it."""
         bad = ~F.coalesce(condition(self.column), F.lit(False)) & self.column.isNotNull()
         note = F.when(bad, F.array(annotation(message, True))).otherwise(none())
-        return Checked(F.when(~bad, self.column), (*self.notes, note), self.fields)
+        return Checked(F.when(~bad, self.column), (*self.notes, note), self.fields, self.stages)
 
     def result(self) -> Column:
         """``struct(value, annotations)``."""
@@ -145,7 +156,7 @@ class Rule:
             holds = F.coalesce(condition(source.column), F.lit(False))
             notes = F.when(holds, F.array(annotation(message, is_error))).otherwise(notes)
             value = F.when(holds, F.lit(None) if is_error else source.column).otherwise(value)
-        return Checked(value, (*source.notes, notes), source.fields)
+        return Checked(value, (*source.notes, notes), source.fields, source.stages)
 
 
 def python_rule(f: Callable, returns: str) -> Callable[[Checked | str], Checked]:
@@ -154,13 +165,14 @@ def python_rule(f: Callable, returns: str) -> Callable[[Checked | str], Checked]
     Values travel in Arrow batches; prefer :class:`Rule` where columns can say it.
     """
     kind = T._parse_datatype_string(f"value {returns}, notes array<struct<message:string,isError:boolean>>")
-    call = F.udf(f, kind, useArrow=True)
+    call = F.udf(f, kind, useArrow=True).asNondeterministic()  # called once a row, never moved
 
     def apply(source: Checked | str) -> Checked:
         source = read(source) if isinstance(source, str) else source
-        made = call(source.column)
+        name = f"__rule_{uuid.uuid4().hex}"
+        made = F.col(name)
         notes = F.transform(F.coalesce(made["notes"], F.array().cast("array<struct<message:string,isError:boolean>>")), lambda n: annotation(n["message"], n["isError"]))
-        return Checked(made["value"], (*source.notes, notes), source.fields)
+        return Checked(made["value"], (*source.notes, notes), source.fields, (*source.stages, (name, call(source.column))))
 
     return apply
 
@@ -203,14 +215,17 @@ class QualityFrame:
 
     def select(self, **columns: Checked | Column | str) -> QualityFrame:
         """New columns; the notes made for each are added to the row's."""
-        notes, out = [F.col(NAME)], []
+        notes, out, df = [F.col(NAME)], [], self.df
         for name, given in columns.items():
             checked = given if isinstance(given, Checked) else read(given) if isinstance(given, str) else Checked(given)
-            out.append(checked.column.alias(name))
+            df = checked.staged(df)
+            # names of their own until all is resolved: a lambda would take an
+            # output of the same name for the input
+            out.append(checked.column.alias(f"__out{len(out)}"))
             if checked.notes:
                 notes.append(located(checked.all_notes(), name, sorted(checked.fields)))
         merged = fuse(F.concat(*notes)) if len(notes) > 1 else F.col(NAME)
-        return QualityFrame(self.df.select(*out, merged.alias(NAME)))
+        return QualityFrame(df.select(*out, merged.alias("__notes")).toDF(*columns, NAME))
 
     def where(self, condition: Column | str) -> QualityFrame:
         return QualityFrame(self.df.where(condition))
@@ -257,15 +272,15 @@ class Grouped:
         combined aggregate per group and kind, so a group of any size is fine.
         """
         keys = [F.col(quoted(k)) for k in self.keys]
-        notes, columns = [F.col(NAME)], []
+        notes, columns, df = [F.col(NAME)], [], self.frame.df
         for name, given in aggregates.items():
             if isinstance(given, Checked):
+                df = given.staged(df)
                 columns.append(given.column.alias(name))
                 if given.notes:
                     notes.append(located(given.all_notes(), name, sorted(given.fields)))
             else:
                 columns.append(given.alias(name))
-        df = self.frame.df
         totals = df.groupBy(*keys).agg(*columns)
         single = df.select(*keys, F.explode(F.concat(*notes)).alias("n")).select(*keys, "n.*")
         counted = single.groupBy(*keys, "message", "onField", "fromFields", "isError").agg(F.sum("count").alias("count"))
