@@ -49,7 +49,8 @@ def fuse(notes: Column) -> Column:
         total = F.aggregate(F.filter(notes, lambda x: same(x, k)), F.lit(0).cast("bigint"), lambda a, x: a + x["count"])
         return F.struct(k["message"].alias("message"), k["onField"].alias("onField"), k["fromFields"].alias("fromFields"), k["isError"].alias("isError"), total.alias("count"))
 
-    return F.coalesce(F.transform(kinds, summed).cast(f"array<{ANNOTATION}>"), none())
+    many = F.transform(kinds, summed).cast(f"array<{ANNOTATION}>")
+    return F.coalesce(F.when(F.size(notes) < 2, notes).otherwise(many), none())
 
 
 def located(notes: Column, on_field: str, from_fields: Sequence[str]) -> Column:
