@@ -101,8 +101,8 @@ def sentences(text: str | None) -> list[tuple[int, int, list[str], bool]]:
             piece = found.group()
             tokens = _WORD.findall(piece)
             if tokens:
-                letters = [w for w in tokens if not w.isdigit()]
-                full = piece.rstrip("\"'»”)] \n\t")[-1:] in (".", "!", "?") and len(letters) >= FULL and sum(map(len, letters)) <= 14 * len(letters)
+                letters = len(tokens) - sum(map(str.isdigit, tokens))
+                full = letters >= FULL and piece.rstrip("\"'»”)] \n\t")[-1:] in (".", "!", "?") and sum(map(len, tokens)) <= 14 * len(tokens)
                 out.append((found.start(), found.end(), tokens, full))
         if gap:
             at = gap.end()
@@ -178,32 +178,31 @@ class Model:
             self.scores[start : start + len(fresh)] = rows
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def chances(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """For each text, the chances of each language at each word."""
+    def chances(self, texts: list[list[str]]) -> np.ndarray:
+        """The chances of each language at each word of all texts, end to end."""
         every = [w for t in texts for w in t]
+        out = np.zeros((len(every), len(self.labels)), np.float32)
         if not every:
-            return [np.zeros((0, len(self.labels)), np.float32) for _ in texts]
+            return out
         numbers = self.number(every)
         ends = np.cumsum([len(t) for t in texts])
-        parts = []  # (text, from, to, first to keep)
-        for i, (end, t) in enumerate(zip(ends, texts)):
+        parts = []  # (from, to, first to keep, end of what is kept)
+        for end, t in zip(ends, texts):
             begin = end - len(t)
             for at in range(0, len(t), PIECE):
                 low, high = max(0, at - SHARED), min(len(t), at + PIECE + SHARED)
-                parts.append((i, begin + low, begin + high, at - low, min(len(t), at + PIECE) - low))
-        parts.sort(key=lambda p: p[1] - p[2])
-        out = [np.zeros((len(t), len(self.labels)), np.float32) for t in texts]
+                parts.append((begin + low, begin + high, at - low, min(len(t), at + PIECE) - low))
+        parts.sort(key=lambda p: p[0] - p[1])
         moves = np.exp(self.moves).astype(np.float32)
         for first in range(0, len(parts), 512):
             some = parts[first : first + 512]
-            lengths = np.array([p[2] - p[1] for p in some])
+            lengths = np.array([p[1] - p[0] for p in some])
             rows = np.zeros((lengths[0], len(some)), np.int64)
-            for column, (_, begin, end, _, _) in enumerate(some):
+            for column, (begin, end, _, _) in enumerate(some):
                 rows[: end - begin, column] = numbers[begin:end]
             gamma, _ = forward_backward(self.scores[rows], lengths, moves)
-            for column, (i, begin, _, skip, stop) in enumerate(some):
-                offset = begin - (ends[i] - len(texts[i]))
-                out[i][offset + skip : offset + stop] = gamma[skip:stop, column]
+            for column, (begin, _, skip, stop) in enumerate(some):
+                out[begin + skip : begin + stop] = gamma[skip:stop, column]
         return out
 
 
@@ -260,10 +259,12 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
     rounds = max(rounds, min(100, 20_000 // len(pool)))  # as many steps for a small sample
     k = len(labels)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in pool for w in s[0]))}
-    table = feature_table(list(vocabulary))
+    # only features of the sample's words are fitted; place 0 is no feature
+    used, places = np.unique(np.append(0, feature_table(list(vocabulary))), return_inverse=True)
+    table = places[1:].reshape(-1, FEATURES)
     coded = [np.array([vocabulary[w] for w in s[0]]) for s in pool]
     truth = cleaned(coded, np.array([s[1] for s in pool]), k)
-    weights, moves = np.zeros((BUCKETS, k)), np.eye(k) * 2.0
+    weights, moves = np.zeros((len(used), k)), np.eye(k) * 2.0
     state = [np.zeros_like(weights), np.zeros_like(moves)]
     mean_weights, mean_moves, steps = np.zeros_like(weights), np.zeros_like(moves), 0
     for turn in range(rounds):
@@ -313,31 +314,34 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
                 mean_weights += weights
                 mean_moves += moves
                 steps += 1
-    return Model(labels, (mean_weights / steps).astype(np.float32), mean_moves / steps)
+    fitted = np.zeros((BUCKETS, k), np.float32)
+    fitted[used] = mean_weights / steps
+    return Model(labels, fitted, mean_moves / steps)
 
 
 def read(texts: list[str | None], model: Model) -> list[tuple[str | None, float, list[tuple]]]:
     """(language, confidence, segments) of each text."""
     parsed = [sentences(t) for t in texts]
-    chances = model.chances([[w for s in p for w in s[2]] for p in parsed])
-    out = []
-    for found, gamma in zip(parsed, chances):
+    gamma = model.chances([[w for s in p for w in s[2]] for p in parsed])
+    lengths = np.array([len(s[2]) for p in parsed for s in p], np.int64)
+    sums = np.add.reduceat(gamma, np.cumsum(lengths) - lengths) if len(lengths) else gamma
+    bests = sums.argmax(1)
+    means = (sums[np.arange(len(bests)), bests] / np.maximum(lengths, 1)).tolist()
+    out, at = [], 0
+    for found in parsed:
         votes = np.zeros(len(model.labels))
         segments: list[list] = []
-        at = 0
         for begin, end, tokens, full in found:
-            mean = gamma[at : at + len(tokens)].mean(0)
-            at += len(tokens)
+            best, mean, row, at = int(bests[at]), means[at], at, at + 1
             if not full:
                 continue
-            best = int(mean.argmax())
-            votes += mean * len(tokens)
-            code = model.labels[best] if mean[best] >= CERTAIN else None
+            votes += sums[row]
+            code = model.labels[best] if mean >= CERTAIN else None
             if segments and segments[-1][2] == code:
                 last = segments[-1]
-                last[1], last[3], last[4], last[5] = end, last[3] + 1, last[4] + len(tokens), last[5] + float(mean[best]) * len(tokens)
+                last[1], last[3], last[4], last[5] = end, last[3] + 1, last[4] + len(tokens), last[5] + mean * len(tokens)
             else:
-                segments.append([begin, end, code, 1, len(tokens), float(mean[best]) * len(tokens)])
+                segments.append([begin, end, code, 1, len(tokens), mean * len(tokens)])
         whole = votes.sum()
         best = int(votes.argmax())
         out.append((model.labels[best] if whole else None, float(votes[best] / whole) if whole else 0.0, [(a, b, c, n, w, s / w) for a, b, c, n, w, s in segments]))

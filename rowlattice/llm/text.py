@@ -18,7 +18,7 @@ _TABLE = re.compile(r"^\{\|.*?^\|\}", re.S | re.M)
 _TABLE_LINE = re.compile(r"^(?:\{\|.*|\|-.*|\|\}|[|!](?:[^|\n\[\]{}]{0,60}=[^|\n]{0,60}\|(?!\|))?)|\|\||!!", re.M)
 _HEADING = re.compile(r"^=+[^=\n]*=+[ \t]*$", re.M)
 _QUOTES = re.compile(r"'{2,}")
-_HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_HIDDEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WORD = re.compile(r"\w+")
 _SPACES = re.compile(r"[^\S\n]")
 
@@ -71,7 +71,7 @@ def plain(text: str, tables: bool = True) -> str:
     if "__" in text:
         text = _MAGIC.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_HIDDEN))
+        text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
     return text
 
 
