@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowlattice.operators.versions import quoted
+from rowlattice.session import materialize
 
 
 def cogroup(frames: Mapping[str, tuple[DataFrame, Sequence[str]]], names: Sequence[str] | None = None) -> DataFrame:
@@ -134,5 +135,12 @@ def indexed(df: DataFrame, name: str = "row_index", order: Sequence[str] | None
     """
     if order:
         df = df.repartitionByRange(*[F.col(quoted(c)) for c in order]).sortWithinPartitions(*[F.col(quoted(c)) for c in order])
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    # the id holds the partition and the place in it, written once for good
+    marked = materialize(df.withColumn("__id", F.monotonically_increasing_id()))
+    partition, place = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = marked.groupBy(partition.alias("__partition")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__partition").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__partition", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    # one row a partition
+    joined = marked.withColumn("__in", partition).join(F.broadcast(starts), F.col("__in") == F.col("__partition"))
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], (F.col("__start") + place).alias(name))

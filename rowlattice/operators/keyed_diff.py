@@ -172,9 +172,13 @@ def error_fact(a: Column, b: Column, kind: T.DataType, name: str) -> Column:
     return nulls.otherwise(_fact(name, "error", "nUnsupported"))
 
 
-def statistics(classes: DataFrame) -> DataFrame:
+def statistics(classes: DataFrame, coarse: bool = False) -> DataFrame:
     """All statistics in long form: one aggregate over the classified pairs.
 
+    ``coarse`` puts numbers into their buckets (:func:`bucket_floor`) before
+    the aggregate, so that the shuffle is bounded for them as well; whole
+    numbers below ``2 ** BITS`` and zero stay as they are.
+
     Columns: section, diff_set, column, role (left, right, error or pair),
     metric, the key in one of ``key_str`` (and ``key_other``), ``key_long``
     and ``key_double``, and ``n``. Metrics of role pair are nEqual, nNotEqual.
@@ -192,6 +196,10 @@ def statistics(classes: DataFrame) -> DataFrame:
         ]
     every = F.filter(F.array(*facts), lambda x: x.isNotNull()) if facts else F.array().cast(f"array<{STATISTIC}>")
     long_form = classes.select("section", F.array_join(F.array_sort("diff_set"), ",").alias("diff_set"), F.inline(every))
+    if coarse:
+        number = F.coalesce(F.col("key_long").cast("double"), F.col("key_double"))
+        rounded = F.when(F.isnan(number), number).otherwise(bucket_floor(number))
+        long_form = long_form.withColumn("key_double", rounded).withColumn("key_long", F.lit(None).cast("bigint"))
     return long_form.groupBy(*GROUP, "key_str", "key_other", "key_long", "key_double").agg(F.count(F.lit(1)).alias("n"))
 
 

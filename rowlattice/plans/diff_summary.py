@@ -39,7 +39,7 @@ class Histogram:
 
     def span(self, key: float) -> tuple[float, float]:
         """The least and greatest number that a key may stand for."""
-        if not self.large or key == 0 or math.isnan(key):
+        if not self.large or key == 0:
             return key, key
         step = 2.0 ** (math.floor(math.log2(abs(key))) - (kd.BITS - 1))
         far = abs(key) + step
@@ -202,8 +202,12 @@ class DiffSummary:
         return out
 
 
-def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int = MAX_SETS, sources: dict | None = None, seed: int = 0) -> DiffSummary:
-    """Collect the bounded statistics of classified pairs."""
+def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int = MAX_SETS, sources: dict | None = None, seed: int = 0, coarse: bool = False) -> DiffSummary:
+    """Collect the bounded statistics of classified pairs.
+
+    ``coarse`` makes every histogram of numbers approximate from the start;
+    choose it where columns have very many distinct numbers.
+    """
     out = DiffSummary(columns=[f.name for f in kd.compared_columns(classes)])
     if sources:
         out.sources = sources
@@ -216,7 +220,7 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
             out.rows_equal = out.equal_rows.count = row["n"]
         else:
             (out.left_only if row["section"] == "outer_left" else out.right_only).count = row["n"]
-    for row in kd.bounded(kd.statistics(classes), exact_keys).toLocalIterator():
+    for row in kd.bounded(kd.statistics(classes, coarse), exact_keys).toLocalIterator():
         section, column, role = row["section"], row["column"], row["role"]
         if section == "inner_diff":
             delta = out.by_set[_set(row["diff_set"], names)].by_column.setdefault(column, Delta())
@@ -226,21 +230,26 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
                 else:
                     delta.n_not_equal += row["n"]
             else:
-                _put(getattr(delta, role), row)
+                _put(getattr(delta, role), row, coarse)
         elif section == "inner_equal":
             if role == "left":
-                _put(out.equal_rows.by_column.setdefault(column, Describe()), row)
+                _put(out.equal_rows.by_column.setdefault(column, Describe()), row, coarse)
         else:
-            _put((out.left_only if section == "outer_left" else out.right_only).by_column.setdefault(column, Describe()), row)
+            _put((out.left_only if section == "outer_left" else out.right_only).by_column.setdefault(column, Describe()), row, coarse)
     out.by_set = compact_sets(out.by_set, max_sets, lambda a, b: a.merged(b), seed)
     return out
 
 
+def sources_of(left: DataFrame, right: DataFrame) -> dict[str, list[str]]:
+    """The files behind both sides, for ``summarise(sources=...)``."""
+    return {"left": left.inputFiles(), "right": right.inputFiles()}
+
+
 def _set(joined: str, names: dict) -> frozenset:
     return frozenset(joined.split(",")) if joined in names or all(p in names for p in joined.split(",")) else frozenset([joined])
 
 
-def _put(describe: Describe, row) -> None:
+def _put(describe: Describe, row, coarse: bool) -> None:
     metric, n = row["metric"], row["n"]
     describe.count += n
     if row["key_str"] is not None:
@@ -248,12 +257,14 @@ def _put(describe: Describe, row) -> None:
         enum = describe.enums.setdefault(metric, Enum())
         enum.values[key] = enum.values.get(key, 0) + n
         enum.large |= row["is_large"]
+    elif row["key_double"] is not None and math.isnan(row["key_double"]):
+        describe.counts["nNaN"] = describe.counts.get("nNaN", 0) + n
     elif row["key_long"] is not None or row["key_double"] is not None:
         whole = row["key_long"] is not None
         histogram = describe.histograms.setdefault(metric, Histogram(whole=whole))
         key = row["key_long"] if whole else row["key_double"]
         histogram.values[key] = histogram.values.get(key, 0) + n
-        histogram.large |= row["is_large"]
+        histogram.large |= row["is_large"] or (coarse and key != 0)
     else:
         describe.counts[metric] = describe.counts.get(metric, 0) + n
 
@@ -445,6 +456,7 @@ LABELS = {
     "nTrue": "# true",
     "nFalse": "# false",
     "nNull": "# null",
+    "nNaN": "# not a number",
     "nUnsupported": "# unsupported",
     "tf": "# true -> false",
     "ft": "# false -> true",

@@ -115,6 +115,15 @@ class Checked:
         note = F.when(bad, F.array(annotation(message, True))).otherwise(none())
         return Checked(F.when(~bad, self.column), (*self.notes, note), self.fields, self.stages)
 
+    def then(self, f: Callable[[Checked], Checked]) -> Checked:
+        """A further check of this value; the notes of both are kept."""
+        return f(self)
+
+    def either(self) -> Column:
+        """``struct(errors, value)``: the value only if there is no error."""
+        errors = F.filter(self.all_notes(), lambda n: n["isError"])
+        return F.struct(F.when(F.size(errors) > 0, errors).alias("errors"), F.when(F.size(errors) == 0, self.column).alias("value"))
+
     def result(self) -> Column:
         """``struct(value, annotations)``."""
         return F.struct(self.column.alias("value"), fuse(self.all_notes()).alias(NAME))

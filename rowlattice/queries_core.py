@@ -14,6 +14,7 @@ from rowlattice.operators import compare as cmp
 from rowlattice.operators import dumps as dp
 from rowlattice.operators import keyed_diff as kd
 from rowlattice.operators.versions import version_list
+from rowlattice.plans import diff_summary as ds
 from rowlattice.plans import mapping as mp
 from rowlattice.plans import quality as qa
 from rowlattice.plans import schema as sc
@@ -181,6 +182,14 @@ def d12_bins(spark, sf_dir):
     return kd.bins(table(spark, sf_dir, "part"), "p_size", 6, 1.0)
 
 
+@query("""WITH s AS (SELECT p_size AS x, row_number() OVER (ORDER BY p_size) - 1 AS i, count(*) OVER () AS n FROM part), q AS (SELECT unnest([0.0, 0.25, 0.5, 0.9, 1.0]) AS p)
+SELECT p::DOUBLE AS p, x::DOUBLE AS low, x::DOUBLE AS high FROM q JOIN s ON i = least(floor(p * n), n - 1)""")
+def d13_quantile_bounds(spark, sf_dir):
+    counted = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).where("p_size IS NOT NULL")
+    histogram = ds.Histogram({r["p_size"]: r["n"] for r in counted.limit(kd.EXACT_KEYS).collect()})
+    return spark.createDataFrame([(p, *map(float, histogram.quantile_bounds(p))) for p in (0.0, 0.25, 0.5, 0.9, 1.0)], "p double, low double, high double")
+
+
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def d14_frequency_enum(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
@@ -197,6 +206,34 @@ def d16_bounded_statistics(spark, sf_dir):
     return kd.bounded(_readable(kd.statistics(_classes(spark, sf_dir))))
 
 
+@query(f"{_PAIRS}, n AS (SELECT count(*) AS n FROM c WHERE section = 'inner_diff'), s AS (SELECT count(DISTINCT diff_set) AS k FROM c WHERE section = 'inner_diff') SELECT n.n AS n_rows, least(k, 8) >= 1 AS few FROM n, s")
+def d17_compacted_sets(spark, sf_dir):
+    sets = {frozenset(r["diff_set"].split(",")): r["n"] for r in kd.diff_sets(_classes(spark, sf_dir)).collect()}
+    merged = ds.compact_sets(sets, 8, lambda a, b: a + b)
+    return spark.createDataFrame([(sum(merged.values()), 1 <= len(merged) <= 8)], "n_rows bigint, few boolean")
+
+
+@query(f"""{_PAIRS}, k AS (SELECT count(*) FILTER (section LIKE 'outer%') AS o, count(*) FILTER (section = 'inner_diff') AS d, count(*) FILTER (list_contains(s, 'flag')) AS f, count(*) FILTER (list_contains(s, 'value')) AS v FROM c)
+SELECT 'no_outer' AS demand, o = 0 AS holds FROM k UNION ALL SELECT 'no_inner', d = 0 FROM k UNION ALL SELECT 'is_similar', o = 0 AND d = 0 FROM k UNION ALL SELECT 'column_changes(flag, value)', f > 0 AND v > 0 FROM k UNION ALL SELECT 'column_keeps(value)', v = 0 FROM k""")
+def k6_constraints(spark, sf_dir):
+    summary = ds.summarise(_classes(spark, sf_dir))
+    demands = [ds.no_outer(), ds.no_inner(), ds.is_similar(), ds.column_changes("flag", "value"), ds.column_keeps("value")]
+    failed = {c.name for c in ds.check(summary, *demands).failed}
+    return spark.createDataFrame([(c.name, c.name not in failed) for c in demands], "demand string, holds boolean")
+
+
+@query("SELECT true AS same")
+def m8_summary_round_trip(spark, sf_dir):
+    summary = ds.summarise(_classes(spark, sf_dir), coarse=True)
+    return spark.createDataFrame([(ds.to_json(ds.from_json(ds.to_json(summary))) == ds.to_json(summary),)], "same boolean")
+
+
+@query()
+def m7_report(spark, sf_dir):
+    lines = ds.render(ds.summarise(_classes(spark, sf_dir))).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
 # -- dumps ---------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -64,11 +65,25 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowlattice-{uuid.uuid4().hex}"
+    _written.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` wrote in this program.
+
+    Frames made from them can't be read after that. Returns how many there were.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only where the counted ``rows`` stay below ``limit``."""
     return F.broadcast(df) if rows <= limit else df

@@ -86,6 +86,8 @@ def test_nan_binary_and_what_has_no_statistics(spark):
     s = summary(spark, left, right, schema, ["id"])
     assert {tuple(sorted(k)): d.count for k, d in s.by_set.items()} == {("b", "d"): 1, ("a", "m"): 1}
     assert s.by_column["b"].error.histograms["levenshtein"].values == {1: 1}
+    assert s.by_column["d"].left.counts == s.by_column["d"].error.counts == {"nNaN": 1}
+    assert "# not a number: 1" in ds.render(s) and ds.from_json(ds.to_json(s)) == s
     assert s.by_column["m"].left.counts == {"nUnsupported": 2}
 
 
@@ -147,6 +149,18 @@ def test_many_keys_become_buckets(spark):
     assert e.estimate("never") == 0
 
 
+def test_coarse_statistics_bound_every_number(spark):
+    rows = [(i, (i - 500) * 37, i / 7) for i in range(1000)]
+    s = summary(spark, rows, rows, "id int, n bigint, d double", ["id"], coarse=True)
+    for name, place in (("n", 1), ("d", 2)):
+        h, values = s.by_column[name].left.histograms["value"], sorted(r[place] for r in rows)
+        assert h.large and h.count == 1000
+        for i in range(0, 1000, 50):
+            low, high = h.quantile_bounds(i / 1000)
+            assert low - 1e-9 <= values[i] <= high + 1e-9
+    assert s.by_column["n"].error.empty
+
+
 def test_json_round_trip(spark, longs):
     assert ds.from_json(ds.to_json(longs)) == longs
     s = summary(spark, [(1, "a", 1.5, True, None)], [(1, "b", 2.5, False, 3), (2, "c", 0.0, None, 3)], "id int, s string, d double, b boolean, n int", ["id"])

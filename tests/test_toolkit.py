@@ -264,6 +264,22 @@ def test_cogroup_and_nest(spark):
     assert cg.cogroup_lists([1, 2, 3], [4, 6], lambda x: x % 2, lambda x: x % 3) == [(1, [1, 3], [4]), (0, [2], [6])]
 
 
+def test_row_index(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    got = cg.indexed(df, "n", order=["x"]).collect()
+    assert len(got) == 1000 and all(r["n"] == r["x"] for r in got)
+    assert sorted(r["n"] for r in cg.indexed(df, "n").collect()) == list(range(1000))
+    assert cg.indexed(df.limit(0), "n").collect() == []
+
+
+def test_scratch_tables_can_be_deleted(spark):
+    from rowlattice import session
+
+    kept = session.materialize(spark.range(3))
+    path = kept.inputFiles()[0]
+    assert session.clear_scratch(spark) > 0 and not __import__("os").path.exists(path.removeprefix("file://"))
+
+
 def test_measures(spark):
     a, b = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0)], "k string, m double"), spark.createDataFrame([("a", 4.0), ("c", 7.0)], "k string, m double")
     r = cg.compare_measures(a, b, ["k"], ["m"]).first().asDict()
@@ -508,6 +524,9 @@ def test_built_records(spark):
     assert r["value"] is None and [(n["message"], n["onField"]) for n in r["annotations"]] == [("MISSING_VALUE", "name"), ("MISSING_VALUE", "greet"), ("NO", "name"), ("NEITHER", "greet")]
     warned = qa.build_result(name=qa.from_warning(F.lit("a"), "W1"), greet=qa.from_warning(F.lit(True), "W2"))
     assert len(df.select(warned.alias("r")).first()["r"]["annotations"]) == 2
+    twice = qa.read("x").then(AGE).then(AGE)
+    assert df.select(twice.either().alias("e")).first()["e"] == (None, 5)
+    assert [n["message"] for n in df.select(qa.from_error("int", "NO").either().alias("e")).first()["e"]["errors"]] == ["NO"]
     small = qa.read("x").filter(lambda c: c < 3, "TOO_LARGE").result()
     assert df.select(small.alias("r")).first()["r"]["value"] is None
 
