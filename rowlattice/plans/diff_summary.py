@@ -422,7 +422,8 @@ def to_json(summary: DiffSummary) -> str:
                 },
                 "outer": {"left": by_row(summary.left_only), "right": by_row(summary.right_only)},
             },
-        }
+        },
+        sort_keys=True,
     )
 
 
