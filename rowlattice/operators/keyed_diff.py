@@ -172,12 +172,13 @@ def error_fact(a: Column, b: Column, kind: T.DataType, name: str) -> Column:
     return nulls.otherwise(_fact(name, "error", "nUnsupported"))
 
 
-def statistics(classes: DataFrame, coarse: bool = False) -> DataFrame:
+def statistics(classes: DataFrame, coarse: bool = False, label: Column | None = None) -> DataFrame:
     """All statistics in long form: one aggregate over the classified pairs.
 
     ``coarse`` puts numbers into their buckets (:func:`bucket_floor`) before
     the aggregate, so that the shuffle is bounded for them as well; whole
-    numbers below ``2 ** BITS`` and zero stay as they are.
+    numbers below ``2 ** BITS`` and zero stay as they are. ``label`` takes the
+    place of the joined ``diff_set``.
 
     Columns: section, diff_set, column, role (left, right, error or pair),
     metric, the key in one of ``key_str`` (and ``key_other``), ``key_long``
@@ -195,7 +196,8 @@ def statistics(classes: DataFrame, coarse: bool = False) -> DataFrame:
             F.when(inner, _fact(f.name, "pair", F.when(differs, "nNotEqual").otherwise("nEqual"))),
         ]
     every = F.filter(F.array(*facts), lambda x: x.isNotNull()) if facts else F.array().cast(f"array<{STATISTIC}>")
-    long_form = classes.select("section", F.array_join(F.array_sort("diff_set"), ",").alias("diff_set"), F.inline(every))
+    label = F.array_join(F.array_sort("diff_set"), ",") if label is None else label
+    long_form = classes.select("section", label.alias("__label"), F.inline(every)).withColumnRenamed("__label", "diff_set")
     if coarse:
         number = F.coalesce(F.col("key_long").cast("double"), F.col("key_double"))
         rounded = F.when(F.isnan(number), number).otherwise(bucket_floor(number))

@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rowlattice.operators import keyed_diff as kd
 
 #: Sets of differing columns that a summary keeps apart.
 MAX_SETS = 128
+#: Sets that are told apart before they are merged into these.
+LISTED_SETS = 2_000
 
 
 @dataclass
@@ -208,22 +211,28 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
     ``coarse`` makes every histogram of numbers approximate from the start;
     choose it where columns have very many distinct numbers.
     """
+    spark = classes.sparkSession
     out = DiffSummary(columns=[f.name for f in kd.compared_columns(classes)])
     if sources:
         out.sources = sources
-    counted = classes.groupBy("section", kd.F.array_join(kd.F.array_sort("diff_set"), ",").alias("diff_set")).agg(kd.F.count(kd.F.lit(1)).alias("n"))
-    names = {f.name: f for f in kd.compared_columns(classes)}
-    for row in counted.collect():
-        if row["section"] == "inner_diff":
-            out.by_set[_set(row["diff_set"], names)] = DeltaByRow(row["n"])
-        elif row["section"] == "inner_equal":
+    for row in kd.sections(classes).collect():
+        if row["section"] == "inner_equal":
             out.rows_equal = out.equal_rows.count = row["n"]
-        else:
+        elif row["section"] != "inner_diff":
             (out.left_only if row["section"] == "outer_left" else out.right_only).count = row["n"]
-    for row in kd.bounded(kd.statistics(classes, coarse), exact_keys).toLocalIterator():
+    sets = _merged_sets(classes, out.columns, max_sets, seed)
+    unions = sorted(set(sets.values()), key=sorted)
+    place = {u: str(i) for i, u in enumerate(unions)}
+    labels = spark.createDataFrame([(sorted(s), place[u]) for s, u in sets.items()], "__set array<string>, __label string")
+    labelled = classes.join(F.broadcast(labels), F.array_sort("diff_set") == F.col("__set"), "left")
+    rest = frozenset(out.columns)
+    stats = kd.statistics(labelled, coarse, F.coalesce("__label", F.lit("rest")))
+    for row in kd.bounded(stats, exact_keys).collect():
         section, column, role = row["section"], row["column"], row["role"]
         if section == "inner_diff":
-            delta = out.by_set[_set(row["diff_set"], names)].by_column.setdefault(column, Delta())
+            union = unions[int(row["diff_set"])] if row["diff_set"] != "rest" else rest
+            by_row = out.by_set.setdefault(union, DeltaByRow())
+            delta = by_row.by_column.setdefault(column, Delta())
             if role == "pair":
                 if row["metric"] == "nEqual":
                     delta.n_equal += row["n"]
@@ -236,19 +245,29 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
                 _put(out.equal_rows.by_column.setdefault(column, Describe()), row, coarse)
         else:
             _put((out.left_only if section == "outer_left" else out.right_only).by_column.setdefault(column, Describe()), row, coarse)
-    out.by_set = compact_sets(out.by_set, max_sets, lambda a, b: a.merged(b), seed)
+    for by_row in out.by_set.values():
+        some = next(iter(by_row.by_column.values()))
+        by_row.count = some.n_equal + some.n_not_equal
     return out
 
 
+def _merged_sets(classes: DataFrame, columns: list[str], most: int, seed: int) -> dict[frozenset, frozenset]:
+    """Each frequent set of differing columns and the union it is merged into.
+
+    Sets beyond the ``LISTED_SETS`` most frequent are in none: their rows are
+    taken together as differing in all columns.
+    """
+    inner = classes.where(F.col("section") == "inner_diff").groupBy(F.array_sort("diff_set").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    found = [frozenset(r["s"]) for r in inner.orderBy(F.desc("n"), "s").limit(LISTED_SETS).collect()]
+    unions = compact_sets({s: [s] for s in found}, most, lambda a, b: a + b, seed)
+    return {s: union for union, members in unions.items() for s in members}
+
+
 def sources_of(left: DataFrame, right: DataFrame) -> dict[str, list[str]]:
     """The files behind both sides, for ``summarise(sources=...)``."""
     return {"left": left.inputFiles(), "right": right.inputFiles()}
 
 
-def _set(joined: str, names: dict) -> frozenset:
-    return frozenset(joined.split(",")) if joined in names or all(p in names for p in joined.split(",")) else frozenset([joined])
-
-
 def _put(describe: Describe, row, coarse: bool) -> None:
     metric, n = row["metric"], row["n"]
     describe.count += n

@@ -210,6 +210,20 @@ def test_sets_are_compacted():
         assert ds.compact_sets(sets, 2, merge, 0) == best[0]
 
 
+def test_many_sets_are_merged_before_they_are_collected(spark, monkeypatch):
+    names = [f"c,{i}" for i in range(6)]
+    schema = "id int, " + ", ".join(f"`{n}` int" for n in names)
+    left = [(i, *[0] * 6) for i in range(64)]
+    right = [(i, *[i >> b & 1 for b in range(6)]) for i in range(64)]
+    for listed in (2000, 5):
+        monkeypatch.setattr(ds, "LISTED_SETS", listed)
+        s = summary(spark, left, right, schema, ["id"], max_sets=4)
+        assert len(s.by_set) <= 5 and s.rows_not_equal == 63 and s.rows_equal == 1
+        assert {c: d.n_not_equal for c, d in s.by_column.items()} == dict.fromkeys(names, 32)
+        for union, delta in s.by_set.items():
+            assert {c for c, d in delta.by_column.items() if d.n_not_equal} <= union
+
+
 def test_distance_of_sets():
     assert ds.set_distance(0b11, 0b11) == 0
     assert ds.set_distance(0b11, 0b01) == pytest.approx(1 * (1 + 4**0.5))
