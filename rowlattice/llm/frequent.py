@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowlattice.session import ship_package
+from rowlattice.session import materialize, ship_package
 
 
 def _bounds(columns: Sequence[pa.Array]) -> np.ndarray:
@@ -126,7 +126,8 @@ def frequent_values(rows: DataFrame, group: str, value: str, weight: str, k: int
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     counted = rows.select(F.col(group).alias("g"), F.col(value).alias("v"), F.col(weight).cast("bigint").alias("n")).where(F.col("v").isNotNull() & (F.col("n") > 0))
     schema = f"g {kinds[group]}, v {kinds[value]}, n bigint"
-    local = counted.sortWithinPartitions("g", "v").mapInArrow(runs, schema)
+    # written once: finding the ranges reads the runs a first time
+    local = materialize(counted.sortWithinPartitions("g", "v").mapInArrow(runs, schema))
     ranged = local.repartitionByRange("g", "v").sortWithinPartitions("g", "v")
     kept = ranged.mapInArrow(lambda it: heaviest(it, k), schema + ", is_total boolean")
     by_group = Window.partitionBy("g")
