@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowlattice.session import materialize, ship_package
 
@@ -94,10 +93,10 @@ def heaviest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
                 group, heap, total, open_group = here, [], 0, True
             part = counts[at:end]
             total += int(part.sum())
-            likely = np.flatnonzero(part >= (heap[0][0] if len(heap) == k else 0))
+            # values rise within a range, so of equal counts the first ones stay
+            likely = np.flatnonzero(part > (heap[0][0] if len(heap) == k else 0))
             if len(likely) > k:
-                least = np.partition(part[likely], len(likely) - k)[len(likely) - k]
-                likely = likely[part[likely] >= least]
+                likely = np.sort(likely[np.argsort(-part[likely], kind="stable")[:k]])
             values = batch.column(1).take(pa.array(likely + at)).to_pylist()
             for n, value in zip(part[likely].tolist(), values):
                 item = (n, _Reversed(value))
@@ -141,7 +140,3 @@ def once(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Each key once: redelivered rows hold the same content."""
     packed = rows.groupBy(key).agg(*[F.first(c).alias(c) for c in columns])
     return packed.select(*columns)
-
-
-def value_type(rows: DataFrame, column: str) -> T.DataType:
-    return rows.schema[column].dataType

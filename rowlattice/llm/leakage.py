@@ -31,17 +31,19 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MATCHES = "doc bigint, shingles array<int>, words array<int>"
 
 
+def mixed(code: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The code of a run of words, one word longer."""
+    code = (code ^ ids) * _FACTOR
+    return code ^ (code >> np.uint64(29))
+
+
 def codes(ids: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit code for each ``size`` neighbouring word ids."""
-    if len(ids) < size:
-        return np.zeros(0, np.uint64)
-    wide = ids.astype(np.uint64)
-    n = len(ids) - size + 1
-    total = np.zeros(n, np.uint64)
-    for k in range(size):
-        total = (total ^ wide[k : n + k]) * _FACTOR
-        total ^= total >> np.uint64(29)
-    return total
+    n = max(0, len(ids) - size + 1)
+    wide, code = ids.astype(np.uint64), np.zeros(n, np.uint64)
+    for k in range(size if n else 0):
+        code = mixed(code, wide[k : n + k])
+    return code
 
 
 class Block:
@@ -63,40 +65,57 @@ class Block:
         self.sizes = sorted({min(SHINGLE, len(w)) for w in self.words}, reverse=True)
         self.least = min(self.need, default=1)
 
-    def found(self, ids: np.ndarray) -> np.ndarray:
-        """Which of the block's shingles stand in a text's word ids."""
-        hits = []
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in word ids where one of the block's shingles begins, and which.
+
+        An id below 0 is a word of no item, or the end of a text.
+        """
+        places, shingles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size in self.sizes:
+            n = len(ids) - size + 1
+            if n <= 0:
+                continue
             known = ids >= 0
-            if size > 1 and len(ids) >= size:
-                run = known[: len(ids) - size + 1].copy()
-                for k in range(1, size):
-                    run &= known[k : len(ids) - size + 1 + k]
-                known = run
-            at = np.flatnonzero(known[: max(0, len(ids) - size + 1)])
-            if len(at):
-                code = codes(ids, size)[at]
-                place = np.minimum(np.searchsorted(self.table, code), len(self.table) - 1)
-                hits.append(place[self.table[place] == code])
-        return np.unique(np.concatenate([*hits, np.zeros(0, np.int64)])).astype(np.int32)
-
-
-def matches(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
+            run = known[:n].copy()
+            for k in range(1, size):
+                run &= known[k : n + k]
+            at = np.flatnonzero(run)
+            code = np.zeros(len(at), np.uint64)
+            for k in range(size):
+                code = mixed(code, ids[at + k].astype(np.uint64))
+            place = np.minimum(np.searchsorted(self.table, code), len(self.table) - 1)
+            there = self.table[place] == code
+            places.append(at[there])
+            shingles.append(place[there])
+        return np.concatenate(places), np.concatenate(shingles)
+
+
+def matches(batches: Iterator[pa.RecordBatch], block: Block, together: int = 1024) -> Iterator[pa.RecordBatch]:
     """Per document: the block's shingles in it, and its words if they suffice."""
-    get = block.vocabulary.get
+    get, lists = block.vocabulary.get, pa.list_(pa.int32())
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text:
+        for first in range(0, batch.num_rows, together):
+            part = batch.slice(first, together)
+            flat: list[int] = []
+            ends = []  # of each document, where a place that is no word parts it from the next
+            for text in part.column(1).to_pylist():
+                if text:
+                    flat += [get(w, -1) for w in words(text)]
+                ends.append(len(flat))
+                flat.append(-1)
+            ids = np.array(flat, np.int32)
+            place, shingle = block.hits(ids)
+            width = len(block.table) + 1
+            pairs = np.unique(np.searchsorted(ends, place) * width + shingle)
+            doc, shingle = pairs // width, (pairs % width).astype(np.int32)
+            there = np.unique(doc)
+            if not len(there):
                 continue
-            ids = np.array([get(w, -1) for w in words(text)], np.int32)
-            hits = block.found(ids)
-            if len(hits):
-                rows.append((doc, hits, ids if len(hits) >= block.least else None))
-        if rows:
-            doc, hits, kept = zip(*rows)
-            lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(hits, lists), pa.array(kept, lists)], names=["doc", "shingles", "words"])
+            offsets = np.append(np.searchsorted(doc, there), len(doc))
+            enough = np.diff(offsets) >= block.least
+            kept = [ids[(ends[d - 1] + 1 if d else 0) : ends[d]] if e else None for d, e in zip(there.tolist(), enough.tolist())]
+            found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shingle))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(there)), found, pa.array(kept, lists)], names=["doc", "shingles", "words"])
 
 
 def equal_runs(item: np.ndarray, document: np.ndarray, anchor: int) -> list[tuple[int, int, int]]:
