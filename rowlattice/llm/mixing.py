@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def encoder(path: str, pattern: str):
     if (path, pattern) not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as lines:
+        there = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        with open(there, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         _encoders[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path, pattern]
@@ -154,6 +156,7 @@ def mixture(
     """
     spark = documents.sparkSession
     ship_package(spark)
+    spark.sparkContext.addFile(vocabulary)  # for executors that lack the path
     kept_columns = [c for c in documents.columns if c not in ("copy_no", "__cdf", "__u", "__copies", "__place", "__source")]
     cleaned = documents.select(*kept_columns).withColumn(source, clean_source(F.col(source)))
     sizes = cleaned.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), F.col(text).alias("t"))
