@@ -282,10 +282,12 @@ def bins(values: DataFrame, value: str, count: int, min_step: float, weight: str
     end included. No values, no bins; empty bins are there with 0.
     """
     plain = values.select(F.col(value).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("w")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    span = plain.agg(F.min("v").alias("low"), F.max("v").alias("high")).where(F.col("low").isNotNull())
-    step = F.greatest((F.col("high") - F.col("low")) / F.lit(max(1, count - 1)), F.lit(float(min_step)))
-    span = span.select("low", step.alias("step"))
-    frame = span.select("low", "step", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("bin"))
-    placed = plain.join(F.broadcast(span)).select(F.greatest(F.lit(0), F.ceil((F.col("v") - F.col("low")) / F.col("step") - 0.5)).cast("int").alias("bin"), "w")
-    counted = placed.groupBy("bin").agg(F.sum("w").alias("n"))
-    return frame.join(counted, "bin", "left").select("bin", (F.col("low") + F.col("bin") * F.col("step")).alias("centre"), F.coalesce("n", F.lit(0)).alias("n"))
+    low, high = plain.agg(F.min("v"), F.max("v")).first()
+    spark = values.sparkSession
+    if low is None:
+        return spark.createDataFrame([], "bin int, centre double, n bigint")
+    step = max((high - low) / max(1, count - 1), float(min_step))
+    place = F.greatest(F.lit(0), F.ceil((F.col("v") - F.lit(low)) / F.lit(step) - 0.5)).cast("int")
+    counted = plain.groupBy(place.alias("bin")).agg(F.sum("w").alias("n"))
+    frame = spark.range(count).select(F.col("id").cast("int").alias("bin"))
+    return frame.join(counted, "bin", "left").select("bin", (F.lit(low) + F.col("bin") * F.lit(step)).alias("centre"), F.coalesce("n", F.lit(0)).alias("n"))

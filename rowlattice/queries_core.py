@@ -186,7 +186,7 @@ def d12_bins(spark, sf_dir):
 SELECT p::DOUBLE AS p, x::DOUBLE AS low, x::DOUBLE AS high FROM q JOIN s ON i = least(floor(p * n), n - 1)""")
 def d13_quantile_bounds(spark, sf_dir):
     counted = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).where("p_size IS NOT NULL")
-    histogram = ds.Histogram({r["p_size"]: r["n"] for r in counted.limit(kd.EXACT_KEYS).collect()})
+    histogram = ds.Histogram({r["p_size"]: r["n"] for r in counted.collect()})  # sizes are few
     return spark.createDataFrame([(p, *map(float, histogram.quantile_bounds(p))) for p in (0.0, 0.25, 0.5, 0.9, 1.0)], "p double, low double, high double")
 
 
@@ -480,10 +480,9 @@ def h14_from_map(spark, sf_dir):
     return customers.select(fn.from_map(fn.to_map(customers), kind).alias("r")).select("r.*")
 
 
-@query(r"SELECT DISTINCT lower(regexp_replace(p_type, '(.)([A-Z])', '\1_\2', 'g')) AS snake FROM (SELECT 'promoBrass' AS p_type UNION ALL SELECT r_name FROM region WHERE false)")
+@query(r"SELECT c_custkey, lower(regexp_replace(regexp_replace(c_name, '(.)([A-Z])', '\1_\2', 'g'), '([^_])([A-Z])', '\1_\2', 'g')) AS snake FROM customer")
 def h15_snake_case(spark, sf_dir):
-    texts = table(spark, sf_dir, "region").select(F.lit("promoBrass").alias("p_type"))
-    return texts.select(fn.snake_case_column(F.col("p_type")).alias("snake")).distinct()
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.snake_case_column(F.col("c_name")).alias("snake"))
 
 
 @query("SELECT o_orderkey::VARCHAR || '§' || coalesce(o_orderstatus, 'null') AS k FROM orders")
@@ -565,7 +564,7 @@ def a16_json_records(spark, sf_dir):
 @query("SELECT path, level FROM (VALUES ('o_orderstatus', 1), ('o_custkey', 2)) t(path, level)")
 def n2_sources(spark, sf_dir):
     found = mp.sources(mp.field("o_orderstatus").case_when(("F", mp.field("o_custkey"))))
-    return table(spark, sf_dir, "region").limit(1).select(F.posexplode(F.array(*[F.lit(f) for f in found])).alias("i", "path")).select("path", (F.col("i") + 1).alias("level"))
+    return spark.createDataFrame([(path, i) for i, path in enumerate(found, 1)], "path string, level int")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '0,1,2,3' ELSE '1,2,3' END AS used FROM orders")
@@ -629,11 +628,11 @@ def j8_build_result(spark, sf_dir):
     return rows.groupBy(F.col("r.value").isNotNull().alias("complete"), errors.alias("n_errors")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT message, count FROM (VALUES ('a', 3::BIGINT), ('b', 1::BIGINT)) t(message, count)")
+@query("SELECT 'NOTE' AS message, l_linenumber::BIGINT AS count, count(*) AS n FROM lineitem GROUP BY 2")
 def d25_fused_annotations(spark, sf_dir):
-    one = table(spark, sf_dir, "region").limit(1)
-    notes = F.array(*[qa.annotation(m, False) for m in "aaba"])
-    return one.select(F.inline(qa.fuse(notes))).select("message", "count")
+    notes = F.array_repeat(qa.annotation("NOTE", False), F.col("l_linenumber"))
+    fused = table(spark, sf_dir, "lineitem").select(F.inline(qa.fuse(notes)))
+    return fused.groupBy("message", "count").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- schemas, sources, effects ----------------------------------------------------------------------------
