@@ -25,7 +25,7 @@ def string_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = frequent.frequent_values(string_counts(spark, sf_dir), "colname", "str", "n", 50)
-    return top.where(F.col("n") >= 0.02 * F.col("total")).select("colname", "str")
+    return top.where(F.col("n") * 50 >= F.col("total")).select("colname", "str")
 
 
 def p2_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
