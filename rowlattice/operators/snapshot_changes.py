@@ -94,7 +94,7 @@ def snapshot_changes(
     *,
     order: str | None = None,
     versions: Sequence | None = None,
-    chunk_keys: int = 16,
+    chunk_keys: int = 4,
 ) -> DataFrame:
     """Keys added, removed or changed between consecutive snapshots.
 
