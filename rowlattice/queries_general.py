@@ -14,7 +14,8 @@ from rowlattice.operators.versions import version_list
 def compact_date(column: Column) -> Column:
     """yyyymmdd out of a date in any of the delivered spellings, else null."""
     digits = F.regexp_replace(F.regexp_extract(column, r"(\d{4}[-/]?\d{2}[-/]?\d{2})", 1), "[-/]", "")
-    return F.when(digits != "", digits)
+    compact = (F.length(column) == 8) & (F.translate(column, "0123456789", "") == "")
+    return F.when(compact, column).when(digits != "", digits)
 
 
 def dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +27,16 @@ def dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", F.trim("a").alias("a"), "b", compact_date(F.col("compressdumpdt")).alias("compressdumpdt"), "loaded_at")
 
 
+def dump_dates(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The dates of all dumps; only their distinct spellings are looked at."""
+    packed = spark.read.parquet(f"{sf_dir}/compressed_dumps.parquet").select(F.explode(F.flatten("xs.compressdumpdts")).alias("d"))
+    spelled = packed.union(spark.read.parquet(f"{sf_dir}/dump_lines.parquet").select("compressdumpdt")).distinct()
+    return version_list(spelled.select(compact_date(F.col("d")).alias("d")), "d")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dump_rows(spark, sf_dir)
-    return snapshot_changes(rows, ["id"], "compressdumpdt", ["a", "b"], order="loaded_at", versions=version_list(rows, "compressdumpdt"))
+    return snapshot_changes(rows, ["id"], "compressdumpdt", ["a", "b"], order="loaded_at", versions=dump_dates(spark, sf_dir))
 
 
 def p1_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +45,7 @@ def p1_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dump_rows(spark, sf_dir)
-    return coalesced_history(rows, ["id"], "compressdumpdt", ["a", "b"], order="loaded_at", versions=version_list(rows, "compressdumpdt"))
+    return coalesced_history(rows, ["id"], "compressdumpdt", ["a", "b"], order="loaded_at", versions=dump_dates(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
