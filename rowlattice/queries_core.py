@@ -20,7 +20,9 @@ from rowlattice.plans import quality as qa
 from rowlattice.plans import schema as sc
 from rowlattice.queries_general import compact_date
 from rowlattice.sources import io
+from rowlattice.session import scratch_path
 from rowlattice.streaming import effects as fx
+from rowlattice.streaming import structured
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -683,3 +685,77 @@ def f4_top_rows(spark, sf_dir):
     best = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
     return rows.withColumn("place", F.row_number().over(best)).where("place <= 10").drop("place")
+
+
+@query("""WITH l AS (SELECT key, CASE WHEN bool_or(value IS NULL) THEN NULL ELSE min(value) END AS value FROM left_test GROUP BY 1), r AS (SELECT key, CASE WHEN bool_or(value IS NULL) THEN NULL ELSE min(value) END AS value FROM right_test GROUP BY 1),
+j AS (SELECT CASE WHEN l.k IS NULL THEN 'outer_right' WHEN r.k IS NULL THEN 'outer_left' WHEN l.value IS NOT DISTINCT FROM r.value THEN 'inner_equal' ELSE 'inner_diff' END AS section
+FROM (SELECT *, 1 AS k FROM l) l FULL JOIN (SELECT *, 1 AS k FROM r) r ON l.key IS NOT DISTINCT FROM r.key)
+SELECT section, count(*) AS n FROM j GROUP BY 1""")
+def a1_csv_pair(spark, sf_dir):
+    paths = []
+    for side in ("left", "right"):
+        paths.append(scratch_path(spark))
+        io.Write(table(spark, sf_dir, f"{side}_test").select("key", "value")).option("header", "true").option("sep", ";").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").format("csv").save(paths[-1])
+    left, right = io.csv_pair(*paths, spark=spark)
+    return kd.sections(kd.classified(kd.paired(left, right, ["key"])))
+
+
+@query("SELECT n_name, n_nationkey::BIGINT AS n_nationkey FROM nation UNION ALL SELECT n_name, n_nationkey::BIGINT FROM nation")
+def a4_json_files(spark, sf_dir):
+    path = scratch_path(spark)
+    io.Write(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")).format("json").save(path)
+    return io.json_files(path, path, spark=spark)
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def a7_writer(spark, sf_dir):
+    path = scratch_path(spark)
+    io.Write(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).option("compression", "gzip").mode("overwrite").parquet(path)
+    return io.Read(spark).parquet(path)
+
+
+@query(f"{_LINES}, x AS (SELECT id, a, b, d AS dump FROM (SELECT DISTINCT * FROM lines)) SELECT id, count(*) AS n_dumps FROM x GROUP BY 1")
+def a11_compaction_program(spark, sf_dir):
+    paths = []
+    for date, frame in _dumps(spark, sf_dir).items():
+        paths.append(f"{scratch_path(spark)}/{date}_lines")
+        frame.write.parquet(paths[-1])
+    out = scratch_path(spark)
+    dp.main(["-i", ",".join(paths), "-o", out, "-g", "id"], spark)
+    lines = spark.read.parquet(out).select("id", F.inline("xs"))
+    return lines.groupBy("id").agg(F.sum(F.size(dp.DUMPS)).cast("bigint").alias("n_dumps"))
+
+
+@query("""SELECT * FROM (VALUES (0, '@dataclass'), (1, 'class Region:'), (2, '    r_regionkey: int | None'), (3, '    r_name: str | None')) t(line, text)""")
+def l5_class_text(spark, sf_dir):
+    text = sc.dataclass_text(table(spark, sf_dir, "region").schema, "Region")
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
+
+
+@query("SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, NULL::VARCHAR AS extra FROM customer")
+def l3_evolved_schema(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    wanted = T._parse_datatype_string("c_custkey bigint, c_nationkey bigint, extra string")
+    schema = customer.schema
+    for change in sc.compare(schema, wanted):
+        schema = sc.modify(schema, change)
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in customer.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return customer.select(*columns)
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, 'LARGE' AS message, count(*) AS count FROM events WHERE value > 100 GROUP BY 1
+UNION ALL SELECT time_bucket(INTERVAL 1 DAY, ts), 'MISSING', count(*) FROM events WHERE value IS NULL GROUP BY 1""")
+def s1_stream_annotations(spark, sf_dir):
+    """Annotations of a stream of events per day, as a finished stream has them."""
+    rule = qa.Rule(((lambda c: c > 100, "LARGE", False), (lambda c: c.isNull(), "MISSING", True)))
+    path = f"{sf_dir}/events.parquet"
+    still = spark.read.parquet(path)
+    reader = spark.readStream.schema(still.schema)
+    single = len(still.inputFiles()) == 1 and still.inputFiles()[0].endswith("/events.parquet")  # a stream reads folders
+    stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else reader.parquet(path)
+    frame = qa.QualityFrame(stream.withColumn("at", F.col("ts").cast("timestamp"))).select(at="at", value=rule("value"))
+    counts = structured.annotation_counts(frame, "at", "1 day", "1 day")
+    name = f"stream_{abs(hash((sf_dir, id(spark)))) % 10**9}"
+    running = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "message", "count")

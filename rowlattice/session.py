@@ -57,6 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by :func:`clear_scratch`."""
+    path = f"{shared_dir(spark)}/rowlattice-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 
@@ -64,8 +71,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     checkpoint of rows it keeps column pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rowlattice-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch_path(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
