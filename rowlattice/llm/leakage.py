@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rowlattice.llm.text import words
 from rowlattice.session import materialize, ship_package
@@ -28,7 +29,6 @@ from rowlattice.session import materialize, ship_package
 BLOCK_ITEMS = 5_000
 SHINGLE = 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_MATCHES = "doc bigint, shingles array<int>, words array<int>"
 
 
 def mixed(code: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def candidates(shingles: np.ndarray, order: np.ndarray, prefix: dict[int, list[t
     return [i for i in out if np.isin(block.shingles[i], shingles, assume_unique=True).sum() >= block.need[i]]
 
 
-def verified(batches: Iterator[pa.RecordBatch], block: Block, order: np.ndarray, least_words: float) -> Iterator[pa.RecordBatch]:
+def verified(batches: Iterator[pa.RecordBatch], block: Block, order: np.ndarray, least_words: float, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Documents and the items they contain, with the share."""
     prefix: dict[int, list[tuple[int, int]]] = {}
     for item, shingles in enumerate(block.shingles):
@@ -236,7 +236,7 @@ def verified(batches: Iterator[pa.RecordBatch], block: Block, order: np.ndarray,
                 if share >= least_words:
                     rows.append((batch.column(0)[row].as_py(), block.items[item], share))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.float64()])], names=["doc", "item", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [batch.column(0).type, item_type, pa.float64()])], names=["doc", "item", "share"])
 
 
 def leaked_items(
@@ -253,7 +253,7 @@ def leaked_items(
 ) -> DataFrame:
     """Documents that contain at least ``least_words`` of an item's words.
 
-    Returns ``doc_id``, ``item_id`` (both bigint) and ``share``.
+    Returns ``doc_id`` and ``item_id``, of the types they have, and ``share``.
 
     Defined results: texts are read without markup and regardless of case,
     punctuation, spacing and character encoding; null or empty texts contain
@@ -265,25 +265,28 @@ def leaked_items(
     """
     spark = documents.sparkSession
     ship_package(spark)
-    wanted = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t"))
-    corpus = documents.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t"))
+    wanted = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    corpus = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
+    kinds = [frame.schema[0].dataType for frame in (corpus, wanted)]
+    doc_kind, item_kind = (kind.simpleString() for kind in kinds)
+    item_type = to_arrow_type(kinds[1])
     blocks = max(1, -(-wanted.count() // block_items))
     results = []
     for number in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number)
-        block = Block(sorted((r[0], r[1]) for r in part.where(F.col("t").isNotNull()).collect()), least_shared)
+        block = Block(sorted(((r[0], r[1]) for r in part.where(F.col("t").isNotNull()).collect()), key=repr), least_shared)
         if not block.items:
             continue
-        table = materialize(corpus.mapInArrow(lambda it, b=block: matches(it, b), _MATCHES))
+        table = materialize(corpus.mapInArrow(lambda it, b=block: matches(it, b), f"doc {doc_kind}, shingles array<int>, words array<int>"))
         counted = table.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).toPandas()
         rarity = np.zeros(len(block.table), np.int64)
         rarity[counted["s"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
         order = np.empty(len(rarity), np.int64)
         order[np.argsort(rarity, kind="stable")] = np.arange(len(rarity))
         enough = table.where(F.col("words").isNotNull())
-        results.append(enough.mapInArrow(lambda it, b=block, o=order: verified(it, b, o, least_words), "doc bigint, item bigint, share double"))
+        results.append(enough.mapInArrow(lambda it, b=block, o=order: verified(it, b, o, least_words, item_type), f"doc {doc_kind}, item {item_kind}, share double"))
     if not results:
-        return spark.createDataFrame([], f"{doc_id} bigint, {item_id} bigint, share double")
+        return spark.createDataFrame([], f"{doc_id} {doc_kind}, {item_id} {item_kind}, share double")
     out = results[0]
     for more in results[1:]:
         out = out.union(more)

@@ -111,6 +111,8 @@ def test_leaks_in_odd_texts(spark):
     items = [(1, item), (1, item), (2, None), (3, ""), (4, "a b")]
     got = Counter((r["doc_id"], r["item_id"]) for r in leaks(spark, docs, items).collect())
     assert got == {(4, 1): 2, (5, 1): 4, (6, 4): 1}
+    named = leakage.leaked_items(spark.createDataFrame([("d", item)], "doc_id string, text string"), spark.createDataFrame([(7, item), (None, item + " more")], "item_id int, text string"))
+    assert sorted(tuple(r)[:2] for r in named.collect() if r["item_id"]) == [("d", 7)] and named.count() == 2
     assert leaks(spark, [], items).collect() == []
     assert leaks(spark, docs, []).collect() == []
 
