@@ -27,6 +27,8 @@ from rowlattice.session import materialize, maybe_broadcast, ship_package
 
 #: Points beyond the degree bound, kept to verify what the others give.
 CHECK_POINTS = 2
+#: Buckets solved by one task, about.
+SOLVED_BY_TASK = 20_000
 #: Rows times points evaluated at once.
 BLOCK_VALUES = 1 << 19
 
@@ -195,7 +197,7 @@ def reconcile(
         return materialize(hashed.repartition("bucket").sortWithinPartitions("bucket"))
 
     sides = {True: prepared(left), False: prepared(right)}
-    solved, open_buckets, degree = [], None, first_degree
+    solved, open_buckets, open_count, degree = [], None, buckets, first_degree
     while True:
         values = []
         for is_left, rows in sides.items():
@@ -203,14 +205,16 @@ def reconcile(
             if open_buckets is not None:
                 part = part.join(open_buckets, "bucket", "left_semi").select("bucket", "h").sortWithinPartitions("bucket")
             values.append(part.mapInArrow(lambda it, d=degree, s=is_left: evaluate(it, d, s), _EVALUATED))
-        gathered = values[0].union(values[1]).repartition("bucket").sortWithinPartitions("bucket")
+        # few bytes but much to compute: a number of tasks that is not joined into fewer
+        tasks = max(spark.sparkContext.defaultParallelism, -(-open_count // SOLVED_BY_TASK))
+        gathered = values[0].union(values[1]).repartition(tasks, "bucket").sortWithinPartitions("bucket")
         result = materialize(gathered.mapInArrow(lambda it, d=degree: solve(it, d), _SOLVED))
         solved.append(result.where("verified"))
         left_over = result.where("not verified").select("bucket")
         remaining = left_over.count()
         if not remaining:
             break
-        open_buckets, degree = maybe_broadcast(left_over, remaining), degree * 2
+        open_buckets, open_count, degree = maybe_broadcast(left_over, remaining), remaining, degree * 2
 
     polynomials = solved[0]
     for more in solved[1:]:
