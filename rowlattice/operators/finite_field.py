@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 P = (1 << 61) - 1
@@ -29,7 +31,8 @@ def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(total >= _P, total - _P, total)
 
 
-def sample_points(count: int) -> list[int]:
+@lru_cache(maxsize=64)
+def sample_points(count: int) -> tuple[int, ...]:
     """The first ``count`` of a fixed sequence of evaluation points."""
     out, state = [], 0x9E3779B97F4A7C15
     for i in range(1, count + 1):
@@ -37,7 +40,7 @@ def sample_points(count: int) -> list[int]:
         z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
         z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
         out.append((z ^ (z >> 31)) % P)
-    return out
+    return tuple(out)
 
 
 def segment_products(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -75,7 +78,7 @@ def poly_mul(a: list[int], b: list[int]) -> list[int]:
 
 
 def poly_divmod(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    rest, inverse = a[:], pow(b[-1], P - 2, P)
+    rest, inverse = a[:], pow(b[-1], -1, P)
     quotient = [0] * max(0, len(a) - len(b) + 1)
     for shift in range(len(a) - len(b), -1, -1):
         factor = rest[shift + len(b) - 1] * inverse % P
@@ -96,13 +99,13 @@ def poly_at(poly: list[int], z: int) -> int:
 class Interpolator:
     """Finds the monic rational function behind its values at fixed points."""
 
-    def __init__(self, points: list[int]) -> None:
+    def __init__(self, points: tuple[int, ...]) -> None:
         self.points = points
         self.modulus = [1]
         self.inverse = []
         for i, z in enumerate(points):
             self.modulus = poly_mul(self.modulus, [P - z, 1])
-            self.inverse.append([pow((z - points[j]) % P, P - 2, P) for j in range(i)])
+            self.inverse.append([pow((z - points[j]) % P, -1, P) for j in range(i)])
 
     def polynomial(self, values: list[int]) -> list[int]:
         """Newton's divided differences, expanded to coefficients."""
@@ -137,5 +140,5 @@ class Interpolator:
             r0, r1, t0, t1 = r1, r, t1, trim(t)
         if not r1 or not t1 or r1[-1] != t1[-1] or len(r1) - len(t1) != excess:
             return None
-        scale = pow(r1[-1], P - 2, P)
+        scale = pow(r1[-1], -1, P)
         return [c * scale % P for c in r1], [c * scale % P for c in t1]

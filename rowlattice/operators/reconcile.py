@@ -70,7 +70,7 @@ def solve_bucket(left: list[int], right: list[int], excess: int, degree: int) ->
         return [1], [1]
     if abs(excess) >= degree or 0 in left or 0 in right:
         return None
-    quotients = [a * pow(b, gf.P - 2, gf.P) % gf.P for a, b in zip(left[:degree], right[:degree])]
+    quotients = [a * pow(b, -1, gf.P) % gf.P for a, b in zip(left[:degree], right[:degree])]
     found = _interpolator(degree).rational(quotients, excess)
     if found is None:
         return None
