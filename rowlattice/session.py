@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ BROADCAST_ROWS = 200_000
 
 _shipped: set[str] = set()
 _written: list[str] = []
+_own_dirs: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,13 +54,24 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        app = spark.sparkContext.applicationId
+        if app in _own_dirs:
+            return _own_dirs[app]
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="rowlattice-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="rowlattice-")
     return named.rstrip("/")
 
 
+@atexit.register
+def _clear_at_exit() -> None:
+    """Leave nothing behind where the program ends in an orderly way."""
+    context = SparkContext._active_spark_context
+    if _written and context is not None and context._jsc is not None:
+        with contextlib.suppress(Exception):
+            clear_scratch(SparkSession(context))
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder, deleted by :func:`clear_scratch`."""
     path = f"{shared_dir(spark)}/rowlattice-{uuid.uuid4().hex}"
