@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlattice.operators import keyed_diff as kd
+from rowlattice.session import materialize
 
 #: Sets of differing columns that a summary keeps apart.
 MAX_SETS = 128
@@ -215,12 +216,14 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
     out = DiffSummary(columns=[f.name for f in kd.compared_columns(classes)])
     if sources:
         out.sources = sources
-    for row in kd.sections(classes).collect():
+    # one pass for sections and sets, one for the statistics
+    counted = materialize(classes.groupBy("section", F.array_sort("diff_set").alias("s")).agg(F.count(F.lit(1)).alias("n")))
+    for row in counted.groupBy("section").agg(F.sum("n").alias("n")).collect():
         if row["section"] == "inner_equal":
             out.rows_equal = out.equal_rows.count = row["n"]
         elif row["section"] != "inner_diff":
             (out.left_only if row["section"] == "outer_left" else out.right_only).count = row["n"]
-    sets = _merged_sets(classes, out.columns, max_sets, seed)
+    sets = _merged_sets(counted, max_sets, seed)
     unions = sorted(set(sets.values()), key=sorted)
     place = {u: str(i) for i, u in enumerate(unions)}
     labels = spark.createDataFrame([(sorted(s), place[u]) for s, u in sets.items()], "__set array<string>, __label string")
@@ -251,13 +254,13 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
     return out
 
 
-def _merged_sets(classes: DataFrame, columns: list[str], most: int, seed: int) -> dict[frozenset, frozenset]:
+def _merged_sets(counted: DataFrame, most: int, seed: int) -> dict[frozenset, frozenset]:
     """Each frequent set of differing columns and the union it is merged into.
 
     Sets beyond the ``LISTED_SETS`` most frequent are in none: their rows are
     taken together as differing in all columns.
     """
-    inner = classes.where(F.col("section") == "inner_diff").groupBy(F.array_sort("diff_set").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    inner = counted.where(F.col("section") == "inner_diff")
     found = [frozenset(r["s"]) for r in inner.orderBy(F.desc("n"), "s").limit(LISTED_SETS).collect()]
     unions = compact_sets({s: [s] for s in found}, most, lambda a, b: a + b, seed)
     return {s: union for union, members in unions.items() for s in members}
