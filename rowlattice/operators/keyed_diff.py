@@ -7,6 +7,7 @@ form, so nothing but small summaries ever has to leave the executors.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,9 @@ from rowlattice.plans.schema import assert_same
 EXACT_KEYS = 256
 #: Significant bits kept of a number in a bounded histogram.
 BITS = 7
+#: Cells in a row of the sketch of strings that are not kept, and its rows: an
+#: estimate is over by more than 0.001 of their rows with a chance of e ** -8.
+SKETCH_WIDTH, SKETCH_ROWS = 2719, 8
 
 _INTEGERS = (T.IntegerType, T.LongType)
 _DOUBLES = (T.FloatType, T.DoubleType)
@@ -244,13 +248,47 @@ def bucket_floor(column: Column, bits: int = BITS) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(F.signum(column.cast("double")) * F.floor(size / step) * step)
 
 
+def sketch_cells(key: str, other: str | None = None) -> list[int]:
+    """The cells of a string or pair, one in each row of the sketch."""
+    raw = key.encode(errors="replace")
+    digest = hashlib.md5(b"%d:%b%b" % (len(raw), raw, (other or "").encode(errors="replace")), usedforsecurity=False).hexdigest()
+    first, step = int(digest[:8], 16), 1 + int(digest[8:16], 16) % (SKETCH_WIDTH - 1)
+    return [i * SKETCH_WIDTH + (first + i * step) % SKETCH_WIDTH for i in range(SKETCH_ROWS)]
+
+
+def _cells() -> Column:
+    """:func:`sketch_cells` of key_str and key_other."""
+    digest = F.md5(F.concat(F.octet_length("key_str").cast("string"), F.lit(":"), F.col("key_str"), F.coalesce("key_other", F.lit(""))))
+    first, step = (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+    step = 1 + step % (SKETCH_WIDTH - 1)
+    return F.array(*[(i * SKETCH_WIDTH + (first + i * step) % SKETCH_WIDTH).cast("int") for i in range(SKETCH_ROWS)])
+
+
+def _top(rows: DataFrame, group: Sequence[str], most: int) -> DataFrame:
+    """Add ``__top``: is the string one of the ``most`` most frequent of its group?
+
+    Taken in two steps, so no task sees a whole group.
+    """
+    part = F.pmod(F.xxhash64("key_str", "key_other"), F.lit(64))
+    order = [F.desc("n"), F.asc("key_str"), F.asc("key_other")]
+    near = rows.withColumn("__part", part).withColumn("__near", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)) <= most)
+    # strings that are out already stay spread
+    near = near.withColumn("__part", F.when(F.col("__near"), -1).otherwise(F.col("__part")))
+    place = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
+    return near.withColumn("__top", F.col("__near") & (place <= most)).drop("__part", "__near")
+
+
 def bounded(stats: DataFrame, exact_keys: int = EXACT_KEYS) -> DataFrame:
     """Statistics in bounded size: groups of many keys are made approximate.
 
-    Adds ``is_large``. A large numeric group keeps ``key_double`` = floor of
-    the key's bucket (:func:`bucket_floor`); a large string group keeps its
-    ``exact_keys`` most frequent keys. Group sizes are a map-side combined
-    count; the top keys are taken in two steps, so no task sees a whole group.
+    Adds ``is_large``, ``rest_keys`` and ``sketch``. A large numeric group
+    keeps ``key_double`` = floor of the key's bucket (:func:`bucket_floor`). A
+    large string group keeps its ``exact_keys`` most frequent keys and, in the
+    inner part, those of its column over all sets, each with its exact count.
+    All its other strings are one row without a key: ``n`` is their sum,
+    ``rest_keys`` their number, and ``sketch`` has the cells (of
+    :func:`sketch_cells`) that are not 0, whose least is no less than a
+    string's count. The sum of ``n`` is that of ``stats``.
     """
     sizes = stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__keys"))
     on = None
@@ -265,13 +303,32 @@ def bounded(stats: DataFrame, exact_keys: int = EXACT_KEYS) -> DataFrame:
     value = F.coalesce(F.col("key_long").cast("double"), F.col("key_double"))
     coarse = numbers.withColumn("key_double", F.when(F.isnan(value), value).otherwise(bucket_floor(value))).withColumn("key_long", F.lit(None).cast("bigint"))
     coarse = coarse.groupBy(*GROUP, *keys, "is_large").agg(F.sum("n").alias("n"))
-    strings = marked.where(F.col("is_large") & F.col("key_str").isNotNull())
-    for spread in (64, 1):
-        part = F.pmod(F.xxhash64("key_str", "key_other"), F.lit(spread))
-        window = Window.partitionBy(*GROUP, part).orderBy(F.desc("n"), "key_str", "key_other")
-        strings = strings.withColumn("__place", F.row_number().over(window)).where(F.col("__place") <= exact_keys).drop("__place")
     columns = [*GROUP, *keys, "n", "is_large"]
-    return small.select(*columns).union(coarse.select(*columns)).union(strings.select(*columns))
+    exact = small.select(*columns).union(coarse.select(*columns))
+    exact = exact.withColumn("rest_keys", F.lit(None).cast("bigint")).withColumn("sketch", F.lit(None).cast("array<struct<cell:int,n:bigint>>"))
+    return exact.union(_bounded_strings(stats, marked, exact_keys).select(*exact.columns))
+
+
+def _bounded_strings(stats: DataFrame, marked: DataFrame, exact_keys: int) -> DataFrame:
+    """The large string groups of :func:`bounded`."""
+    over = ["column", "role", "metric"]
+    inner = stats.where(F.col("section").startswith("inner") & F.col("key_str").isNotNull())
+    merged = _top(inner.groupBy(*over, "key_str", "key_other").agg(F.sum("n").alias("n")), over, exact_keys).where("__top")
+    frequent = merged.select(*[F.col(c).alias(f"__{c}") for c in [*over, "key_str", "key_other"]], F.lit(True).alias("__frequent"))
+    ranked = _top(marked.where(F.col("is_large") & F.col("key_str").isNotNull()), GROUP, exact_keys)
+    on = F.col("section").startswith("inner") & F.col("key_other").eqNullSafe(F.col("__key_other"))
+    for c in [*over, "key_str"]:
+        on &= F.col(c) == F.col(f"__{c}")
+    kept = F.col("__top") | F.col("__frequent").isNotNull()
+    cells = F.when(kept, F.array(F.lit(None).cast("int"))).otherwise(_cells())
+    flat = ranked.join(frequent, on, "left").select(*GROUP, *[F.when(kept, F.col(c)).alias(c) for c in ("key_str", "key_other")], "n", F.explode(cells).alias("cell"))
+    # combined on the map side: what is not kept is a number of cells
+    summed = flat.groupBy(*GROUP, "key_str", "key_other", "cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("__keys"))
+    once = F.col("cell") < SKETCH_WIDTH
+    sketch = F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))
+    packed = summed.groupBy(*GROUP, "key_str", "key_other").agg(F.sum(F.when(F.col("cell").isNull() | once, F.col("n"))).alias("__n"), F.sum(F.when(once, F.col("__keys"))).alias("rest_keys"), F.array_sort(sketch).alias("sketch"))
+    rest = F.col("rest_keys").isNotNull()
+    return packed.select("*", F.col("__n").alias("n"), F.lit(None).cast("bigint").alias("key_long"), F.lit(None).cast("double").alias("key_double"), F.lit(True).alias("is_large")).withColumn("sketch", F.when(rest, F.col("sketch")))
 
 
 def bins(values: DataFrame, value: str, count: int, min_step: float, weight: str | None = None) -> DataFrame:

@@ -87,31 +87,43 @@ class Histogram:
 
 @dataclass
 class Enum:
-    """Strings, or (left, right) pairs of them, and how often each was seen."""
+    """Strings, or (left, right) pairs of them, and how often each was seen.
+
+    A large one keeps the most frequent; of the others it has ``rest``, how
+    often they were seen, ``rest_keys``, how many they are (those of merged
+    enums counted in each), and the ``cells`` of their sketch. ``mixed``: a
+    kept string may be among the others too.
+    """
 
     values: dict = field(default_factory=dict)
     large: bool = False
+    rest: int = 0
+    rest_keys: int = 0
+    cells: dict[int, int] = field(default_factory=dict)
+    mixed: bool = False
 
     @property
     def total(self) -> int:
-        return sum(self.values.values())
+        return sum(self.values.values()) + self.rest
 
     def estimate(self, key) -> int:
-        """The count of a key; of an unknown one 0 if large, else an error."""
-        if key in self.values:
+        """The count of a key, or more if large and not kept; unknown and not large, an error."""
+        if key in self.values and not self.mixed:
             return self.values[key]
         if self.large:
-            return 0
-        raise KeyError(key)
+            places = kd.sketch_cells(*key) if isinstance(key, tuple) else kd.sketch_cells(key)
+            return self.values.get(key, 0) + min(self.cells.get(i, 0) for i in places)
+        return self.values[key]
 
     def heavy_hitters(self, n: int = 256) -> list:
         return sorted(self.values.items(), key=lambda x: (-x[1], x[0]))[:n]
 
     def add(self, key, n: int = 1) -> Enum:
-        return Enum(_added(self.values, {key: n}), self.large)
+        return Enum(_added(self.values, {key: n}), self.large, self.rest, self.rest_keys, self.cells, self.mixed or bool(self.rest and key not in self.values))
 
     def merged(self, other: Enum) -> Enum:
-        return Enum(_added(self.values, other.values), self.large or other.large)
+        mixed = self.mixed or other.mixed or bool(self.rest or other.rest)
+        return Enum(_added(self.values, other.values), self.large or other.large, self.rest + other.rest, self.rest_keys + other.rest_keys, _added(self.cells, other.cells), mixed)
 
 
 def _added(a: dict, b: dict) -> dict:
@@ -229,7 +241,7 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
     labels = spark.createDataFrame([(sorted(s), place[u]) for s, u in sets.items()], "__set array<string>, __label string")
     labelled = classes.join(F.broadcast(labels), F.array_sort("diff_set") == F.col("__set"), "left")
     rest = frozenset(out.columns)
-    stats = kd.statistics(labelled, coarse, F.coalesce("__label", F.lit("rest")))
+    stats = kd.statistics(labelled, coarse, F.coalesce("__label", F.lit(place.get(rest, "rest"))))
     for row in kd.bounded(stats, exact_keys).collect():
         section, column, role = row["section"], row["column"], row["role"]
         if section == "inner_diff":
@@ -274,7 +286,13 @@ def sources_of(left: DataFrame, right: DataFrame) -> dict[str, list[str]]:
 def _put(describe: Describe, row, coarse: bool) -> None:
     metric, n = row["metric"], row["n"]
     describe.count += n
-    if row["key_str"] is not None:
+    if row["rest_keys"] is not None:
+        enum = describe.enums.setdefault(metric, Enum())
+        enum.large = True
+        enum.rest += n
+        enum.rest_keys += row["rest_keys"]
+        enum.cells = _added(enum.cells, dict(row["sketch"]))
+    elif row["key_str"] is not None:
         key = row["key_str"] if row["key_other"] is None else (row["key_str"], row["key_other"])
         enum = describe.enums.setdefault(metric, Enum())
         enum.values[key] = enum.values.get(key, 0) + n
@@ -416,7 +434,8 @@ def to_json(summary: DiffSummary) -> str:
         return {"kind": "long" if h.whole else "double", "large": h.large, "data": data}
 
     def enum(e: Enum) -> dict:
-        return {"large": e.large, "data": [[list(k) if isinstance(k, tuple) else k, n] for k, n in e.heavy_hitters(len(e.values))]}
+        out = {"large": e.large, "data": [[list(k) if isinstance(k, tuple) else k, n] for k, n in e.heavy_hitters(len(e.values))]}
+        return out | {"rest": e.rest, "restKeys": e.rest_keys, "cells": sorted(e.cells.items()), "mixed": e.mixed} if e.rest else out
 
     def describe(d: Describe) -> dict | None:
         if d.empty:
@@ -454,10 +473,14 @@ def from_json(text: str) -> DiffSummary:
         cast = int if x["kind"] == "long" else float
         return Histogram({cast(k): n for k, n in x["data"]}, x["large"], x["kind"] == "long")
 
+    def enum(x: dict) -> Enum:
+        values = {tuple(a) if isinstance(a, list) else a: n for a, n in x["data"]}
+        return Enum(values, x["large"], x.get("rest", 0), x.get("restKeys", 0), dict(x.get("cells", ())), x.get("mixed", False))
+
     def describe(x: dict | None) -> Describe:
         if x is None:
             return Describe()
-        enums = {k: Enum({tuple(a) if isinstance(a, list) else a: n for a, n in e["data"]}, e["large"]) for k, e in x["enums"].items()}
+        enums = {k: enum(e) for k, e in x["enums"].items()}
         return Describe(x["count"], dict(x["counts"]), {k: histogram(h) for k, h in x["histograms"].items()}, enums)
 
     def delta(x: dict) -> Delta:
@@ -510,6 +533,8 @@ def _describe_lines(d: Describe) -> list[str]:
         out.append("Most frequent:" if name == "value" else f"Most frequent {name}:")
         shown = [(" -> ".join(k) if isinstance(k, tuple) else k, n) for k, n in enum.heavy_hitters(10)]
         out += _indented([f"{k}: {n}" for k, n in shown])
+        if enum.rest:
+            out += _indented([f"all strings: {enum.total}"])
     return out
 
 

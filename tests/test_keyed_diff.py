@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from collections import Counter
 
 import pytest
 
@@ -149,6 +150,32 @@ def test_many_keys_become_buckets(spark):
     assert e.estimate("never") == 0
 
 
+def test_strings_that_are_not_kept_are_counted(spark):
+    # "s" has a long tail on equal rows, pairs of changed rows too
+    left = [(i, f"s{i % 97 if i % 3 else i}") for i in range(900)]
+    right = [(i, s if i % 2 else f"{s}'") for i, s in left]
+    s = summary(spark, left, right, "id int, s string", ["id"], exact_keys=40)
+    equal, delta = s.equal_rows.by_column["s"], s.by_column["s"]
+    assert equal.count == 450 and equal.enums["value"].total == 450
+    assert delta.left.count == delta.right.count == 900 and delta.left.enums["value"].total == 900
+    pairs = delta.error.enums["from_to"]
+    assert delta.error.count == pairs.total == 450 and pairs.rest > 0
+    for describe, seen in ((equal, Counter(a for (i, a) in left if i % 2)), (delta.left, Counter(a for _, a in left))):
+        e = describe.enums["value"]
+        assert e.large and e.rest > 0 and all(n <= e.estimate(k) <= n + 3 for k, n in seen.items())
+        assert [n for _, n in e.heavy_hitters(40)] == [n for _, n in seen.most_common(40)]
+    assert all(pairs.estimate((a, f"{a}'")) >= 1 for i, a in left if i % 2 == 0)
+    assert ds.from_json(ds.to_json(s)) == s and "all strings: 900" in ds.render(s)
+
+
+def test_bounded_statistics_lose_no_row(spark):
+    stats = kd.statistics(classes(spark, [(i, f"s{i}") for i in range(500)], [(i, f"t{i // 2}") for i in range(500)], "id int, s string", ["id"]))
+    bound = kd.bounded(stats, 30).collect()
+    assert sum(r["n"] for r in bound) == stats.agg({"n": "sum"}).first()[0]
+    rest = {(r["role"], r["n"], r["rest_keys"]) for r in bound if r["rest_keys"] is not None}
+    assert rest == {("left", 470, 470), ("right", 440, 220), ("error", 470, 470)}
+
+
 def test_coarse_statistics_bound_every_number(spark):
     rows = [(i, (i - 500) * 37, i / 7) for i in range(1000)]
     s = summary(spark, rows, rows, "id int, n bigint, d double", ["id"], coarse=True)
