@@ -2,12 +2,14 @@
 
 Items are taken in blocks. One pass over the corpus finds, for each document,
 which shingles of the block's items it holds; over all documents these give
-each shingle's rarity. In the order of rarity an item that is contained to the
-share ``least_shared`` must have one of its first ``n - need + 1`` shingles in
-the document (its prefix): only those are looked up. What is left is bounded
-by length and by the position in the order, then verified word by word: runs
-of equal words, apart by small edits only, make passages, and the passages
-that follow each other in item and document make up the contained share.
+each shingle's rarity. An item that passes the verification has ``need`` of its
+shingles in the document (:func:`least_intact`), so in the order of rarity it
+must have one of its first ``n - need + 1`` shingles there (its prefix): only
+those are looked up. What is left is bounded by length and by the position in
+the order, and by the words that shingles of the document cover in stretches of
+the item; then it is verified word by word: runs of equal words, apart by small
+edits only, make passages, and the passages that follow each other in item and
+document make up the contained share. No bound drops a pair that passes.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ from rowlattice.session import materialize, ship_package
 
 #: Items looked for in one pass over the corpus.
 BLOCK_ITEMS = 5_000
-SHINGLE = 5
+#: Words of a shingle, and of the shortest run of equal words.
+SHINGLE = 3
+#: Words between two runs of a passage, words a passage spans at least, and its share of equal ones.
+GAP, LONG, DENSE = 4, 20, 0.87
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,10 +51,44 @@ def codes(ids: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
+def least_intact(times: np.ndarray, length: int, least_words: float) -> int:
+    """Lowest number of an item's shingles in a document that passes verification.
+
+    ``times`` is how often each shingle is in the item, of ``length`` words.
+    Passages of ``k`` words have ``DENSE * k`` equal ones in runs of at least
+    ``SHINGLE``. A run of ``r`` words, without what an earlier one has, brings
+    ``max(1, r - 2)`` places of shingles, a third of ``r`` or more. Passages
+    overlap by ``GAP`` words, so all but the first may share ``GAP - 2`` places
+    with another. As few shingles as can fill these places are needed.
+    """
+    k = max(least_words * length, min(LONG, length))
+    places = DENSE * k / 3 - (GAP - 2) * max(0.0, k / LONG - 1)
+    return 1 + int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), places - 1e-6)) if len(times) else 1
+
+
+def least_covered(length: int, least_words: float) -> tuple[float, float]:
+    """Lowest number of an item's words, in a pair that passes, that are equal
+    in passages and that are in passages (:func:`dense_words`)."""
+    k = max(least_words * length, min(LONG, length))
+    shared = GAP * max(0.0, k / LONG - 1)
+    return DENSE * k - shared - 1e-6, k - shared - 1e-6
+
+
+def dense_words(covered: np.ndarray) -> int:
+    """Words in stretches long enough for a passage, covered in a share ``DENSE``."""
+    n = len(covered)
+    rise = np.append(0.0, np.cumsum(covered - DENSE))
+    ahead = np.maximum.accumulate(rise[::-1])
+    end = n - np.searchsorted(ahead, rise[:n] - 1e-9)  # the furthest one that is no lower
+    at = np.flatnonzero(end - np.arange(n) >= min(LONG, n))
+    change = np.bincount(at, minlength=n + 1) - np.bincount(end[at], minlength=n + 1)
+    return int((np.cumsum(change) > 0).sum())
+
+
 class Block:
     """The words and shingles of a block of items, as numbers."""
 
-    def __init__(self, items: list[tuple[int, str]], least_shared: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], least_shared: float, least_words: float = 0.45) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items: list[int] = []
         self.words: list[np.ndarray] = []
@@ -58,10 +97,16 @@ class Block:
             if tokens:
                 self.items.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens], np.int32))
-        own = [np.unique(codes(w, min(SHINGLE, len(w)))) for w in self.words]
+        counted = [np.unique(codes(w, min(SHINGLE, len(w))), return_counts=True) for w in self.words]
+        own = [c for c, _ in counted]
         self.table = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))
         self.shingles = [np.searchsorted(self.table, c) for c in own]
-        self.need = [max(1, math.ceil(least_shared * len(s))) for s in self.shingles]
+        # never more than a pair that passes has
+        self.need = [max(1, min(math.ceil(least_shared * len(c)), least_intact(t, len(w), least_words))) for (c, t), w in zip(counted, self.words)]
+        # the shingle that begins at each word, and one that is in no text
+        starts = [np.searchsorted(self.table, codes(w, min(SHINGLE, len(w)))) for w in self.words]
+        self.starts = [np.append(a, np.full(len(w) - len(a), len(self.table))) for a, w in zip(starts, self.words)]
+        self.covered = [least_covered(len(w), least_words) for w in self.words]
         self.sizes = sorted({min(SHINGLE, len(w)) for w in self.words}, reverse=True)
         self.least = min(self.need, default=1)
 
@@ -166,7 +211,7 @@ def passages(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int,
     return out + open_ones
 
 
-def contained_share(item: np.ndarray, document: np.ndarray, anchor: int = 3, gap: int = 4, long: int = 20, dense: float = 0.87) -> float:
+def contained_share(item: np.ndarray, document: np.ndarray, anchor: int = SHINGLE, gap: int = GAP, long: int = LONG, dense: float = DENSE) -> float:
     """Share of the item's words in long passages that keep their order.
 
     A passage spans at least ``long`` words of the item (or all of it) and is
@@ -214,7 +259,22 @@ def candidates(shingles: np.ndarray, order: np.ndarray, prefix: dict[int, list[t
             seen.add(item)
             if min(len(ranked) - place, len(block.shingles[item]) - position) >= block.need[item]:
                 out.append(item)
-    return [i for i in out if np.isin(block.shingles[i], shingles, assume_unique=True).sum() >= block.need[i]]
+    if not out:
+        return out
+    there = np.zeros(len(block.table) + 1, bool)
+    there[shingles] = True
+    ends = np.cumsum([len(block.starts[i]) for i in out])
+    begins = there[np.concatenate([block.starts[i] for i in out])]
+    covered = begins.copy()
+    for k in range(1, SHINGLE):
+        covered[k:] |= begins[:-k]
+    words_there = np.add.reduceat(covered.astype(np.int64), np.append(0, ends[:-1]))
+    likely = []
+    for item, end, n in zip(out, ends.tolist(), words_there.tolist()):
+        equal, dense = block.covered[item]
+        if n >= equal and dense_words(covered[end - len(block.starts[item]) : end]) >= dense:
+            likely.append(item)
+    return [i for i in likely if np.isin(block.shingles[i], shingles, assume_unique=True).sum() >= block.need[i]]
 
 
 def verified(batches: Iterator[pa.RecordBatch], block: Block, order: np.ndarray, least_words: float, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -254,6 +314,8 @@ def leaked_items(
     """Documents that contain at least ``least_words`` of an item's words.
 
     Returns ``doc_id`` and ``item_id``, of the types they have, and ``share``.
+    A pair is verified if it has the share ``least_shared`` of the item's
+    shingles, or as few as a pair with ``least_words`` can have: none is lost.
 
     Defined results: texts are read without markup and regardless of case,
     punctuation, spacing and character encoding; null or empty texts contain
@@ -274,7 +336,7 @@ def leaked_items(
     results = []
     for number in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number)
-        block = Block(sorted(((r[0], r[1]) for r in part.where(F.col("t").isNotNull()).collect()), key=repr), least_shared)
+        block = Block(sorted(((r[0], r[1]) for r in part.where(F.col("t").isNotNull()).collect()), key=repr), least_shared, least_words)
         if not block.items:
             continue
         table = materialize(corpus.mapInArrow(lambda it, b=block: matches(it, b), f"doc {doc_kind}, shingles array<int>, words array<int>"))

@@ -104,6 +104,39 @@ def test_verification_agrees_with_all_pairs(corpus):
     assert got == wanted
 
 
+def test_the_filter_loses_no_pair_that_passes(spark):
+    item = [f"w{i}" for i in range(100)]
+    edited = [w if i % 8 or not i else f"x{i}" for i, w in enumerate(item[:48])][1:]
+    refrain = ["la"] * 60 + [f"v{i}" for i in range(60)]
+    texts = {"edits": edited, "refrain": refrain[:60] + ["other"] * 20}
+    frames = [spark.createDataFrame([(k, " ".join(v)) for k, v in d.items()], f"{n} string, text string") for n, d in (("doc_id", texts), ("item_id", {"edits": item, "refrain": refrain}))]
+    found = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(*frames).collect()}
+    assert found == {("edits", "edits"), ("refrain", "refrain")}
+
+
+def test_a_verified_pair_has_the_shingles_needed():
+    rng = np.random.default_rng(5)
+    passed = 0
+    for _ in range(3000):
+        item = rng.integers(0, rng.choice([4, 30, 1000]), int(rng.integers(1, 130))).astype(np.int32)
+        start = int(rng.integers(0, max(1, len(item) // 2)))
+        document = list(item[start : start + int(rng.integers(len(item) // 3 + 1, len(item) + 1))])
+        for at in range(len(document) - 1, -1, -int(rng.integers(3, 12))):
+            kind = rng.integers(3)
+            document[at : at + int(kind > 0)] = [2000 + at] * int(kind < 2)
+        document = np.array(document, np.int32)
+        if leakage.contained_share(item, document) >= 0.45:
+            passed += 1
+            size = min(leakage.SHINGLE, len(item))
+            own, times = np.unique(leakage.codes(item, size), return_counts=True)
+            assert np.isin(own, leakage.codes(document, size)).sum() >= leakage.least_intact(times, len(item), 0.45)
+            known = np.isin(leakage.codes(item, size), leakage.codes(document, size))
+            covered = np.convolve(known, np.ones(size, int))[: len(item)] > 0
+            equal, dense = leakage.least_covered(len(item), 0.45)
+            assert covered.sum() >= equal and leakage.dense_words(covered) >= dense
+    assert passed > 500
+
+
 def test_leaks_in_odd_texts(spark):
     long = " ".join(f"x{i % 977}y{i}" for i in range(60_000))
     item = " ".join(f"q{i}" for i in range(60))
