@@ -29,8 +29,6 @@ from rowlattice.session import ship_package
 #: Labelled documents of each language that the model is fitted on.
 PER_LANGUAGE = 250
 BUCKETS = 1 << 17
-#: Features of a word; a longer word's middle n-grams beyond this are left out.
-FEATURES = 28
 #: Words decoded in one piece, and what pieces of a longer text share.
 PIECE, SHARED = 1024, 32
 #: Word types kept by a worker before it starts afresh.
@@ -84,7 +82,7 @@ def features(word: str) -> list[int]:
         out.append("s " + low[-4:])
     whole = f"^{low}$"
     grams = [f"g {whole[i : i + n]}" for n in (2, 3) for i in range(len(whole) - n + 1)]
-    return [_bucket(f) for f in (out + grams)[:FEATURES]]
+    return [_bucket(f) for f in out + grams]
 
 
 def sentences(text: str | None) -> list[tuple[int, int, list[str], bool]]:
@@ -167,8 +165,7 @@ class Model:
                 fresh = list(dict.fromkeys(words))
             start = len(known)
             known.update(zip(fresh, range(start, start + len(fresh))))
-            table = feature_table(fresh)
-            logs = self.weights[table].sum(1)
+            logs = feature_sums(self.weights, *feature_table(fresh))
             logs -= logs.max(1, keepdims=True)
             rows = np.exp(logs).astype(np.float32) + 1e-6
             if self.scores is None or start == 0:
@@ -206,12 +203,28 @@ class Model:
         return out
 
 
-def feature_table(words: Sequence[str]) -> np.ndarray:
-    table = np.zeros((len(words), FEATURES), np.int32)
-    for row, word in enumerate(words):
-        numbers = features(word)
-        table[row, : len(numbers)] = numbers
-    return table
+def feature_table(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all words one after another, and where each word's begin.
+
+    Every word has one at least; the last place is the end of the last word.
+    """
+    found = [features(word) for word in words]
+    flat = np.fromiter((x for numbers in found for x in numbers), np.int32)
+    return flat, np.append(0, np.cumsum([len(numbers) for numbers in found], dtype=np.int64))
+
+
+def rows_of(flat: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table of some of the words."""
+    lengths = np.diff(offsets)[words]
+    begins = np.append(0, np.cumsum(lengths))
+    return flat[np.repeat(offsets[words] - begins[:-1], lengths) + np.arange(begins[-1])], begins
+
+
+def feature_sums(weights: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each word's features."""
+    if len(offsets) < 2:
+        return np.zeros((0, weights.shape[1]), weights.dtype)
+    return np.add.reduceat(weights[flat], offsets[:-1], axis=0)
 
 
 def cleaned(coded: list[np.ndarray], given: np.ndarray, labels: int, passes: int = 3) -> np.ndarray:
@@ -260,8 +273,9 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
     k = len(labels)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in pool for w in s[0]))}
     # only features of the sample's words are fitted; place 0 is no feature
-    used, places = np.unique(np.append(0, feature_table(list(vocabulary))), return_inverse=True)
-    table = places[1:].reshape(-1, FEATURES)
+    flat, offsets = feature_table(list(vocabulary))
+    used, places = np.unique(np.append(0, flat), return_inverse=True)
+    flat = places[1:]
     coded = [np.array([vocabulary[w] for w in s[0]]) for s in pool]
     truth = cleaned(coded, np.array([s[1] for s in pool]), k)
     weights, moves = np.zeros((len(used), k)), np.eye(k) * 2.0
@@ -290,7 +304,8 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
             there = np.arange(lengths[0])[:, None] < lengths[None, :]
             types, back = np.unique(words, return_inverse=True)
             back = back.reshape(words.shape)
-            logs = weights[table[types]].sum(1)
+            some, begins = rows_of(flat, offsets, types)
+            logs = feature_sums(weights, some, begins)
             logs -= logs.max(1, keepdims=True)
             scores = np.exp(logs) + 1e-9
             gamma, expected = forward_backward(scores[back], lengths, np.exp(moves), True)
@@ -300,7 +315,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
             by_type = np.zeros((len(types), k))
             np.add.at(by_type, back.ravel(), error.reshape(-1, k))
             grad = np.zeros_like(weights)
-            np.add.at(grad, table[types].ravel(), np.repeat(by_type, FEATURES, 0))
+            np.add.at(grad, some, np.repeat(by_type, np.diff(begins), 0))
             grad[0] = 0
             seen = np.zeros((k, k))
             both = there[1:]

@@ -208,6 +208,18 @@ def test_mixture_of_nothing(spark):
 # -- languages ----------------------------------------------------------------------------------
 
 
+def test_long_words_keep_all_their_features():
+    word = "donaudampfschifffahrtsgesellschaft"
+    grams = {f"g {w[i : i + n]}" for w in [f"^{word}$"] for n in (2, 3) for i in range(len(w) - n + 1)}
+    assert {language._bucket(g) for g in grams} <= set(language.features(word))
+    known = ["a", word, "12", "haus"]
+    flat, offsets = language.feature_table(known)
+    assert [list(flat[a:b]) for a, b in zip(offsets, offsets[1:])] == [language.features(w) for w in known]
+    weights = np.arange(language.BUCKETS * 2, dtype=float).reshape(-1, 2)
+    some, begins = language.rows_of(flat, offsets, np.array([1, 3]))
+    assert (language.feature_sums(weights, some, begins) == [weights[language.features(w)].sum(0) for w in (word, "haus")]).all()
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(3)
     lengths, k = np.array([4, 2, 1]), 3
