@@ -137,6 +137,9 @@ def frequent_values(rows: DataFrame, group: str, value: str, weight: str, k: int
 
 
 def once(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Each key once: redelivered rows hold the same content."""
-    packed = rows.groupBy(key).agg(*[F.first(c).alias(c) for c in columns])
-    return packed.select(*columns)
+    """Each key once: redelivered rows hold the same content.
+
+    Rows whose key is null are no redeliveries of each other: all are kept.
+    """
+    packed = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.first(c).alias(c) for c in columns])
+    return packed.select(*columns).union(rows.where(F.col(key).isNull()).select(*columns))

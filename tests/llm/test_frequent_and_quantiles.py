@@ -59,6 +59,11 @@ def test_each_delivery_counts_once(spark):
     assert sorted((r["str"] or "") for r in frequent.once(frame, "row_id", ["colname", "str"]).collect()) == ["", "x"]
 
 
+def test_rows_without_key_are_all_kept(spark):
+    frame = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (None, "a", "y"), (None, "a", "y"), (None, "b", None)], "row_id long, colname string, str string")
+    assert Counter(tuple(r) for r in frequent.once(frame, "row_id", ["colname", "str"]).collect()) == {("a", "x"): 1, ("a", "y"): 2, ("b", None): 1}
+
+
 PCTS = [1, 5, 25, 50, 75, 95, 99, 100]
 
 
