@@ -28,6 +28,8 @@ VOCABULARY = os.environ.get("ROWLATTICE_VOCABULARY", "/opt/tokenizers/byte_bpe_5
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters encoded at once; a longer text is cut at white space.
 PIECE = 100_000
+#: Thresholds listed for a source at most.
+LISTED = 10_000
 
 _encoders: dict = {}
 
@@ -102,11 +104,27 @@ def capped_thresholds(rate: float, cap: int) -> list[float]:
     return [0.0] * whole + [1.0 - (rate - whole)] * (1 if rate > whole else 0)
 
 
+def whole_and_thresholds(rate: float, cap: int) -> tuple[int, list[float]]:
+    """Copies that every document gets, and thresholds of those beyond them.
+
+    Up to ``LISTED`` thresholds are listed. Under a higher cap, a rate for which
+    that many are never reached needs no more of them; of a greater one all but
+    about a hundred copies are whole.
+    """
+    if cap <= LISTED:
+        return 0, capped_thresholds(rate, cap)
+    if rate >= cap:
+        return cap, []
+    whole = int(rate) - 100 if rate > 500 else 0
+    return whole, capped_thresholds(rate - whole, min(cap - whole, LISTED))
+
+
 def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Thresholds per source. In: source, rate, max_repeats."""
+    """Whole copies and thresholds per source. In: source, rate, max_repeats."""
     for batch in batches:
-        cdf = [capped_thresholds(r or 0.0, min(c or 0, 10_000)) for r, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cdf, pa.list_(pa.float64()))], names=["source", "cdf"])
+        plans = [whole_and_thresholds(r or 0.0, c or 0) for r, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        whole, cdf = [p[0] for p in plans], [p[1] for p in plans]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int32()), pa.array(cdf, pa.list_(pa.float64()))], names=["source", "whole", "cdf"])
 
 
 @dataclass
@@ -157,7 +175,7 @@ def mixture(
     spark = documents.sparkSession
     ship_package(spark)
     spark.sparkContext.addFile(vocabulary)  # for executors that lack the path
-    kept_columns = [c for c in documents.columns if c not in ("copy_no", "__cdf", "__u", "__copies", "__place", "__source")]
+    kept_columns = [c for c in documents.columns if c not in ("copy_no", "__whole", "__cdf", "__u", "__copies", "__place", "__source")]
     cleaned = documents.select(*kept_columns).withColumn(source, clean_source(F.col(source)))
     sizes = cleaned.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), F.col(text).alias("t"))
     kinds = {f.name: f.dataType.simpleString() for f in sizes.schema.fields}
@@ -175,14 +193,14 @@ def mixture(
         total_tokens = scaled.where("usable").agg(F.min(F.col("cap") * F.col("tokens") / F.col("scaled"))).first()[0] or 0.0
     rate = F.when(F.col("usable"), F.least(F.col("cap").cast("double"), F.col("scaled") * F.lit(float(total_tokens)) / F.col("tokens"))).otherwise(0.0)
     planned = scaled.withColumn("rate", rate)
-    thresholds = planned.where("usable").select("source", "rate", "cap").mapInArrow(_plan, "source string, cdf array<double>")
+    thresholds = planned.where("usable").select("source", "rate", "cap").mapInArrow(_plan, "source string, whole int, cdf array<double>")
     thresholds = maybe_broadcast(materialize(thresholds), n_sources, 10_000)
 
     def copies(frame: DataFrame, id_column: str, source_column: str) -> DataFrame:
         draw = unit(F.lit(seed), F.col(id_column))
-        joined = frame.join(thresholds.toDF("__source", "__cdf"), F.col(source_column) == F.col("__source")).drop("__source")
+        joined = frame.join(thresholds.toDF("__source", "__whole", "__cdf"), F.col(source_column) == F.col("__source")).drop("__source")
         drawn = joined.withColumn("__u", draw)
-        return drawn.withColumn("__copies", F.size(F.filter("__cdf", lambda c: F.col("__u") >= c))).drop("__cdf", "__u")
+        return drawn.withColumn("__copies", F.col("__whole") + F.size(F.filter("__cdf", lambda c: F.col("__u") >= c))).drop("__whole", "__cdf", "__u")
 
     kept = copies(cleaned.where(F.length(text) > 0), doc_id, source).where(F.col("__copies") > 0)
     repeated = kept.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")

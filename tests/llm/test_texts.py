@@ -198,6 +198,22 @@ def test_mixture_reaches_its_shares(spark):
     assert Counter(r["doc_id"] for r in again.select("doc_id").collect()) == copies
 
 
+@pytest.mark.parametrize("rate, cap", [(2.5, 10**6), (499.5, 20_000), (12_000.25, 50_000), (19_999.5, 20_000), (30_000, 20_000), (10**6 + 0.5, 2 * 10**6)])
+def test_high_caps_are_not_cut(rate, cap):
+    whole, thresholds = mixing.whole_and_thresholds(rate, cap)
+    assert whole + sum(1 - t for t in thresholds) == pytest.approx(min(rate, cap), rel=1e-5)
+    assert len(thresholds) <= mixing.LISTED and whole + len(thresholds) <= cap
+
+
+def test_a_source_with_a_high_cap_reaches_its_share(spark):
+    documents = spark.createDataFrame([(1, "small", "one"), (2, "big", "word " * 15_000)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("small", 0.5, 20_000), ("big", 0.5, 1)], "source string, target_share double, max_repeats int")
+    made = mixing.mixture(documents, targets)
+    report = {r["source"]: r for r in made.report.collect()}
+    assert report["small"]["rate"] > 10_000 and report["small"]["n_copies"] == made.documents.where("source = 'small'").count()
+    assert report["small"]["reached_share"] == pytest.approx(0.5, abs=0.01)
+
+
 def test_mixture_of_nothing(spark):
     made = mixed(spark, [], [("a", 1.0, 1)])
     assert made.documents.count() == 0
