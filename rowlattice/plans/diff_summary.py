@@ -10,11 +10,12 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlattice.operators import keyed_diff as kd
-from rowlattice.session import materialize
+from rowlattice.session import materialize, ship_package
 
 #: Sets of differing columns that a summary keeps apart.
 MAX_SETS = 128
@@ -235,18 +236,13 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
             out.rows_equal = out.equal_rows.count = row["n"]
         elif row["section"] != "inner_diff":
             (out.left_only if row["section"] == "outer_left" else out.right_only).count = row["n"]
-    sets = _merged_sets(counted, max_sets, seed)
-    unions = sorted(set(sets.values()), key=sorted)
-    place = {u: str(i) for i, u in enumerate(unions)}
-    labels = spark.createDataFrame([(sorted(s), place[u]) for s, u in sets.items()], "__set array<string>, __label string")
-    labelled = classes.join(F.broadcast(labels), F.array_sort("diff_set") == F.col("__set"), "left")
-    rest = frozenset(out.columns)
-    stats = kd.statistics(labelled, coarse, F.coalesce("__label", F.lit(place.get(rest, "rest"))))
+    labels, unions = _labels(counted, out.columns, max_sets, seed)
+    labelled = classes.join(labels, F.array_sort("diff_set") == F.col("__set"), "left")
+    stats = kd.statistics(labelled, coarse, F.coalesce("__label", F.lit("none")))
     for row in kd.bounded(stats, exact_keys).collect():
         section, column, role = row["section"], row["column"], row["role"]
         if section == "inner_diff":
-            union = unions[int(row["diff_set"])] if row["diff_set"] != "rest" else rest
-            by_row = out.by_set.setdefault(union, DeltaByRow())
+            by_row = out.by_set.setdefault(unions[int(row["diff_set"])], DeltaByRow())
             delta = by_row.by_column.setdefault(column, Delta())
             if role == "pair":
                 if row["metric"] == "nEqual":
@@ -266,16 +262,39 @@ def summarise(classes: DataFrame, exact_keys: int = kd.EXACT_KEYS, max_sets: int
     return out
 
 
-def _merged_sets(counted: DataFrame, most: int, seed: int) -> dict[frozenset, frozenset]:
-    """Each frequent set of differing columns and the union it is merged into.
+def _labels(counted: DataFrame, columns: Sequence[str], most: int, seed: int) -> tuple[DataFrame, list[frozenset]]:
+    """Each set of differing columns (``__set``) and the place, as text, of the union it is merged into.
 
-    Sets beyond the ``LISTED_SETS`` most frequent are in none: their rows are
-    taken together as differing in all columns.
+    The ``LISTED_SETS`` most frequent sets are merged here. Each rarer one goes
+    to the nearest of their unions on the executors; the unions then take in
+    the columns of all their sets.
     """
+    spark = counted.sparkSession
     inner = counted.where(F.col("section") == "inner_diff")
     found = [frozenset(r["s"]) for r in inner.orderBy(F.desc("n"), "s").limit(LISTED_SETS).collect()]
-    unions = compact_sets({s: [s] for s in found}, most, lambda a, b: a + b, seed)
-    return {s: union for union, members in unions.items() for s in members}
+    merged = compact_sets({s: [s] for s in found}, most, lambda a, b: a + b, seed)
+    unions = sorted(merged, key=sorted)
+    place = {s: i for i, u in enumerate(unions) for s in merged[u]}
+    labels = F.broadcast(spark.createDataFrame([(sorted(s), i) for s, i in place.items()], "__set array<string>, __place int"))
+    if len(found) == LISTED_SETS:
+        ship_package(spark)
+        bit = {c: 1 << i for i, c in enumerate(columns)}
+        centres = [sum(bit[c] for c in u) for u in unions]
+        rarer = inner.join(labels, F.col("s") == F.col("__set"), "left_anti").select(F.col("s").alias("__set"))
+        nearest = materialize(rarer.mapInArrow(lambda batches: _nearest(batches, bit, centres), "__set array<string>, __place int"))
+        for row in nearest.select("__place", F.explode("__set").alias("c")).groupBy("__place").agg(F.collect_set("c").alias("cs")).collect():
+            unions[row["__place"]] |= frozenset(row["cs"])
+        labels = labels.union(nearest)
+    final = sorted(set(unions), key=sorted)  # some may have become the same
+    names = F.array(*[F.lit(str(final.index(u))) for u in unions]).cast("array<string>")
+    return labels.select("__set", F.get(names, F.col("__place")).alias("__label")), final
+
+
+def _nearest(batches: Iterable[pa.RecordBatch], bit: dict[str, int], centres: list[int]) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        points = [sum(bit[c] for c in s) for s in batch.column(0).to_pylist()]
+        places = [min(range(len(centres)), key=lambda i: (set_distance(centres[i], p), i)) for p in points]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int32())], names=["__set", "__place"])
 
 
 def sources_of(left: DataFrame, right: DataFrame) -> dict[str, list[str]]:

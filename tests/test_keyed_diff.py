@@ -251,6 +251,19 @@ def test_many_sets_are_merged_before_they_are_collected(spark, monkeypatch):
             assert {c for c, d in delta.by_column.items() if d.n_not_equal} <= union
 
 
+def test_rare_sets_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ds, "LISTED_SETS", 5)
+    schema = "id int, " + ", ".join(f"c{i} int" for i in range(8))
+    left = [(i, *[0] * 8) for i in range(64)]
+    right = [(i, *[(i >> b & 1) if i < 8 else (i - 8) % 8 == b for b in range(8)]) for i in range(64)]
+    right = [(r[0], *map(int, r[1:8]), 0) for r in right]  # c7 never differs
+    s = summary(spark, left, right, schema, ["id"], max_sets=4)
+    assert len(s.by_set) <= 4 and s.rows_not_equal == sum(any(r[1:]) for r in right) and s.rows_equal == sum(not any(r[1:]) for r in right)
+    for union, delta in s.by_set.items():
+        assert {c for c, d in delta.by_column.items() if d.n_not_equal} == union
+    assert {c: d.n_not_equal for c, d in s.by_column.items()} == {f"c{b}": sum(r[b + 1] for r in right) for b in range(8)}
+
+
 def test_distance_of_sets():
     assert ds.set_distance(0b11, 0b11) == 0
     assert ds.set_distance(0b11, 0b01) == pytest.approx(1 * (1 + 4**0.5))
