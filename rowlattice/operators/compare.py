@@ -283,12 +283,16 @@ def assert_equal(actual: DataFrame, expected: DataFrame, *, ordered: bool = True
         raise ValueMismatch(report(found))
 
 
-def approx_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], approx: float) -> DataFrame:
+def approx_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], approx: float, one_sided: bool = False) -> DataFrame:
     """Keys and columns whose values are further apart than ``approx``, at scale.
 
     Joined null-safely on the keys, which must be unique; columns that are not
     numbers or timestamps are compared exactly. One row per key and column.
+    Only keys of both sides are compared; with ``one_sided``, each other key
+    is a row as well, and ``side`` is left, right or, for a column, both.
     """
+    if one_sided:
+        left, right = left.withColumn("__here", F.lit(True)), right.withColumn("__here", F.lit(True))
     a, b = left.alias("a"), right.alias("b")
     on = None
     for k in keys:
@@ -296,7 +300,7 @@ def approx_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], a
         on = same if on is None else on & same
     checks = []
     for f in left.schema.fields:
-        if f.name in keys:
+        if f.name in keys or f.name == "__here":
             continue
         x, y = F.col(f"a.{quoted(f.name)}"), F.col(f"b.{quoted(f.name)}")
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
@@ -307,6 +311,11 @@ def approx_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], a
             far = ~x.eqNullSafe(y)
         checks.append(F.when(far, F.lit(f.name)))
     found = F.filter(F.array(*checks), lambda c: c.isNotNull())
+    if one_sided:
+        side = F.when(F.col("b.__here").isNull(), "left").when(F.col("a.__here").isNull(), "right").otherwise("both")
+        of_key = [F.when(side == "right", F.col(f"b.{quoted(k)}")).otherwise(F.col(f"a.{quoted(k)}")).alias(k) for k in keys]
+        columns = F.when(side == "both", found).otherwise(F.array(F.lit(None).cast("string")))
+        return a.join(b, on, "full_outer").select(*of_key, F.explode(columns).alias("column"), side.alias("side"))
     return a.join(b, on).select(*[F.col(f"a.{quoted(k)}").alias(k) for k in keys], F.explode(found).alias("column"))
 
 

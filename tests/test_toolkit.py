@@ -338,6 +338,13 @@ def test_approximate_equality(spark):
     assert rows(cmp.approx_differences(a, b, ["k"], 0.1)) == [(2, "x"), (3, "x")]
 
 
+def test_approximate_differences_of_keys_on_one_side(spark):
+    a, b = (spark.createDataFrame(r, "k int, x double") for r in ([(1, 1.0), (2, 2.0), (None, 1.0)], [(1, 1.5), (3, 3.0), (None, 1.0)]))
+    found = cmp.approx_differences(a, b, ["k"], 0.1, one_sided=True).collect()
+    assert {tuple(r) for r in found} == {(1, "x", "both"), (2, None, "left"), (3, None, "right")} and len(found) == 3
+    assert [tuple(r) for r in cmp.approx_differences(a, b, ["k"], 0.1).collect()] == [(1, "x")]
+
+
 def test_nullability(spark):
     strict = cmp.set_nullable(ints(spark, 1, 2), "id", False)
     assert not strict.schema["id"].nullable
