@@ -215,6 +215,15 @@ def d17_compacted_sets(spark, sf_dir):
     return spark.createDataFrame([(sum(merged.values()), 1 <= len(merged) <= 8)], "n_rows bigint, few boolean")
 
 
+@query()
+def d17_merged_sets(spark, sf_dir):
+    """Each merged set with its rows and the sets merged into it."""
+    sets = {frozenset(r["diff_set"].split(",")): r["n"] for r in kd.diff_sets(_classes(spark, sf_dir)).collect()}
+    merged = ds.compact_sets({s: (n, [s]) for s, n in sets.items()}, 8, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    rows = [(",".join(sorted(u)), n, sorted(",".join(sorted(s)) for s in members)) for u, (n, members) in merged.items()]
+    return spark.createDataFrame(rows, "diff_set string, n bigint, members array<string>")
+
+
 @query(f"""{_PAIRS}, k AS (SELECT count(*) FILTER (section LIKE 'outer%') AS o, count(*) FILTER (section = 'inner_diff') AS d, count(*) FILTER (list_contains(s, 'flag')) AS f, count(*) FILTER (list_contains(s, 'value')) AS v FROM c)
 SELECT 'no_outer' AS demand, o = 0 AS holds FROM k UNION ALL SELECT 'no_inner', d = 0 FROM k UNION ALL SELECT 'is_similar', o = 0 AND d = 0 FROM k UNION ALL SELECT 'column_changes(flag, value)', f > 0 AND v > 0 FROM k UNION ALL SELECT 'column_keeps(value)', v = 0 FROM k""")
 def k6_constraints(spark, sf_dir):
@@ -230,6 +239,14 @@ def m8_summary_round_trip(spark, sf_dir):
     return spark.createDataFrame([(ds.to_json(ds.from_json(ds.to_json(summary))) == ds.to_json(summary),)], "same boolean")
 
 
+@query(f'{_STATS} SELECT "column", role, sum(n)::BIGINT AS n FROM stats WHERE section LIKE \'inner%\' GROUP BY 1, 2')
+def m8_summary_counts(spark, sf_dir):
+    """Values counted by the summary, after a round trip through JSON."""
+    summary = ds.from_json(ds.to_json(ds.summarise(_classes(spark, sf_dir), coarse=True)))
+    rows = [(c, role, n) for c, d in summary.by_column.items() for role, n in (("left", d.left.count), ("right", d.right.count), ("error", d.error.count), ("pair", d.n_equal + d.n_not_equal)) if n]
+    return spark.createDataFrame(rows, "column string, role string, n bigint")
+
+
 @query()
 def m7_report(spark, sf_dir):
     lines = ds.render(ds.summarise(_classes(spark, sf_dir))).split("\n")
@@ -674,6 +691,41 @@ def i4_tapped_map(spark, sf_dir):
     return called.select("n_nationkey", "result", "ok")
 
 
+def _doubled_or_failed(row: dict) -> int:
+    if row["o_orderkey"] % 50 == 0:
+        raise ValueError("no answer")
+    return row["o_orderkey"] * 2
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey * 2 END AS result, o_orderkey % 50 <> 0 AS ok, CASE WHEN o_orderkey % 50 = 0 THEN 'ValueError: no answer' END AS error FROM orders")
+def i4_tapped_orders(spark, sf_dir):
+    """A tap that stays closed: only failing calls fail."""
+    called = fx.tapped_map(table(spark, sf_dir, "orders").select("o_orderkey"), _doubled_or_failed, "bigint", max_error=1.0, limiter=lambda: fx.TaskLimiter(0.01, 1_000))
+    return called.select("o_orderkey", "result", "ok", "error")
+
+
+def _failed_if_finished(row: dict) -> int:
+    if row["o_orderstatus"] == "F":
+        raise ValueError("no answer")
+    return row["o_orderkey"]
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_failing, 0::BIGINT AS n_failing_ok, 0::BIGINT AS n_wrong, true AS opened FROM orders")
+def i4_open_tap(spark, sf_dir):
+    """A tap that opens; which rows it rejects depends on their order."""
+    called = fx.tapped_map(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), _failed_if_finished, "bigint")
+    failing, rejected = F.col("o_orderstatus") == "F", F.col("error") == "rejected"
+    right = F.when(F.col("ok"), F.col("result") == F.col("o_orderkey")).otherwise(rejected | failing)
+    return called.agg(F.count(F.lit(1)).alias("n"), F.count_if(failing).alias("n_failing"), F.count_if(failing & F.col("ok")).alias("n_failing_ok"), F.count_if(~right).alias("n_wrong"), F.bool_or(rejected).alias("opened"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey * 2 END AS result, o_orderkey % 50 <> 0 AS ok, 3 AS passes FROM orders")
+def i6_retried_orders(spark, sf_dir):
+    """Rows that fail in each pass, besides those done in the first."""
+    called, execution = fx.retry(table(spark, sf_dir, "orders").select("o_orderkey"), _doubled_or_failed, "bigint")
+    return called.select("o_orderkey", "result", "ok", F.lit(execution.passes).alias("passes"))
+
+
 @query("SELECT s_suppkey, s_suppkey + 1 AS result FROM supplier")
 def i6_retry(spark, sf_dir):
     called, _ = fx.retry(table(spark, sf_dir, "supplier").select("s_suppkey"), lambda r: r["s_suppkey"] + 1, "bigint")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from rowlattice import queries_core
 from rowlattice.operators import keyed_diff as kd
 from rowlattice.plans import diff_summary as ds
 from rowlattice.plans.schema import SchemaError
@@ -264,6 +265,15 @@ def test_rare_sets_are_told_apart(spark, monkeypatch):
     assert {c: d.n_not_equal for c, d in s.by_column.items()} == {f"c{b}": sum(r[b + 1] for r in right) for b in range(8)}
 
 
+def test_merged_sets_hold_the_rows_of_their_members(spark, sf_dir):
+    counts = {r["diff_set"]: r["n"] for r in kd.diff_sets(queries_core._classes(spark, sf_dir)).collect()}
+    merged = queries_core.d17_merged_sets(spark, sf_dir).collect()
+    assert 1 <= len(merged) <= 8 and sorted(s for r in merged for s in r["members"]) == sorted(counts)
+    for r in merged:
+        assert r["n"] == sum(counts[s] for s in r["members"])
+        assert set(r["diff_set"].split(",")) == {c for s in r["members"] for c in s.split(",")}
+
+
 def test_distance_of_sets():
     assert ds.set_distance(0b11, 0b11) == 0
     assert ds.set_distance(0b11, 0b01) == pytest.approx(1 * (1 + 4**0.5))
