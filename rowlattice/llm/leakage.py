@@ -1,15 +1,16 @@
 """Evaluation passages inside a corpus, by a prefix-filtered set join.
 
-Items are taken in blocks. One pass over the corpus finds, for each document,
-which shingles of the block's items it holds; over all documents these give
-each shingle's rarity. An item that passes the verification has ``need`` of its
-shingles in the document (:func:`least_intact`), so in the order of rarity it
-must have one of its first ``n - need + 1`` shingles there (its prefix): only
-those are looked up. What is left is bounded by length and by the position in
-the order, and by the words that shingles of the document cover in stretches of
-the item; then it is verified word by word: runs of equal words, apart by small
-edits only, make passages, and the passages that follow each other in item and
-document make up the contained share. No bound drops a pair that passes.
+An item is a set of shingles. One pass over the corpus turns each document
+into the set of those shingles of its own that any item has. Counted over all
+documents, these give the order of rarity. A pair that passes the verification
+has ``need`` shingles in common (:func:`need_of`), so in this order the
+document must hold one of the item's first ``n - need + 1`` (its prefix): the
+documents are joined with the prefixes, and what is found is bounded by length,
+by the positions in the order and by the number of common shingles. Then it is
+verified word by word in windows as wide as the item around the shingles it
+shares: runs of equal words, apart by small edits only, make passages, and the
+passages that follow each other in item and document make up the contained
+share. No bound drops a pair that passes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from rowlattice.llm.text import words
 from rowlattice.session import materialize, ship_package
 
-#: Items looked for in one pass over the corpus.
-BLOCK_ITEMS = 5_000
+#: Bytes of item texts looked for in one pass over the corpus: about 20,000
+#: items of 200 words. Their words and shingles are what is broadcast.
+BLOCK_BYTES = 24_000_000
 #: Words of a shingle, and of the shortest run of equal words.
-SHINGLE = 3
+SHINGLE, RUN = 5, 3
 #: Words between two runs of a passage, words a passage spans at least, and its share of equal ones.
 GAP, LONG, DENSE = 4, 20, 0.87
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -51,64 +55,79 @@ def codes(ids: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
-def least_intact(times: np.ndarray, length: int, least_words: float) -> int:
-    """Lowest number of an item's shingles in a document that passes verification.
+@lru_cache(maxsize=4096)
+def fewest_places(span: int, size: int) -> int:
+    """Places at which a passage of ``span`` words of an item has a whole shingle, at least.
 
-    ``times`` is how often each shingle is in the item, of ``length`` words.
-    Passages of ``k`` words have ``DENSE * k`` equal ones in runs of at least
-    ``SHINGLE``. A run of ``r`` words, without what an earlier one has, brings
-    ``max(1, r - 2)`` places of shingles, a third of ``r`` or more. Passages
-    overlap by ``GAP`` words, so all but the first may share ``GAP - 2`` places
-    with another. As few shingles as can fill these places are needed.
+    With ``e`` edits it has at most ``e + 1`` runs, and a run of ``r`` words
+    has ``r - size + 1`` places. At most ``e`` words of the item are edited,
+    and the share ``DENSE`` of equal words and edits together is equal.
     """
-    k = max(least_words * length, min(LONG, length))
-    places = DENSE * k / 3 - (GAP - 2) * max(0.0, k / LONG - 1)
-    return 1 + int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), places - 1e-6)) if len(times) else 1
+    least, edits = span - size + 1, 0
+    while True:
+        edits += 1
+        equal = max(span - edits, math.ceil(edits * DENSE / (1 - DENSE) - 1e-9))
+        if equal > span:
+            return max(0, least)
+        least = min(least, equal - (size - 1) * (edits + 1))
+
 
+@lru_cache(maxsize=1)
+def _places_a_word() -> float:
+    # from 200 words on a passage has more than 0.33 places a word
+    return min(fewest_places(span, SHINGLE) / span for span in range(LONG, 200))
 
-def least_covered(length: int, least_words: float) -> tuple[float, float]:
-    """Lowest number of an item's words, in a pair that passes, that are equal
-    in passages and that are in passages (:func:`dense_words`)."""
-    k = max(least_words * length, min(LONG, length))
-    shared = GAP * max(0.0, k / LONG - 1)
-    return DENSE * k - shared - 1e-6, k - shared - 1e-6
 
+def shingle_size(length: int) -> int:
+    """Words of an item's shingles: fewer where a short item could lose all."""
+    size = min(SHINGLE, length)
+    while size > 1 and length < LONG and not fewest_places(length, size):
+        size -= 1
+    return size
 
-def dense_words(covered: np.ndarray) -> int:
-    """Words in stretches long enough for a passage, covered in a share ``DENSE``."""
-    n = len(covered)
-    rise = np.append(0.0, np.cumsum(covered - DENSE))
-    ahead = np.maximum.accumulate(rise[::-1])
-    end = n - np.searchsorted(ahead, rise[:n] - 1e-9)  # the furthest one that is no lower
-    at = np.flatnonzero(end - np.arange(n) >= min(LONG, n))
-    change = np.bincount(at, minlength=n + 1) - np.bincount(end[at], minlength=n + 1)
-    return int((np.cumsum(change) > 0).sum())
+
+def need_of(times: np.ndarray, length: int, least_words: float) -> int:
+    """Lowest number of an item's shingles in a document that passes verification.
+
+    ``times`` is how often each shingle is in the item, of ``length`` words.
+    Passages overlap by ``GAP`` words, fewer than a shingle has, so their
+    places are apart; as few shingles as can fill these places are needed.
+    """
+    if not len(times):
+        return 1
+    if length < LONG:
+        places = fewest_places(length, shingle_size(length))
+    else:
+        places = max(min(fewest_places(k, SHINGLE) for k in range(LONG, 2 * LONG)), math.ceil(_places_a_word() * least_words * length - 1e-6))
+    return 1 + int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), max(1, places)))
 
 
 class Block:
     """The words and shingles of a block of items, as numbers."""
 
-    def __init__(self, items: list[tuple[int, str]], least_shared: float, least_words: float = 0.45) -> None:
+    def __init__(self, items: list[tuple], least_words: float = 0.45) -> None:
         self.vocabulary: dict[str, int] = {}
-        self.items: list[int] = []
+        self.items: list = []
         self.words: list[np.ndarray] = []
         for item_id, text in items:
             tokens = words(text or "")
             if tokens:
                 self.items.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens], np.int32))
-        counted = [np.unique(codes(w, min(SHINGLE, len(w))), return_counts=True) for w in self.words]
-        own = [c for c, _ in counted]
-        self.table = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))
-        self.shingles = [np.searchsorted(self.table, c) for c in own]
-        # never more than a pair that passes has
-        self.need = [max(1, min(math.ceil(least_shared * len(c)), least_intact(t, len(w), least_words))) for (c, t), w in zip(counted, self.words)]
-        # the shingle that begins at each word, and one that is in no text
-        starts = [np.searchsorted(self.table, codes(w, min(SHINGLE, len(w)))) for w in self.words]
-        self.starts = [np.append(a, np.full(len(w) - len(a), len(self.table))) for a, w in zip(starts, self.words)]
-        self.covered = [least_covered(len(w), least_words) for w in self.words]
-        self.sizes = sorted({min(SHINGLE, len(w)) for w in self.words}, reverse=True)
-        self.least = min(self.need, default=1)
+        counted = [np.unique(codes(w, shingle_size(len(w))), return_counts=True) for w in self.words]
+        every = np.concatenate([*(c for c, _ in counted), np.zeros(0, np.uint64)])
+        self.table, flat = np.unique(every, return_inverse=True)
+        self.flat = flat.astype(np.int32)
+        self.sizes = np.array([len(c) for c, _ in counted], np.int32)
+        self.offsets = np.append(0, np.cumsum(self.sizes, dtype=np.int64))
+        lengths = [len(w) for w in self.words]
+        self.need = np.array([need_of(t, n, least_words) for (_, t), n in zip(counted, lengths)], np.int32)
+        self.shortest = np.array([math.floor(DENSE * max(least_words * n, min(LONG, n))) for n in lengths], np.int32)
+        self.shingle_sizes = sorted({shingle_size(n) for n in lengths}, reverse=True)
+        self.least = int(self.need.min(initial=1 << 30))
+
+    def shingles(self, item: int) -> np.ndarray:
+        return self.flat[self.offsets[item] : self.offsets[item + 1]]
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in word ids where one of the block's shingles begins, and which.
@@ -116,11 +135,11 @@ class Block:
         An id below 0 is a word of no item, or the end of a text.
         """
         places, shingles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for size in self.sizes:
+        known = ids >= 0
+        for size in self.shingle_sizes:
             n = len(ids) - size + 1
             if n <= 0:
                 continue
-            known = ids >= 0
             run = known[:n].copy()
             for k in range(1, size):
                 run &= known[k : n + k]
@@ -136,7 +155,7 @@ class Block:
 
 
 def matches(batches: Iterator[pa.RecordBatch], block: Block, together: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Per document: the block's shingles in it, and its words if they suffice."""
+    """Per document: places of the block's shingles, which they are, and its words if they suffice."""
     get, lists = block.vocabulary.get, pa.list_(pa.int32())
     for batch in batches:
         for first in range(0, batch.num_rows, together):
@@ -148,19 +167,22 @@ def matches(batches: Iterator[pa.RecordBatch], block: Block, together: int = 102
                     flat += [get(w, -1) for w in words(text)]
                 ends.append(len(flat))
                 flat.append(-1)
-            ids = np.array(flat, np.int32)
+            ids, begins = np.array(flat, np.int32), np.append(0, np.array(ends[:-1], np.int64) + 1)
             place, shingle = block.hits(ids)
-            width = len(block.table) + 1
-            pairs = np.unique(np.searchsorted(ends, place) * width + shingle)
-            doc, shingle = pairs // width, (pairs % width).astype(np.int32)
-            there = np.unique(doc)
+            doc = np.searchsorted(ends, place)
+            by = np.lexsort((place, doc))
+            doc, place, shingle = doc[by], (place - begins[doc])[by], shingle[by]
+            there, starts = np.unique(doc, return_index=True)
             if not len(there):
                 continue
-            offsets = np.append(np.searchsorted(doc, there), len(doc))
-            enough = np.diff(offsets) >= block.least
-            kept = [ids[(ends[d - 1] + 1 if d else 0) : ends[d]] if e else None for d, e in zip(there.tolist(), enough.tolist())]
-            found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shingle))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(there)), found, pa.array(kept, lists)], names=["doc", "shingles", "words"])
+            offsets = np.append(starts, len(doc))
+            kept = []
+            for d, a, b in zip(there.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                enough = b - a >= block.least and len(np.unique(shingle[a:b])) >= block.least
+                kept.append(ids[begins[d] : ends[d]] if enough else None)
+            ends_of = pa.array(offsets, pa.int32())
+            columns = [pa.ListArray.from_arrays(ends_of, pa.array(x.astype(np.int32))) for x in (shingle, place)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(there)), *columns, pa.array(kept, lists)], names=["doc", "shingles", "places", "words"])
 
 
 def equal_runs(item: np.ndarray, document: np.ndarray, anchor: int) -> list[tuple[int, int, int]]:
@@ -186,12 +208,12 @@ def equal_runs(item: np.ndarray, document: np.ndarray, anchor: int) -> list[tupl
     return sorted(zip(i[starts].tolist(), p[starts].tolist(), lengths.tolist()), key=lambda r: (r[1], r[0]))
 
 
-def passages(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs joined over small edits: (item from, to, document from, to, equal words)."""
-    out: list[tuple[int, int, int, int, int]] = []
-    open_ones: list[tuple[int, int, int, int, int]] = []
+def passages(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs joined over small edits: (item from, to, document from, to, equal words, edits)."""
+    out: list[tuple] = []
+    open_ones: list[tuple] = []
     for i, p, n in runs:
-        best, shared = None, 0
+        best, shared, edits = None, 0, 0
         still = []
         for one in open_ones:
             if p - one[3] > gap + n:
@@ -199,37 +221,37 @@ def passages(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int,
                 continue
             still.append(one)
             over = max(one[1] - i, one[3] - p, 0)
-            if over < n and i > one[0] and i + over - one[1] <= gap and p + over - one[3] <= gap and i + n > one[1]:
-                if best is None or one[4] > best[4]:
-                    best, shared = one, n - over
+            mine, theirs = i + over - one[1], p + over - one[3]
+            if over < n and i > one[0] and max(mine, theirs) <= gap and i + n > one[1] and (best is None or one[4] > best[4]):
+                best, shared, edits = one, n - over, max(mine, theirs)
         open_ones = still
         if best is None:
-            open_ones.append((i, i + n, p, p + n, n))
+            open_ones.append((i, i + n, p, p + n, n, 0))
         else:
             open_ones.remove(best)
-            open_ones.append((best[0], i + n, best[2], p + n, best[4] + shared))
+            open_ones.append((best[0], i + n, best[2], p + n, best[4] + shared, best[5] + edits))
     return out + open_ones
 
 
-def contained_share(item: np.ndarray, document: np.ndarray, anchor: int = SHINGLE, gap: int = GAP, long: int = LONG, dense: float = DENSE) -> float:
+def contained_share(item: np.ndarray, runs: list[tuple[int, int, int]]) -> float:
     """Share of the item's words in long passages that keep their order.
 
-    A passage spans at least ``long`` words of the item (or all of it) and is
-    equal in a share ``dense`` of them: sentences that only follow the same
-    pattern with other names and numbers stay below that.
+    A passage spans at least ``LONG`` words of the item (or all of it) and a
+    share ``DENSE`` of its words is equal, the others being edits: sentences
+    that only follow the same pattern with other names stay below that.
     """
     length = len(item)
-    kept = [x for x in passages(equal_runs(item, document, anchor), gap) if x[1] - x[0] >= min(long, length) and x[4] >= dense * max(x[1] - x[0], x[3] - x[2])]
+    kept = [x for x in passages(runs, GAP) if x[1] - x[0] >= min(LONG, length) and x[4] >= DENSE * (x[4] + x[5])]
     kept.sort(key=lambda x: (x[3], x[1]))
     # heaviest chain that rises in both texts; passages are few, but a prefix
     # maximum over item places keeps it fast for any number
     ends, totals = [0], [0]
     pending: list[tuple[int, int, int]] = []
-    for a, b, p, q, _ in kept:
-        for done in sorted(x for x in pending if x[0] <= p + gap):
+    for a, b, p, q, _, _ in kept:
+        for done in sorted(x for x in pending if x[0] <= p + GAP):
             _raise(ends, totals, done[1], done[2])
-        pending = [x for x in pending if x[0] > p + gap]
-        before = totals[bisect_right(ends, a + gap) - 1]
+        pending = [x for x in pending if x[0] > p + GAP]
+        before = totals[bisect_right(ends, a + GAP) - 1]
         pending.append((q, b, before + b - a))
     for done in pending:
         _raise(ends, totals, done[1], done[2])
@@ -247,54 +269,79 @@ def _raise(ends: list[int], totals: list[int], end: int, total: int) -> None:
     ends[at:stop], totals[at:stop] = [end], [total]
 
 
-def candidates(shingles: np.ndarray, order: np.ndarray, prefix: dict[int, list[tuple[int, int]]], block: Block) -> list[int]:
-    """Items that a document may contain, by prefix, length and position."""
-    ranked = shingles[np.argsort(order[shingles], kind="stable")]
-    out = []
-    seen = set()
-    for place, shingle in enumerate(ranked.tolist()):
-        for item, position in prefix.get(shingle, ()):
-            if item in seen:
-                continue
-            seen.add(item)
-            if min(len(ranked) - place, len(block.shingles[item]) - position) >= block.need[item]:
-                out.append(item)
-    if not out:
-        return out
-    there = np.zeros(len(block.table) + 1, bool)
-    there[shingles] = True
-    ends = np.cumsum([len(block.starts[i]) for i in out])
-    begins = there[np.concatenate([block.starts[i] for i in out])]
-    covered = begins.copy()
-    for k in range(1, SHINGLE):
-        covered[k:] |= begins[:-k]
-    words_there = np.add.reduceat(covered.astype(np.int64), np.append(0, ends[:-1]))
-    likely = []
-    for item, end, n in zip(out, ends.tolist(), words_there.tolist()):
-        equal, dense = block.covered[item]
-        if n >= equal and dense_words(covered[end - len(block.starts[item]) : end]) >= dense:
-            likely.append(item)
-    return [i for i in likely if np.isin(block.shingles[i], shingles, assume_unique=True).sum() >= block.need[i]]
-
-
-def verified(batches: Iterator[pa.RecordBatch], block: Block, order: np.ndarray, least_words: float, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def windows(length: int, places: np.ndarray, document: int) -> list[tuple[int, int]]:
+    """Parts of a document that any passage of an item lies in.
+
+    A passage holds a common shingle and is no longer than the item with its
+    edits, so each place is in the middle of a window of twice that; windows
+    that meet are one.
+    """
+    reach = math.ceil(length / DENSE) + GAP
+    low, high = np.maximum(0, places - reach), np.minimum(document, places + SHINGLE + reach)
+    begins = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+    return list(zip(low[begins].tolist(), high[np.append(begins[1:], len(low)) - 1].tolist()))
+
+
+@dataclass
+class Prefixes:
+    """The items by the shingles of their prefixes: ``first`` is where those of
+    a shingle begin; ``positions`` are theirs in the order of rarity."""
+
+    order: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    positions: np.ndarray
+
+
+def prefixes(block: Block, rarity: np.ndarray) -> Prefixes:
+    """The prefixes by how often each shingle is in all documents and items."""
+    order = np.empty(len(rarity), np.int64)
+    order[np.argsort(rarity + np.bincount(block.flat, minlength=len(rarity)), kind="stable")] = np.arange(len(rarity))
+    owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
+    by = np.lexsort((order[block.flat], owner))
+    position = np.arange(len(by)) - block.offsets[owner]
+    inside = position <= block.sizes[owner] - block.need[owner]
+    shingle, owner, position = block.flat[by][inside], owner[inside], position[inside]
+    by = np.argsort(shingle, kind="stable")
+    return Prefixes(order, np.searchsorted(shingle[by], np.arange(len(rarity) + 1)), owner[by].astype(np.int32), position[by].astype(np.int32))
+
+
+def candidates(shingles: np.ndarray, length: int, kept: Prefixes, block: Block) -> np.ndarray:
+    """Items with a prefix that a document meets, within the bounds of length and position."""
+    ranked = shingles[np.argsort(kept.order[shingles], kind="stable")]
+    low = kept.first[ranked]
+    times = kept.first[ranked + 1] - low
+    ends = np.cumsum(times)
+    if not len(ends) or not ends[-1]:
+        return np.zeros(0, np.int64)
+    place = np.repeat(np.arange(len(ranked)), times)
+    flat = np.arange(ends[-1]) + np.repeat(low - ends + times, times)
+    items, first = np.unique(kept.items[flat], return_index=True)  # where item and document meet first
+    room = np.minimum(len(ranked) - place[first], block.sizes[items] - kept.positions[flat[first]])
+    return items[(room >= block.need[items]) & (length >= block.shortest[items])]
+
+
+def verified(batches: Iterator[pa.RecordBatch], block: Block, kept: Prefixes, least_words: float, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Documents and the items they contain, with the share."""
-    prefix: dict[int, list[tuple[int, int]]] = {}
-    for item, shingles in enumerate(block.shingles):
-        by_rarity = shingles[np.argsort(order[shingles], kind="stable")]
-        for position, shingle in enumerate(by_rarity[: len(shingles) - block.need[item] + 1].tolist()):
-            prefix.setdefault(shingle, []).append((item, position))
+    there, mine = np.zeros(len(block.table), bool), np.zeros(len(block.table), bool)
     for batch in batches:
         rows = []
         for row in range(batch.num_rows):
-            shingles = batch.column(1)[row].values.to_numpy()
-            document = None
-            for item in candidates(shingles, order, prefix, block):
-                if document is None:
-                    document = batch.column(2)[row].values.to_numpy()
-                share = contained_share(block.words[item], document)
+            shingles, places, document = (batch.column(c)[row].values.to_numpy() for c in (1, 2, 3))
+            distinct = np.unique(shingles)
+            there[distinct] = True
+            for item in candidates(distinct, len(document), kept, block).tolist():
+                own, text = block.shingles(item), block.words[item]
+                if there[own].sum() < block.need[item]:
+                    continue
+                mine[own] = True
+                at = places[mine[shingles]]
+                mine[own] = False
+                runs = [(i, p + low, n) for low, high in windows(len(text), at, len(document)) for i, p, n in equal_runs(text, document[low:high], RUN)]
+                share = contained_share(text, runs)
                 if share >= least_words:
                     rows.append((batch.column(0)[row].as_py(), block.items[item], share))
+            there[distinct] = False
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [batch.column(0).type, item_type, pa.float64()])], names=["doc", "item", "share"])
 
@@ -308,14 +355,12 @@ def leaked_items(
     item_id: str = "item_id",
     item_text: str = "text",
     least_words: float = 0.45,
-    least_shared: float = 0.2,
-    block_items: int = BLOCK_ITEMS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Documents that contain at least ``least_words`` of an item's words.
 
     Returns ``doc_id`` and ``item_id``, of the types they have, and ``share``.
-    A pair is verified if it has the share ``least_shared`` of the item's
-    shingles, or as few as a pair with ``least_words`` can have: none is lost.
+    The corpus is read once for each ``block_bytes`` of item texts.
 
     Defined results: texts are read without markup and regardless of case,
     punctuation, spacing and character encoding; null or empty texts contain
@@ -332,21 +377,21 @@ def leaked_items(
     kinds = [frame.schema[0].dataType for frame in (corpus, wanted)]
     doc_kind, item_kind = (kind.simpleString() for kind in kinds)
     item_type = to_arrow_type(kinds[1])
-    blocks = max(1, -(-wanted.count() // block_items))
+    blocks = max(1, -(-(wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     results = []
     for number in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number)
-        block = Block(sorted(((r[0], r[1]) for r in part.where(F.col("t").isNotNull()).collect()), key=repr), least_shared, least_words)
+        part = wanted.where(F.col("t").isNotNull() & (F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number))
+        block = Block(sorted(((r[0], r[1]) for r in part.collect()), key=repr), least_words)
         if not block.items:
             continue
-        table = materialize(corpus.mapInArrow(lambda it, b=block: matches(it, b), f"doc {doc_kind}, shingles array<int>, words array<int>"))
-        counted = table.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).toPandas()
+        shared = spark.sparkContext.broadcast(block)
+        table = materialize(corpus.mapInArrow(lambda it, b=shared: matches(it, b.value), f"doc {doc_kind}, shingles array<int>, places array<int>, words array<int>"))
+        counted = table.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).toPandas()
         rarity = np.zeros(len(block.table), np.int64)
         rarity[counted["s"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        order = np.empty(len(rarity), np.int64)
-        order[np.argsort(rarity, kind="stable")] = np.arange(len(rarity))
+        kept = spark.sparkContext.broadcast(prefixes(block, rarity))
         enough = table.where(F.col("words").isNotNull())
-        results.append(enough.mapInArrow(lambda it, b=block, o=order: verified(it, b, o, least_words, item_type), f"doc {doc_kind}, item {item_kind}, share double"))
+        results.append(enough.mapInArrow(lambda it, b=shared, k=kept: verified(it, b.value, k.value, least_words, item_type), f"doc {doc_kind}, item {item_kind}, share double"))
     if not results:
         return spark.createDataFrame([], f"{doc_id} {doc_kind}, {item_id} {item_kind}, share double")
     out = results[0]
