@@ -32,10 +32,10 @@ def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=64)
-def sample_points(count: int) -> tuple[int, ...]:
-    """The first ``count`` of a fixed sequence of evaluation points."""
+def sample_points(count: int, skip: int = 0) -> tuple[int, ...]:
+    """``count`` of a fixed sequence of evaluation points, after the first ``skip``."""
     out, state = [], 0x9E3779B97F4A7C15
-    for i in range(1, count + 1):
+    for i in range(skip + 1, skip + count + 1):
         z = (state * i) & 0xFFFFFFFFFFFFFFFF
         z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
         z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF

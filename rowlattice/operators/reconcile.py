@@ -29,6 +29,8 @@ from rowlattice.session import materialize, maybe_broadcast, ship_package
 CHECK_POINTS = 2
 #: Buckets solved by one task, about.
 SOLVED_BY_TASK = 20_000
+#: Polynomials of buckets with differences that are broadcast at most.
+BROADCAST_POLYNOMIALS = 100_000
 #: Rows times points evaluated at once.
 BLOCK_VALUES = 1 << 19
 
@@ -40,9 +42,18 @@ def _runs(sorted_ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1])) if len(sorted_ids) else np.zeros(0, np.int64)
 
 
+def points_of(degree: int) -> tuple[int, ...]:
+    """The points of a degree bound; no bound that is twice another has any of the other's.
+
+    A point that is the hash of a row tells nothing of its bucket: then the
+    next round does.
+    """
+    return gf.sample_points(degree + CHECK_POINTS, 4 * degree)
+
+
 def evaluate(batches: Iterator[pa.RecordBatch], degree: int, is_left: bool) -> Iterator[pa.RecordBatch]:
     """Values of the characteristic polynomial of each run of a bucket."""
-    z = np.array(gf.sample_points(degree + CHECK_POINTS), np.uint64)
+    z = np.array(points_of(degree), np.uint64)
     rows = max(1, BLOCK_VALUES // len(z))
     for batch in batches:
         buckets = batch.column(0).to_numpy(zero_copy_only=False)
@@ -61,7 +72,7 @@ def evaluate(batches: Iterator[pa.RecordBatch], degree: int, is_left: bool) -> I
 
 @lru_cache(maxsize=8)
 def _interpolator(degree: int) -> gf.Interpolator:
-    return gf.Interpolator(gf.sample_points(degree))
+    return gf.Interpolator(points_of(degree)[:degree])
 
 
 def solve_bucket(left: list[int], right: list[int], excess: int, degree: int) -> tuple[list[int], list[int]] | None:
@@ -74,20 +85,27 @@ def solve_bucket(left: list[int], right: list[int], excess: int, degree: int) ->
     found = _interpolator(degree).rational(quotients, excess)
     if found is None:
         return None
-    for z, a, b in zip(gf.sample_points(degree + CHECK_POINTS)[degree:], left[degree:], right[degree:]):
+    for z, a, b in zip(points_of(degree)[degree:], left[degree:], right[degree:]):
         if gf.poly_at(found[0], z) * b % gf.P != gf.poly_at(found[1], z) * a % gf.P:
             return None
     return found
 
 
 def solve(batches: Iterator[pa.RecordBatch], degree: int) -> Iterator[pa.RecordBatch]:
-    """Solve each bucket; in: partial values of both sides, sorted by bucket."""
+    """Solve each bucket; in: partial values of both sides, sorted by bucket.
+
+    A degree above the number of a bucket's rows is enough for it; one that is
+    not verified at four times that has its hashes on the points of several
+    rounds, which is an error.
+    """
     width = degree + CHECK_POINTS
     state: dict = {}
 
     def flush() -> tuple:
         left, right = state[True], state[False]
         found = solve_bucket(left[1], right[1], left[0] - right[0], degree)
+        if found is None and degree > 4 * (left[0] + right[0]) + 64:
+            raise RuntimeError(f"bucket {state['bucket']} has row hashes among the points of several rounds")
         return (state["bucket"], found is not None, *(found or ([], [])))
 
     def fresh(bucket: int) -> dict:
@@ -183,7 +201,10 @@ def reconcile(
     for name in [key, *fields]:
         if kinds[name] != theirs[name]:
             raise TypeError(f"{name} is {kinds[name].simpleString()} on the left and {theirs[name].simpleString()} on the right")
-    buckets = max(1, -(-max(left.count(), right.count()) // bucket_rows))
+    # a whole number of buckets in each partition of the shuffle by key
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_each = min(-(-max(left.count(), right.count()) // (bucket_rows * partitions)), (1 << 30) // partitions)
+    buckets = partitions * max(1, in_each)
     names = [f"f{i}" for i in range(len(fields))]
 
     def prepared(side: DataFrame) -> DataFrame:
@@ -192,9 +213,10 @@ def reconcile(
         valid = latest_lines(wanted.where(F.col("key").isNotNull()), ["key"], "o", names)
         parts = [F.col("key"), *[_canonical(n, kinds[c], tolerances.get(c)) for n, c in zip(names, fields)]]
         reduced = F.shiftrightunsigned(row_hash(parts, 5), 3)
-        hashed = valid.withColumn("bucket", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(buckets)))
+        # the hash that placed the key: its bucket is where its row is already
+        hashed = valid.withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets)).cast("bigint"))
         hashed = hashed.withColumn("h", F.when(reduced == gf.P, F.lit(0).cast("bigint")).otherwise(reduced))
-        return materialize(hashed.repartition("bucket").sortWithinPartitions("bucket"))
+        return materialize(hashed.sortWithinPartitions("bucket"))
 
     sides = {True: prepared(left), False: prepared(right)}
     solved, open_buckets, open_count, degree = [], None, buckets, first_degree
@@ -222,9 +244,8 @@ def reconcile(
     found = {}
     for is_left, rows in sides.items():
         poly = polynomials.select("bucket", F.col("left_poly" if is_left else "right_poly").alias("poly")).where(F.size("poly") > 1)
-        joined = rows.join(maybe_broadcast(poly, buckets, 100_000), "bucket").select("h", "poly", "key", *names)
-        schema = T.StructType([f for f in rows.schema.fields if f.name in ("key", *names)])
-        found[is_left] = joined.mapInArrow(roots, T.StructType([schema["key"], *[schema[n] for n in names]]))
+        wanted = T.StructType([f for f in rows.schema.fields if f.name in ("bucket", "h", "key", *names)])
+        found[is_left] = _with_roots(rows, poly, wanted).select("key", *names)
     a, b = found[True].alias("a").withColumn("here", F.lit(True)), found[False].alias("b").withColumn("there", F.lit(True))
     a = a.select("key", "here", *[F.col(n).alias(f"a{n}") for n in names])
     b = b.select("key", "there", *[F.col(n).alias(f"b{n}") for n in names])
@@ -234,6 +255,21 @@ def reconcile(
     return both.select(F.col("key"), F.explode(kind).alias("difference")).withColumnRenamed("key", key)
 
 
+def _with_roots(rows: DataFrame, poly: DataFrame, wanted: T.StructType) -> DataFrame:
+    """The rows whose hash is a root of their bucket's polynomial."""
+
+    def looked_up(kind: T.StructType, poly: DataFrame) -> DataFrame:
+        joined = rows.join(poly, "bucket").select(F.col("h").alias("__h"), "poly", *[quoted(f.name) for f in kind.fields])
+        return joined.mapInArrow(roots, kind)
+
+    count = poly.count()
+    if count <= BROADCAST_POLYNOMIALS:
+        return looked_up(wanted, F.broadcast(poly))
+    # only hashes are shuffled to find which rows they are
+    few = materialize(looked_up(T.StructType([wanted["bucket"], wanted["h"]]), poly).distinct())
+    return rows.join(maybe_broadcast(few, few.count()), ["bucket", "h"], "left_semi").select(*[quoted(f.name) for f in wanted.fields])
+
+
 def _pair(name: str, kind: T.DataType) -> tuple[Column, Column]:
     return comparable(f"a{name}", kind), comparable(f"b{name}", kind)
 

@@ -7,7 +7,8 @@ import pytest
 
 from rowlattice.operators import finite_field as gf
 from rowlattice.operators.history import coalesced_history
-from rowlattice.operators.reconcile import reconcile, solve_bucket, summary
+from rowlattice.operators import reconcile as rc
+from rowlattice.operators.reconcile import points_of, reconcile, solve_bucket, summary
 from rowlattice.operators.snapshot_changes import snapshot_changes
 
 SCHEMA = "id int, d string, a string, b int, o int, pair string, change_kind string"
@@ -86,6 +87,44 @@ def test_history_matches_brute_force(spark, seed):
     assert {tuple(r) for r in got} == brute_history(rows)
 
 
+def test_changes_of_many_snapshots(spark):
+    """50,000 snapshots, few keys in each: memory follows the rows there are."""
+    schema = "id int, d int, a string, b int, o int, pair string, change_kind string"
+    rows = [(i, d, "x", d // 10_000, 1) for i in range(3) for d in range(i, 50_000, 500 + i)]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], schema)
+    got = {tuple(r) for r in snapshot_changes(frame, ["id"], "d", ["a", "b"], versions=list(range(50_000)), chunk_keys=1000).collect()}
+    there = {r[:2] for r in rows}
+    wanted = {(i, d, "added") for i, d in there if d and (i, d - 1) not in there} | {(i, d + 1, "removed") for i, d in there if d < 49_999 and (i, d + 1) not in there}
+    assert got == wanted
+
+
+def test_a_cut_without_a_chunk_border_changes_nothing(spark, monkeypatch):
+    from rowlattice.operators import snapshot_changes as sc
+
+    rows = random_rows(9, 400)
+    monkeypatch.setattr(sc, "MAX_OPEN_ROWS", 50)
+    found = set()
+    table = None
+    import pyarrow as pa
+
+    def batches():
+        for at in range(0, table.num_rows, 20):
+            yield table.slice(at, 20)
+
+    state = valid(rows)
+    keys = sorted(state)
+    table = pa.RecordBatch.from_arrays([pa.array([k[0] * 7919 + 1 for k in keys], pa.int64()), pa.array([int(k[1][1:]) for k in keys], pa.int32()), *[pa.array([hash((seed, k[0], state[k])) for k in keys], pa.int64()) for seed in (1, 2)], pa.array([k[0] for k in keys], pa.int32())], names=["__key", "__ord", "__h1", "__h2", "k0"])
+    for batch in sc.changed_rows(batches(), 7, 1 << 40):
+        found |= {(r["k0"], f"d{r['pair']}", sc.KINDS[r["kind"]]) for r in batch.to_pylist()}
+    assert found == brute_changes(rows)
+
+
+def test_changes_are_shuffled_twice(spark):
+    frame = snapshot_changes(lines(spark, random_rows(5)), ["id"], "d", ["a", "b"], order="o", versions=[f"d{i}" for i in range(7)])
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "rangepartitioning" not in plan
+
+
 def test_history_shuffles_once_after_validity(spark):
     frame = coalesced_history(lines(spark, random_rows(5)), ["id"], "d", ["a", "b"], order="o", versions=[f"d{i}" for i in range(7)])
     plan = frame._jdf.queryExecution().executedPlan().toString()
@@ -125,7 +164,7 @@ def test_bucket_is_solved_once_the_degree_suffices(here, there):
     rng = random.Random(here * 10 + there)
     shared, left, right = ([rng.randrange(gf.P) for _ in range(n)] for n in (12, here, there))
     for degree in (4, 8, 16):
-        points = gf.sample_points(degree + 2)
+        points = points_of(degree)
         values = [[math.prod(z - x for x in side) % gf.P for z in points] for side in (shared + left, shared + right)]
         found = solve_bucket(*values, here - there, degree)
         if found is None:
@@ -138,6 +177,23 @@ def test_bucket_is_solved_once_the_degree_suffices(here, there):
     raise AssertionError("never solved")
 
 
+def test_a_row_hash_among_the_points_is_solved_in_the_next_round():
+    point = points_of(8)[3]
+    for degree, solved in ((8, False), (16, True)):
+        values = [[math.prod(z - x for x in xs) % gf.P for z in points_of(degree)] for xs in ([point, 5, 7], [5])]
+        assert (solve_bucket(*values, 2, degree) is not None) == solved
+    assert not set(points_of(8)) & set(points_of(16)) and not set(points_of(16)) & set(points_of(32))
+
+
+def test_the_doubling_ends():
+    import pyarrow as pa
+
+    width = len(points_of(128))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([True]), pa.array([3]), pa.array([[0] * width])], names=["bucket", "is_left", "n", "points"])
+    with pytest.raises(RuntimeError, match="several rounds"):
+        list(rc.solve(iter([batch]), 128))
+
+
 SIDE = "key string, value int, amount double, o int, difference string"
 
 
@@ -180,7 +236,9 @@ def compared(spark, left, right, **more):
 
 
 @pytest.mark.parametrize("bucket_rows", [1, 16, 10_000])
-def test_reconcile_matches_brute_force(spark, bucket_rows):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_reconcile_matches_brute_force(spark, bucket_rows, broadcast, monkeypatch):
+    monkeypatch.setattr(rc, "BROADCAST_POLYNOMIALS", broadcast)
     rng = random.Random(bucket_rows)
     amounts = [1.5, None, float("nan"), 0.0, -0.0, 1e15]
     left, right = [], []
