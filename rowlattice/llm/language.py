@@ -6,21 +6,25 @@ language to the next, give every word a distribution over the languages by
 forward-backward. Sentences take the language that their words favour, runs of
 sentences make segments, and most of the words decide for the document.
 
-The model is fitted on a bounded sample of labelled documents
-(``per_language`` of each language) whose wrong or mixed labels a second pass
-puts right. Everything else is done for all documents and whole texts.
+The model is fitted on a bounded sample of labelled documents, whose wrong or
+mixed labels a second pass puts right. Its bounds are the parameters
+``per_language``, ``longest``, ``per_document`` and ``longest_sentence``.
+Everything else is done for all documents and whole texts. A fitted model can
+be saved and given to later runs.
 """
 
 from __future__ import annotations
 
+import io
+import json
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowlattice.llm.text import plain
@@ -28,6 +32,10 @@ from rowlattice.session import ship_package
 
 #: Labelled documents of each language that the model is fitted on.
 PER_LANGUAGE = 250
+#: Characters of a document of the sample at most, its sentences that are drawn, and words read of one.
+LONGEST, PER_DOCUMENT, LONGEST_SENTENCE = 100_000, 10, 60
+#: Labelled documents from which on a code without a known spelling is a language.
+LEAST_DOCUMENTS = 20
 BUCKETS = 1 << 17
 #: Words decoded in one piece, and what pieces of a longer text share.
 PIECE, SHARED = 1024, 32
@@ -37,6 +45,8 @@ CACHE = 500_000
 CERTAIN = 0.5
 #: Words that make a sentence full.
 FULL = 4
+#: Words from which on a text without any full sentence has a language.
+BARE = 8
 
 #: Spellings of the eight languages' labels.
 SPELLINGS = {
@@ -56,15 +66,33 @@ _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?![\s\"'»”)\]]|$)[^.!?]*)*(?:[.!?]+
 _REDIRECT = re.compile(r"\s*#\s*\w+\s*:?\s*\[\[", re.I)
 
 
-def label_code(label: Column) -> Column:
-    """The two-letter code of a label in any known spelling, else null."""
-    first = F.lower(F.trim(F.split(F.trim(label), "[-_]")[0]))
-    code = F.lit(None).cast("string")
-    for name, spellings in SPELLINGS.items():
-        code = F.when(first.isin(spellings), F.lit(name)).otherwise(code)
+#: Codes that name no language.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx", "xx", "xxx", "unk", "nan", "nil", "na")
+
+
+def _first_part(label: Column) -> Column:
+    return F.lower(F.trim(F.split(F.trim(label), "[-_]")[0]))
+
+
+def label_code(label: Column, spellings: Mapping[str, Sequence[str]] = SPELLINGS, others: Sequence[str] = ()) -> Column:
+    """The code of a label in any known spelling, or one of ``others``, else null."""
+    first = _first_part(label)
+    code = F.when(first.isin(*others), first) if others else F.lit(None).cast("string")
+    for name, known in spellings.items():
+        code = F.when(first.isin(list(known)), F.lit(name)).otherwise(code)
     return code
 
 
+def other_languages(documents: DataFrame, lang: str, spellings: Mapping[str, Sequence[str]] = SPELLINGS, least: int = LEAST_DOCUMENTS) -> list[str]:
+    """Codes of two or three letters, not spelled above, that label ``least`` documents.
+
+    There are no more than such codes, so the list is small.
+    """
+    known = {x for names in spellings.values() for x in names} | set(NO_LANGUAGE)
+    first = documents.select(_first_part(F.col(lang)).alias("c")).where(F.col("c").rlike("^[a-z]{2,3}$") & ~F.col("c").isin(*known))
+    return sorted(r["c"] for r in first.groupBy("c").count().where(F.col("count") >= least).collect())
+
+
 def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % (BUCKETS - 1) + 1
 
@@ -238,19 +266,25 @@ def cleaned(coded: list[np.ndarray], given: np.ndarray, labels: int, passes: int
     common = np.bincount(words, minlength=size) >= 3
     truth = given
     for _ in range(passes):
-        counts = np.zeros((size, labels))
-        np.add.at(counts, (words, truth[owner]), 1)
+        counts = np.bincount(words * labels + truth[owner], minlength=size * labels).reshape(size, labels)
         share = np.log((counts + 0.3) / (counts.sum(0) + 0.3 * size)) * common[:, None]
-        score = np.zeros((len(coded), labels))
-        np.add.at(score, owner, share[words])
+        score = _sums(owner, share[words], len(coded))
         told = np.bincount(owner, common[words], len(coded)) > 0
         truth = np.where(told, score.argmax(1), given)
     return truth
 
 
-def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model | None:
+def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``index``."""
+    return np.stack([np.bincount(index, column, size) for column in values.T], axis=1)
+
+
+def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6, per_document: int = PER_DOCUMENT, longest_sentence: int = LONGEST_SENTENCE) -> Model | None:
     """Fit a model on (text, code) pairs, some of them wrong or mixed.
 
+    ``per_document`` sentences of a text are drawn, and ``longest_sentence``
+    words of each are read: bounds of the fit alone.
+
     Training sequences join sentences of one document, or of several of
     different languages so that changes of language are seen. Wrong labels are
     put right before (:func:`cleaned`); the weights are means over the steps
@@ -262,8 +296,8 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
         return None
     votes: dict[tuple, np.ndarray] = {}
     for text, code in samples:
-        full = [tuple(x[2][:60]) for x in sentences(text) if x[3]]
-        for i in rng.permutation(len(full))[:10]:
+        full = [tuple(x[2][:longest_sentence]) for x in sentences(text) if x[3]]
+        for i in rng.permutation(len(full))[:per_document]:
             votes.setdefault(full[i], np.zeros(len(labels)))[labels.index(code)] += 1
     # a sentence that many revisions share counts once
     pool = [(list(words), int(v.argmax())) for words, v in votes.items()]
@@ -312,10 +346,8 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
             error = -gamma
             np.put_along_axis(error, gold[..., None], np.take_along_axis(error, gold[..., None], 2) + 1, 2)
             error *= there[..., None]
-            by_type = np.zeros((len(types), k))
-            np.add.at(by_type, back.ravel(), error.reshape(-1, k))
-            grad = np.zeros_like(weights)
-            np.add.at(grad, some, np.repeat(by_type, np.diff(begins), 0))
+            by_type = _sums(back.ravel(), error.reshape(-1, k), len(types))
+            grad = _sums(some, np.repeat(by_type, np.diff(begins), 0), len(weights))
             grad[0] = 0
             seen = np.zeros((k, k))
             both = there[1:]
@@ -334,6 +366,10 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6) -> Model
     return Model(labels, fitted, mean_moves / steps)
 
 
+def _letters(tokens: Sequence[str]) -> int:
+    return sum(not w.isdigit() for w in tokens)
+
+
 def read(texts: list[str | None], model: Model) -> list[tuple[str | None, float, list[tuple]]]:
     """(language, confidence, segments) of each text."""
     parsed = [sentences(t) for t in texts]
@@ -346,17 +382,19 @@ def read(texts: list[str | None], model: Model) -> list[tuple[str | None, float,
     for found in parsed:
         votes = np.zeros(len(model.labels))
         segments: list[list] = []
+        # without a full sentence, lines of enough words speak for the text
+        bare = not any(x[3] for x in found) and sum(map(_letters, (x[2] for x in found))) >= BARE
         for begin, end, tokens, full in found:
             best, mean, row, at = int(bests[at]), means[at], at, at + 1
-            if not full:
+            if not full and not (bare and mean >= CERTAIN and _letters(tokens) >= FULL):
                 continue
             votes += sums[row]
             code = model.labels[best] if mean >= CERTAIN else None
             if segments and segments[-1][2] == code:
                 last = segments[-1]
-                last[1], last[3], last[4], last[5] = end, last[3] + 1, last[4] + len(tokens), last[5] + mean * len(tokens)
+                last[1], last[3], last[4], last[5] = end, last[3] + full, last[4] + len(tokens), last[5] + mean * len(tokens)
             else:
-                segments.append([begin, end, code, 1, len(tokens), mean * len(tokens)])
+                segments.append([begin, end, code, int(full), len(tokens), mean * len(tokens)])
         whole = votes.sum()
         best = int(votes.argmax())
         out.append((model.labels[best] if whole else None, float(votes[best] / whole) if whole else 0.0, [(a, b, c, n, w, s / w) for a, b, c, n, w, s in segments]))
@@ -381,18 +419,32 @@ def read_batches(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iter
             )
 
 
-def fit_on(documents: DataFrame, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> Model | None:
+def fit_on(documents: DataFrame, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE, longest: int = LONGEST, spellings: Mapping[str, Sequence[str]] = SPELLINGS, least_documents: int = LEAST_DOCUMENTS, **bounds: int) -> Model | None:
     """Fit on ``per_language`` labelled documents of each language, by hash;
-    those of more than 100,000 characters are left out of the sample."""
-    labelled = documents.select(F.col(doc_id).alias("d"), label_code(F.col(lang)).alias("c")).where(F.col("c").isNotNull() & F.col("d").isNotNull())
+    those of more than ``longest`` characters are left out of the sample."""
+    others = other_languages(documents, lang, spellings, least_documents)
+    labelled = documents.select(F.col(doc_id).alias("d"), label_code(F.col(lang), spellings, others).alias("c")).where(F.col("c").isNotNull() & F.col("d").isNotNull())
     by_code = Window.partitionBy("c").orderBy(F.xxhash64(F.lit(17), "d"), "d")
     chosen = labelled.withColumn("__place", F.row_number().over(by_code)).where(F.col("__place") <= per_language)
     texts = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    rows = texts.where(F.length("t") <= 100_000).join(F.broadcast(chosen), "d").select("d", "c", "t").collect()
-    return fit([(r["t"], r["c"]) for r in sorted(rows, key=lambda r: (str(r["d"]), r["t"] or ""))])
+    rows = texts.where(F.length("t") <= longest).join(F.broadcast(chosen), "d").select("d", "c", "t").collect()
+    return fit([(r["t"], r["c"]) for r in sorted(rows, key=lambda r: (str(r["d"]), r["t"] or ""))], **bounds)
+
 
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Write a model as a table of one row, for :func:`load_model`."""
+    held = io.BytesIO()
+    np.savez_compressed(held, weights=model.weights, moves=model.moves)
+    spark.createDataFrame([(json.dumps(model.labels), bytearray(held.getvalue()))], "labels string, arrays binary").coalesce(1).write.mode("overwrite").parquet(path)
 
-def label_languages(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, model: Model | None = None) -> DataFrame:
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    row = spark.read.parquet(path).first()
+    arrays = np.load(io.BytesIO(bytes(row["arrays"])))
+    return Model(json.loads(row["labels"]), arrays["weights"], arrays["moves"])
+
+
+def label_languages(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None, spellings: Mapping[str, Sequence[str]] = SPELLINGS, **fitting: int) -> DataFrame:
     """The language of each document and of each of its segments.
 
     Returns ``doc_id``, ``given_lang`` (the code of the label, null if missing
@@ -400,20 +452,26 @@ def label_languages(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     ``segments``: runs of full sentences in one language, with their place in
     the text without markup, their numbers of sentences and words, and a
     confidence. A sentence of no certain language has a segment without one.
-
-    Defined results: null, empty and blanked texts, redirects, gibberish and
-    texts without a full sentence have no language, confidence 0 and no
-    segment; a very long text is decoded in overlapping pieces, all of it;
+    The languages are those of the labels: the codes in ``spellings``, and
+    other codes that label enough documents. ``fitting`` are the bounds of
+    :func:`fit_on` and :func:`fit`; a given ``model`` is used as it is.
+
+    Defined results: null, empty and blanked texts, redirects and gibberish
+    have no language, confidence 0 and no segment; a text of ``BARE`` words or
+    more without a full sentence has the language of its lines, in segments of
+    0 sentences; a very long text is decoded in overlapping pieces, all of it;
     repeated rows are each labelled; with fewer than two languages among the
     labels there is no model and no language is given; other columns are
     ignored. The same documents always give the same model.
     """
     ship_package(documents.sparkSession)
     if model is None:
-        model = fit_on(documents, doc_id, text, lang, per_language)
+        model = fit_on(documents, doc_id, text, lang, spellings=spellings, **fitting)
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
-    chosen = documents.select(F.col(doc_id).alias("d"), label_code(F.col(lang)).alias("given_lang"), F.col(text).alias("t"))
-    out = chosen.mapInArrow(lambda it: read_batches(it, model), f"d {kinds[doc_id]}, given_lang string, {_READ}")
+    others = [c for c in model.labels if c not in spellings] if model else []
+    chosen = documents.select(F.col(doc_id).alias("d"), label_code(F.col(lang), spellings, others).alias("given_lang"), F.col(text).alias("t"))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    out = chosen.mapInArrow(lambda it: read_batches(it, shared.value), f"d {kinds[doc_id]}, given_lang string, {_READ}")
     return out.withColumnRenamed("d", doc_id)
 
 

@@ -1,8 +1,8 @@
 """Percentiles by deterministic collapsing of sorted buffers.
 
-A summary holds, for each level j, values that stand for ``2**j`` rows each.
-When a level holds two buffers of ``size`` values, they are merged in order and
-every second value goes up one level; whether the even or the odd places are
+A summary holds, for each level j, buffers of ``size`` values (and one that is
+filling) that stand for ``2**j`` rows each. Two full buffers of a level are
+merged in order and every second value makes one buffer of the next level; whether the even or the odd places are
 taken alternates. A collapse at level j moves any rank by at most ``2**j``, and
 n rows cause at most ``n / (size * 2**(j + 1))`` collapses there, so a rank is
 off by at most ``n * levels / (2 * size)``: each summary carries the sum of its
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlattice.session import ship_package
+from rowlattice.session import materialize, ship_package
 
 #: Values in a buffer. At 2**40 rows the rank error stays below 0.2 %.
 BUFFER = 8192
@@ -40,6 +40,7 @@ class Summary:
         self.n = self.error = self.turns = 0
 
     def put(self, level: int, values: np.ndarray) -> None:
+        """Add values of one weight: they fill buffers, and two full ones are collapsed."""
         while len(self.levels) <= level:
             self.levels.append([])
             self.held.append(0)
@@ -50,12 +51,17 @@ class Summary:
             level += 1
 
     def _collapse(self, level: int) -> None:
-        ordered = np.sort(np.concatenate(self.levels[level]))
-        even = len(ordered) // 2 * 2
-        up = ordered[(self.turns >> level) & 1 : even : 2]
-        self.turns ^= 1 << level
-        self.error += 1 << level
-        self.levels[level], self.held[level] = [ordered[even:]], len(ordered) - even
+        """Collapse pairs of buffers of ``size`` values each until fewer than two are left."""
+        flat = np.concatenate(self.levels[level])
+        pairs = len(flat) // (2 * self.size)
+        ordered = np.sort(flat[: pairs * 2 * self.size].reshape(pairs, -1), axis=1)
+        # one pair takes the even places, the next one the odd ones
+        odd = ((self.turns >> level) + np.arange(pairs)) & 1
+        up = np.where(odd[:, None] == 1, ordered[:, 1::2], ordered[:, ::2]).ravel()
+        self.turns ^= (pairs & 1) << level
+        self.error += pairs << level
+        rest = flat[pairs * 2 * self.size :]
+        self.levels[level], self.held[level] = [rest], len(rest)
         if len(self.levels) == level + 1:
             self.levels.append([])
             self.held.append(0)
@@ -201,13 +207,14 @@ def summarise(rows: DataFrame, group: str, value: str, weight: str | None = None
 
 def combine(summaries: DataFrame, size: int = BUFFER) -> DataFrame:
     """Merge summaries of the same group, of any number of tables."""
-    return _tree(summaries.withColumn("part", F.pmod(F.xxhash64("n", "error", "levels"), F.lit(FAN_IN**2))), size)
+    return _tree(summaries.withColumn("part", F.shiftrightunsigned(F.xxhash64("n", "error", "levels"), 1)), size)
 
 
 def _tree(parts: DataFrame, size: int) -> DataFrame:
     """Merge by rounds; a task takes about ``FAN_IN`` summaries of a group."""
     schema = parts.schema
-    widest = max(2, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = materialize(parts)  # as many as there were partitions and groups
+    widest = parts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     width = FAN_IN
     steps = [1]
     while width < widest:

@@ -88,6 +88,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(*_corpus(spark, sf_dir)).report
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source with a target: are share, cap and repeatability kept?"""
+    made, again = (mixing.mixture(*_corpus(spark, sf_dir)) for _ in range(2))
+    drawn = made.documents.groupBy("source").agg(F.max("copy_no").alias("most"), F.count(F.lit(1)).alias("drawn"), F.sum(F.xxhash64("doc_id", "copy_no").cast("decimal(38,0)")).alias("which"))
+    same = again.documents.groupBy("source").agg(F.sum(F.xxhash64("doc_id", "copy_no").cast("decimal(38,0)")).alias("again"))
+    report = made.report.where("scaled_share > 0").join(drawn, "source", "left").join(same, "source", "left")
+    near = F.abs(F.col("reached_share") - F.col("scaled_share")) <= 5 * F.col("standard_error") + 1e-9
+    return report.select("source", "n_documents", F.round("scaled_share", 9).alias("scaled_share"), near.alias("share_is_near"), (F.col("most") <= F.col("max_repeats")).alias("cap_is_kept"), (F.col("drawn") == F.col("n_copies")).alias("counted"), (F.col("which") == F.col("again")).alias("same_again"))
+
+
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language and segments, with their confidence."""
     return language.label_languages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
@@ -97,7 +107,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.corrections(p8_languages(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_top20": p2_top20, "p5_found": p5_found, "p5_monthly": p5_monthly, "p6_found": p6_found, "p6_shares": p6_shares, "p6_leaked_items": p6_leaked_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_languages": p8_languages}
+QUERIES = {"p2_found": p2_found, "p2_top20": p2_top20, "p5_found": p5_found, "p5_monthly": p5_monthly, "p6_found": p6_found, "p6_shares": p6_shares, "p6_leaked_items": p6_leaked_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_languages": p8_languages}
 
 _STRINGS = """WITH r AS (SELECT DISTINCT ON (row_id) colname, str FROM enum_rows),
 d AS (SELECT DISTINCT ON (describe_id) colname, enums['value'] AS m FROM describes),
@@ -115,6 +125,10 @@ u AS (SELECT colname, seen_on, n, 1 AS times FROM r WHERE n IS NOT NULL UNION AL
 _PERCENTS = ", ".join(f"({p})" for p in PERCENTS)
 
 ORACLES = {
+    "p7_checks": """WITH d AS (SELECT lower(trim(source)) AS source, count(*) AS n, count(*) FILTER (length(text) > 0) AS filled FROM documents GROUP BY 1),
+t AS (SELECT lower(trim(source)) AS source, max(target_share) AS share, max(max_repeats) AS cap FROM source_targets WHERE source IS NOT NULL GROUP BY 1),
+j AS (SELECT d.source, n, share, cap FROM d JOIN t ON d.source = t.source WHERE share > 0 AND cap > 0 AND filled > 0)
+SELECT source, n AS n_documents, round(share / sum(share) OVER (), 9) AS scaled_share, true AS share_is_near, true AS cap_is_kept, true AS counted, true AS same_again FROM j""",
     "p2_found": f"{_STRINGS} SELECT colname, str FROM t WHERE n >= 0.02 * total",
     "p2_top20": f"{_STRINGS} SELECT colname, str, n, total FROM t QUALIFY row_number() OVER (PARTITION BY colname ORDER BY n DESC, str) <= 20",
     "p5_found": f"""{_NUMBERS}, c AS (SELECT colname, n, sum(times) AS times FROM u GROUP BY 1, 2),

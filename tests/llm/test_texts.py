@@ -203,16 +203,37 @@ def test_pieces_do_not_change_the_tokens():
     encode = mixing.encoder(mixing.VOCABULARY, mixing.PATTERN).encode_ordinary
     text = "".join(rng.choice(["word ", "12 ", "  \n", "é", ", ", " 'll "]) for _ in range(100_000))
     parts = list(mixing.pieces(text))
-    assert "".join(parts) == text and max(map(len, parts)) <= mixing.PIECE
+    assert "".join(parts) == text and max(map(len, parts)) <= mixing.PIECE + 10
     assert sum(len(encode(p)) for p in parts) == len(encode(text))
 
 
+@pytest.mark.parametrize("stretch", ["a" * 30_000, "=" * 30_000, "文字" * 9_000 + "。" + "字" * 9_000, " " * 30_000, "x1" * 10_000, "don't'll" * 4_000, "a\u0301'" * 5_000])
+def test_tokens_of_stretches_without_blanks_are_exact(monkeypatch, stretch):
+    encode = mixing.encoder(mixing.VOCABULARY, mixing.PATTERN).encode_ordinary
+    monkeypatch.setattr(mixing, "PIECE", 1_000)
+    text = "before " + stretch + " and after " * 300
+    parts = list(mixing.pieces(text))
+    assert "".join(parts) == text and len(parts) > 1
+    assert [t for p in parts for t in encode(p)] == encode(text)
+
+
 @pytest.mark.parametrize(("rate", "cap"), [(0.3, 1), (1.0, 1), (0.5, 4), (2.5, 3), (3.999, 4), (4.0, 4), (9.0, 4), (0.0, 3), (1.0, 0), (5.0, 500)])
 def test_mean_copies_are_the_rate(rate, cap):
-    chances = mixing.capped_thresholds(rate, cap)
-    assert len(chances) <= cap
-    assert chances == sorted(chances)
-    assert sum(1 - c for c in chances) == pytest.approx(min(rate, cap) if cap else 0, rel=1e-5)
+    whole, below = mixing.whole_and_thresholds(rate, cap)
+    assert whole + len(below) <= cap
+    assert list(below) == sorted(below)
+    assert whole + sum(1 - c for c in below) == pytest.approx(min(rate, cap) if cap else 0, rel=1e-5)
+
+
+@pytest.mark.parametrize("rate, cap", [(0.7, 50), (3.2, 60), (900.0, 2_000), (50_000.0, 10**6)])
+def test_copies_are_poisson_counts(rate, cap):
+    """Mean and variance are those of a Poisson count where the cap is far."""
+    rng = np.random.default_rng(8)
+    whole, below = mixing.whole_and_thresholds(rate, cap)
+    counts = whole + np.searchsorted(below, rng.random(200_000), "right")
+    assert counts.mean() == pytest.approx(rate, rel=0.01) and counts.var() == pytest.approx(rate, rel=0.03)
+    exact = rng.poisson(rate, 200_000)
+    assert np.abs(np.quantile(counts, [0.01, 0.5, 0.99]) - np.quantile(exact, [0.01, 0.5, 0.99])).max() <= max(1, 0.02 * math.sqrt(rate) * 5)
 
 
 def mixed(spark, docs, targets, **more):
@@ -247,7 +268,7 @@ def test_mixture_reaches_its_shares(spark):
 def test_high_caps_are_not_cut(rate, cap):
     whole, thresholds = mixing.whole_and_thresholds(rate, cap)
     assert whole + sum(1 - t for t in thresholds) == pytest.approx(min(rate, cap), rel=1e-5)
-    assert len(thresholds) <= mixing.LISTED and whole + len(thresholds) <= cap
+    assert len(thresholds) <= 24 * math.sqrt(rate + 1) + 90 and whole + len(thresholds) <= cap
 
 
 def test_a_source_with_a_high_cap_reaches_its_share(spark):
@@ -259,6 +280,25 @@ def test_a_source_with_a_high_cap_reaches_its_share(spark):
     assert report["small"]["reached_share"] == pytest.approx(0.5, abs=0.01)
 
 
+def test_many_sources_without_a_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, rng.choice("aaab"), "word " * rng.randrange(1, 9)) for i in range(600)]
+    targets = [("a", 0.5, 2), ("b", 0.5, 3)]
+    wanted = Counter(map(tuple, mixed(spark, docs, targets).documents.select("doc_id", "copy_no").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_THRESHOLDS", 0)
+    assert Counter(map(tuple, mixed(spark, docs, targets).documents.select("doc_id", "copy_no").collect())) == wanted
+
+
+def test_the_standard_error_is_that_of_the_draws(spark):
+    rng = random.Random(9)
+    docs = [(i, rng.choice("aab"), "word " * rng.randrange(1, 9)) for i in range(500)]
+    far = []
+    for seed in range(12):
+        for r in mixed(spark, docs, [("a", 0.5, 4), ("b", 0.5, 4)], total_tokens=1500.0, seed=seed).report.collect():
+            far.append((r["reached_share"] - r["scaled_share"]) / r["standard_error"])
+    assert 0.4 < math.sqrt(sum(x * x for x in far) / len(far)) < 1.7
+
+
 def test_mixture_of_nothing(spark):
     made = mixed(spark, [], [("a", 1.0, 1)])
     assert made.documents.count() == 0
@@ -346,6 +386,34 @@ def test_texts_without_language(model, text):
     assert language.read([text], model)[0] == (None, 0.0, [])
 
 
+@pytest.mark.parametrize("code", ["en", "fr"])
+def test_a_text_without_sentence_marks_has_a_language(model, code):
+    line = " ".join(TEXTS[code]).replace(".", "").replace("!", "").replace("?", "")
+    found, confidence, segments = language.read([line], model)[0]
+    assert found == code and confidence > 0.5 and [s[2:4] for s in segments] == [(code, 0)]
+    long = " ".join(["word"] * 3)
+    assert language.read([long], model)[0] == (None, 0.0, [])
+
+
+def test_languages_are_those_of_the_labels(spark):
+    polish = ["Stary most nad rzeką został zamknięty wczesną wiosną z powodu powodzi.", "Mieszkańcy miasta wybrali nowego burmistrza po długiej dyskusji.", "Muzeum pokazuje obrazy i rzeźby z całego kraju."]
+    rng = random.Random(2)
+    docs = [(i, code, " ".join(rng.choices(texts, k=4))) for i, (code, texts) in enumerate([("en", TEXTS["en"]), ("pl", polish), ("fr", TEXTS["fr"])] * 30)]
+    docs += [(1000, None, " ".join(polish)), (1001, "pl-PL", " ".join(TEXTS["en"])), (1002, "xx", " ".join(polish))]
+    frame = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    got = {r["doc_id"]: (r["given_lang"], r["found_lang"]) for r in language.label_languages(frame).collect()}
+    assert got[1000] == (None, "pl") and got[1001] == ("pl", "en") and got[1002] == (None, "pl") and got[1] == ("pl", "pl")
+    few = language.label_languages(frame, least_documents=1000)
+    assert {r["given_lang"] for r in few.collect()} == {"en", "fr", None}
+
+
+def test_a_saved_model_reads_the_same(spark, model, tmp_path):
+    language.save_model(spark, model, str(tmp_path / "model"))
+    again = language.load_model(spark, str(tmp_path / "model"))
+    texts = [" ".join(x) for x in TEXTS.values()]
+    assert language.read(texts, again) == language.read(texts, model)
+
+
 def test_labels_in_any_spelling(spark):
     given = {"en-GB": "en", " EN ": "en", "English": "en", "rus": "ru", "es_419": "es", "und": None, "": None, "xx": None, None: None, "nl-BE": "nl"}
     rows = spark.createDataFrame([(x,) for x in given], "x string").select("x", language.label_code(F.col("x")).alias("c")).collect()
