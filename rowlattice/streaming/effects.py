@@ -7,101 +7,78 @@ from __future__ import annotations
 
 import threading
 import time
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rowlattice.session import materialize, ship_package
 
 
-def ratio(value: float) -> float:
-    """A number checked to be a share."""
-    if not 0.0 <= value <= 1.0:
-        raise ValueError(f"{value} is not between 0 and 1")
-    return float(value)
-
-
-def mean(w1: int, r1: float, w2: int, r2: float) -> float:
-    """Weighted mean of two shares."""
-    if w1 <= 0 or w2 <= 0:
-        raise ValueError("weights must be positive")
-    return ratio((r1 * w1 + r2 * w2) / (w1 + w2))
-
-
-@dataclass(frozen=True)
-class DecayingRatio:
-    """A share in which older outcomes count less and less."""
-
-    value: float = 0.0
-    scale: int = 1
-
-    def decay(self, outcome: float, most: int) -> DecayingRatio:
-        return DecayingRatio(mean(self.scale, self.value, 1, outcome), min(self.scale, most))
-
-
-@dataclass(frozen=True)
-class TapState:
-    failed: int = 0
-    succeeded: int = 0
-    rejected: int = 0
-    errors: DecayingRatio = DecayingRatio()
-
-    @property
-    def total(self) -> int:
-        return self.failed + self.succeeded + self.rejected
-
-    @property
-    def error_ratio(self) -> float:
-        """Failures among all calls, without decay."""
-        return self.failed / self.total if self.total else 0.0
-
-    def after(self, outcome: float) -> DecayingRatio:
-        return DecayingRatio(outcome, self.errors.scale) if self.total == 0 else self.errors.decay(outcome, self.total)
-
-
 class Rejected(Exception):
     """A call the tap did not make."""
 
 
 class CircuitTap:
-    """Lets calls through while the decaying share of failures is low enough.
+    """Lets calls through while the share of recent failures is low enough.
 
-    A rejected call counts as one without failure, so a closed tap opens again.
+    ``level`` is that share: the first outcome sets it, each later one moves it
+    towards 1 (a failure) or 0 (anything else) by one part in ``weight + 1``.
+    The weight is ``memory`` for the second outcome and, from then on, never
+    more than the outcomes there were when it was last set. A rejection is an
+    outcome without failure, so a tap that rejects calls takes them again.
     Only errors that ``qualifies`` accepts are failures. Safe for threads.
     """
 
-    def __init__(self, max_error: float, qualifies: Callable[[Exception], bool] = lambda e: True, rejected: Callable[[], Exception] = Rejected, decay_scale: int = 1000) -> None:
-        self.max_error, self.qualifies, self.rejected = ratio(max_error), qualifies, rejected
-        self.state = TapState(errors=DecayingRatio(0.0, decay_scale))
+    FAILED, DONE, REJECTED = "failed", "done", "rejected"
+
+    def __init__(self, max_error: float, qualifies: Callable[[Exception], bool] = lambda e: True, rejected: Callable[[], Exception] = Rejected, memory: int = 1000) -> None:
+        if not 0 <= max_error <= 1:
+            raise ValueError(f"{max_error} is no share")
+        if memory < 1:
+            raise ValueError("memory must be positive")
+        self.max_error, self.qualifies, self.rejected = max_error, qualifies, rejected
+        self.seen: Counter = Counter()
+        self.level, self._weight = 0.0, memory
         self._lock = threading.Lock()
 
+    @property
+    def failed_share(self) -> float:
+        """Failures among all outcomes, old ones counting in full."""
+        return self.seen[self.FAILED] / max(1, self.seen.total())
+
+    def note(self, outcome: str) -> None:
+        """Count an outcome and move the level."""
+        target = float(outcome == self.FAILED)
+        before = self.seen.total()
+        if before:
+            self.level += (target - self.level) / (self._weight + 1)
+            self._weight = min(self._weight, before)
+        else:
+            self.level = target
+        self.seen[outcome] += 1
+
     def __call__(self, call: Callable[[], object]):
         with self._lock:
-            closed = self.state.errors.value > self.max_error
-            if closed:
-                s = self.state
-                self.state = replace(s, rejected=s.rejected + 1, errors=s.after(0.0))
-        if closed:
-            raise self.rejected()
+            if self.level > self.max_error:
+                self.note(self.REJECTED)
+                raise self.rejected()
+        outcome = self.DONE
         try:
-            result = call()
+            return call()
         except Exception as error:
-            with self._lock:
-                s = self.state
-                if self.qualifies(error):
-                    self.state = replace(s, failed=s.failed + 1, errors=s.after(1.0))
-                else:
-                    self.state = replace(s, succeeded=s.succeeded + 1, errors=s.after(0.0))
+            if self.qualifies(error):
+                outcome = self.FAILED
             raise
-        with self._lock:
-            s = self.state
-            self.state = replace(s, succeeded=s.succeeded + 1, errors=s.after(0.0))
-        return result
+        finally:
+            with self._lock:
+                self.note(outcome)
 
 
 class TaskLimiter:
@@ -227,30 +204,60 @@ def _take(waiting: deque[Future], ordered: bool) -> Iterator:
 # -- over frames ---------------------------------------------------------------------------
 
 
-def _called(df: DataFrame, per_partition: Callable[[Iterator[dict]], Iterator[tuple[dict, object, str | None]]], returns: str | T.DataType) -> DataFrame:
-    """Each row with ``ok``, ``result`` and ``error`` of the call on it."""
-    import pandas as pd
+def _called(df: DataFrame, per_partition: Callable[[Iterator[tuple[int, dict]]], Iterator[tuple[int, object, str | None]]], returns: str | T.DataType) -> DataFrame:
+    """Each row with ``ok``, ``result`` and ``error`` of the call on it.
 
+    Rows come from Arrow batches and go back as they came: a null is None, a
+    whole number stays whole. ``ok``, ``result`` and ``error`` of the input,
+    if any, are replaced.
+    """
     ship_package(df.sparkSession)
     kind = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
+    df = df.drop("ok", "result", "error")
     schema = T.StructType([*df.schema.fields, T.StructField("ok", T.BooleanType()), T.StructField("result", kind), T.StructField("error", T.StringType())])
-    names = df.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for frame in frames for r in frame.to_dict("records"))
-        batch: list[tuple] = []
-        for row, result, error in per_partition(rows):
-            batch.append((*[row[n] for n in names], error is None, result, error))
-            if len(batch) >= 1000:
-                yield pd.DataFrame(batch, columns=[*names, "ok", "result", "error"])
-                batch = []
-        if batch:
-            yield pd.DataFrame(batch, columns=[*names, "ok", "result", "error"])
-
-    return df.mapInPandas(run, schema)
-
-
-def tapped_map(df: DataFrame, call: Callable[[dict], object], returns: str | T.DataType, *, max_error: float = 0.05, decay_scale: int = 1000, workers: int = 4, keep_order: bool = True, limiter: Callable[[], TaskLimiter] | None = None) -> DataFrame:
+    result_type = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: deque = deque()  # batches that have rows under way: (batch, number of its first row)
+        taken = 0
+
+        def rows() -> Iterator[tuple[int, dict]]:
+            nonlocal taken
+            for batch in batches:
+                first, taken = taken, taken + batch.num_rows
+                kept.append((batch, first))
+                yield from enumerate(batch.to_pylist(), first)
+
+        def packed(found: list[tuple]) -> pa.RecordBatch:
+            numbers = [n for n, _, _ in found]
+            low = min(numbers)
+            while kept and kept[0][1] + kept[0][0].num_rows <= low and kept[0][1] + kept[0][0].num_rows <= done_below:
+                kept.popleft()
+            table = pa.Table.from_batches([b for b, _ in kept]).combine_chunks()
+            part = table.take(pa.array([n - kept[0][1] for n in numbers])).combine_chunks()
+            out = [column.chunk(0) for column in part.columns]
+            out += [pa.array([e is None for _, _, e in found]), pa.array([r for _, r, _ in found], result_type), pa.array([e for _, _, e in found], pa.string())]
+            return pa.RecordBatch.from_arrays(out, names=[*part.schema.names, "ok", "result", "error"])
+
+        waiting: list[tuple] = []
+        returned: set[int] = set()
+        done_below = 0  # all rows with lower numbers were given back
+        for number, result, error in per_partition(rows()):
+            waiting.append((number, result, error))
+            if len(waiting) >= 1000:
+                yield packed(waiting)
+                returned.update(n for n, _, _ in waiting)
+                while done_below in returned:
+                    returned.remove(done_below)
+                    done_below += 1
+                waiting = []
+        if waiting:
+            yield packed(waiting)
+
+    return df.mapInArrow(run, schema)
+
+
+def tapped_map(df: DataFrame, call: Callable[[dict], object], returns: str | T.DataType, *, max_error: float = 0.05, memory: int = 1000, workers: int = 4, keep_order: bool = True, limiter: Callable[[], TaskLimiter] | None = None) -> DataFrame:
     """Call a service for each row through one tap per partition.
 
     Adds ``ok``, ``result`` and ``error``; a row that the tap rejected has the
@@ -258,11 +265,11 @@ def tapped_map(df: DataFrame, call: Callable[[dict], object], returns: str | T.D
     global limit by the partitions.
     """
 
-    def per_partition(rows: Iterator[dict]) -> Iterator[tuple[dict, object, str | None]]:
-        tap = CircuitTap(max_error, decay_scale=decay_scale)
+    def per_partition(rows: Iterator[tuple[int, dict]]) -> Iterator[tuple[int, object, str | None]]:
+        tap = CircuitTap(max_error, memory=memory)
         limit = limiter() if limiter else (lambda f: f())
-        for row, result, error in map_concurrent(rows, lambda r: tap(lambda: limit(lambda: call(r))), workers, keep_order):
-            yield row, result, None if error is None else "rejected" if isinstance(error, Rejected) else f"{type(error).__name__}: {error}"
+        for (number, _), result, error in map_concurrent(rows, lambda r: tap(lambda: limit(lambda: call(r[1]))), workers, keep_order):
+            yield number, result, None if error is None else "rejected" if isinstance(error, Rejected) else f"{type(error).__name__}: {error}"
 
     return _called(df, per_partition, returns)
 
@@ -284,22 +291,22 @@ def retry(df: DataFrame, call: Callable[[dict], object], returns: str | T.DataTy
     repeated when an executor is lost later on.
     """
 
-    def per_partition(rows: Iterator[dict]) -> Iterator[tuple[dict, object, str | None]]:
+    def per_partition(rows: Iterator[tuple[int, dict]]) -> Iterator[tuple[int, object, str | None]]:
         in_a_row = 0
-        for row in rows:
+        for number, row in rows:
             if in_a_row >= max_failures_in_a_row:
-                yield row, None, "circuit open"
+                yield number, None, "circuit open"
                 continue
             try:
                 result = call(row)
             except Exception as error:  # noqa: BLE001
                 in_a_row += 1
-                yield row, None, f"{type(error).__name__}: {error}"
+                yield number, None, f"{type(error).__name__}: {error}"
             else:
                 in_a_row = 0
-                yield row, result, None
+                yield number, result, None
 
-    names = df.columns
+    names = [c for c in df.columns if c not in ("ok", "result", "error")]
     done, rest, passes, failures = [], df, 0, 0
     while passes < max(1, max_passes):
         made = materialize(_called(rest, per_partition, returns))
