@@ -3,12 +3,16 @@
 Expressions are plain data (frozen dataclasses). :func:`compile_expr` turns
 one into a Spark column over the input's schema; nothing is interpreted row by
 row. A value that is absent in a record is null. Types are strict: comparing
-or casting what does not fit gives an absent value, never an error.
+or casting what does not fit gives an absent value, never an error. A function
+whose expression fails gives an absent value as well; :func:`annotated` tells
+which fields were missing and which functions failed. Over JSON texts,
+``strict_nulls`` tells a null that is there from a field that is absent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
@@ -198,6 +202,15 @@ def _fields(path: str | Key) -> tuple[str, ...]:
     return tuple(p.name for p in parts)
 
 
+def _root_path(e: Field) -> tuple[str, ...] | None:
+    """The path in the record, or None for a field of something made."""
+    path: tuple[str, ...] = ()
+    at: Expr | None = e
+    while isinstance(at, Field):
+        path, at = (*at.path, *path), at.of
+    return path if at is None else None
+
+
 def field(path: str | Key) -> Field:
     """A field of the input record, such as ``a.b``; arrays are no fields."""
     return Field(_fields(path))
@@ -255,15 +268,38 @@ def lower(e: Expr) -> Expr:
     return e
 
 
+#: What an annotation says: ``missing`` (a field, by its path) or ``failed``
+#: (a function, by its kind), and the output columns it is in.
+NOTE = "struct<kind:string,name:string,scope:array<string>>"
+
+
 @dataclass(frozen=True)
 class Typed:
-    """A compiled column and its type; None where it can only be absent."""
+    """A compiled column and its type; None where it has no value of any type.
+
+    ``gone`` is true where the value is absent: by default, where it is null.
+    """
 
     column: Column
     kind: T.DataType | None
+    gone: Column | None = None
 
+    @property
+    def absent(self) -> Column:
+        return self.column.isNull() if self.gone is None else self.gone
 
 
+@contextmanager
+def _failing_is_null(df: DataFrame) -> Iterator[None]:
+    """Expressions analysed within give null where they would end the job."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        conf.set("spark.sql.ansi.enabled", before)
+
 
 def _family(kind: T.DataType | None) -> str:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -274,18 +310,23 @@ def _family(kind: T.DataType | None) -> str:
 
 
 class Compiler:
-    """Compiles expressions over the schema of one frame."""
+    """Compiles expressions over the schema of one frame.
+
+    ``raw`` names a column with the whole record as a variant: then a field
+    that is null there is not absent.
+    """
 
-    def __init__(self, df: DataFrame) -> None:
-        self.df = df
+    def __init__(self, df: DataFrame, raw: str | None = None) -> None:
+        self.df, self.raw = df, raw
 
     def absent(self) -> Typed:
         return Typed(F.lit(None), None)
 
-    def typed(self, column: Column) -> Typed:
+    def typed(self, column: Column, gone: Column | None = None) -> Typed:
         """A column with the type that Spark's analysis gives it."""
-        kind = self.df.select(column.alias("x")).schema["x"].dataType
-        return self.absent() if isinstance(kind, T.NullType) else Typed(column, kind)
+        with _failing_is_null(self.df):
+            kind = self.df.select(column.alias("x")).schema["x"].dataType
+        return Typed(F.lit(None), None, gone) if isinstance(kind, T.NullType) else Typed(column, kind, gone)
 
     def compile(self, e: Expr) -> Typed:
         e = lower(e)
@@ -303,13 +344,17 @@ class Compiler:
                 return self.absent()
             kind = kind[name].dataType
             column = F.col(quoted(name)) if column is None else column.getField(name)
-        return Typed(column, kind)
+        path = _root_path(e)
+        if self.raw is None or path is None or name == self.raw:
+            return Typed(column, kind)
+        place = "$" + "".join("['" + n.replace("'", "\\'") + "']" for n in path)
+        return Typed(column, kind, F.try_variant_get(F.col(quoted(self.raw)), place, "variant").isNull())
 
     def _lit(self, e: Lit) -> Typed:
         return self.typed(F.lit(e.value))
 
     def _null(self, e: Null) -> Typed:
-        return self.absent()
+        return self.absent() if self.raw is None else Typed(F.lit(None), None, F.lit(False))
 
     def _cast(self, e: Cast) -> Typed:
         source, kind = self.compile(e.source), TYPES[e.kind]
@@ -336,19 +381,26 @@ class Compiler:
 
     def _orelse(self, e: OrElse) -> Typed:
         a, b = self.compile(e.first), self.compile(e.second)
+        gone = a.absent & b.absent
         if a.kind is None or b.kind is None:
-            return b if a.kind is None else a
-        if a.kind != b.kind and _family(a.kind) != _family(b.kind):
-            return Typed(F.coalesce(a.column.cast("string"), b.column.cast("string")), T.StringType())
-        return self.typed(F.coalesce(a.column, b.column))
+            known = b if a.kind is None else a
+            if self.raw is None:
+                return known
+            empty = F.lit(None) if known.kind is None else F.lit(None).cast(known.kind)
+            return Typed(F.when(a.absent, b.column if b.kind else empty).otherwise(a.column if a.kind else empty), known.kind, gone)
+        mixed = a.kind != b.kind and _family(a.kind) != _family(b.kind)
+        first, second = (x.column.cast("string") if mixed else x.column for x in (a, b))
+        if self.raw is None:
+            return Typed(F.coalesce(first, second), T.StringType()) if mixed else self.typed(F.coalesce(first, second))
+        return self.typed(F.when(a.absent, second).otherwise(first), gone)
 
     def _equals(self, a: Typed, b: Typed) -> Column:
         """Strict equality: other types are never equal, absent equals absent."""
-        if a.kind is None or b.kind is None:
-            return a.column.isNull() & b.column.isNull() if a.kind is None and b.kind is None else (a if b.kind is None else b).column.isNull()
-        if _family(a.kind) != _family(b.kind):
-            return a.column.isNull() & b.column.isNull()
-        return a.column.eqNullSafe(b.column)
+        if a.kind is None or b.kind is None or _family(a.kind) != _family(b.kind):
+            same = a.column.isNull() & b.column.isNull()
+        else:
+            same = a.column.eqNullSafe(b.column)
+        return same if self.raw is None else same & (a.absent == b.absent)
 
     def _casewhen(self, e: CaseWhen) -> Typed:
         source = self.compile(e.source)
@@ -362,16 +414,17 @@ class Compiler:
         def shaped(t: Typed) -> Column:
             return F.lit(None).cast("string" if mixed else kinds[0]) if t.kind is None else t.column.cast("string") if mixed else t.column
 
-        out = shaped(last)
+        out, gone = shaped(last), last.absent
         for condition, result in reversed(cases):
             out = F.when(condition, shaped(result)).otherwise(out)
-        return self.typed(out)
+            gone = F.when(condition, result.absent).otherwise(gone)
+        return self.typed(out, None if self.raw is None else gone)
 
     def _isempty(self, e: IsEmpty) -> Typed:
         source = self.compile(e.source)
-        empty = source.column.isNull()
+        empty = source.absent
         if isinstance(source.kind, T.StringType):
-            empty = empty | (source.column == "")
+            empty = empty | F.coalesce(source.column == "", F.lit(False))
         return Typed(empty, T.BooleanType())
 
     def _both(self, e: Both) -> Typed:
@@ -426,6 +479,89 @@ class Compiler:
         return self.typed(F.when(there, e.f(*[i.column for i in inputs])))
 
 
+    # -- what happened on the way
+
+    def notes(self, e: Expr) -> Column:
+        """The annotations of an expression: only of the parts a record takes."""
+        e = lower(e)
+        if isinstance(e, Field):
+            own = self.compile(e)
+            missing = F.when(own.absent, F.array(_note("missing", ".".join(e.path)))).otherwise(_no_notes())
+            if e.of is None:
+                return missing
+            base = self.compile(e.of)
+            return F.when(base.absent, self.notes(e.of)).otherwise(F.concat(self.notes(e.of), missing))
+        if isinstance(e, OrElse):
+            first = self.notes(e.first)
+            return F.when(self.compile(e.first).absent, F.concat(first, self.notes(e.second))).otherwise(first)
+        if isinstance(e, CaseWhen):
+            source, mine = self.compile(e.source), self.notes(e.source)
+            out = self.notes(e.otherwise) if e.otherwise is not None else _no_notes()
+            for value, result in reversed(e.cases):
+                out = F.when(self._equals(source, self.compile(value)), F.concat(mine, self.notes(result))).otherwise(out)
+            return out
+        inputs = list(children(e))
+        if not inputs:
+            return _no_notes()
+        # the first absent input is the last one looked at
+        out = None
+        for x in reversed(inputs):
+            mine = self.notes(x)
+            out = mine if out is None else F.when(self.compile(x).absent, mine).otherwise(F.concat(mine, out))
+        if isinstance(e, (Apply, Element, DateAdd, DateDiff)):
+            there = None
+            for x in inputs:
+                here = ~self.compile(x).absent
+                there = here if there is None else there & here
+            failed = there & self.compile(e).column.isNull()
+            out = F.concat(out, F.when(failed, F.array(_note("failed", type(e).__name__))).otherwise(_no_notes()))
+        return out
+
+    def used(self, e: Expr, first: int = 0) -> tuple[int, Column]:
+        """How many parts an expression has, and the numbers of those a record takes."""
+        own = F.array(F.lit(first))
+        if isinstance(e, (OrElse, CaseWhen)):
+            lead = e.first if isinstance(e, OrElse) else e.source
+            count, taken = self.used(lead, first + 1)
+            at = first + 1 + count
+            if isinstance(e, OrElse):
+                more, other = self.used(e.second, at)
+                return 1 + count + more, F.when(self.compile(lead).absent, F.concat(own, taken, other)).otherwise(F.concat(own, taken))
+            tried, steps = taken, []
+            for value, result in e.cases:
+                n, looked = self.used(value, at)
+                m, chosen = self.used(result, at + n)
+                at += n + m
+                tried = F.concat(tried, looked)
+                steps.append((self._equals(self.compile(lead), self.compile(value)), F.concat(tried, chosen)))
+            out = tried
+            if e.otherwise is not None:
+                n, rest = self.used(e.otherwise, at)
+                at, out = at + n, F.concat(tried, rest)
+            for condition, taken in reversed(steps):
+                out = F.when(condition, taken).otherwise(out)
+            return at - first, F.concat(own, out)
+        at, parts = first + 1, [own]
+        for x in children(e):
+            n, taken = self.used(x, at)
+            at += n
+            parts.append(taken)
+        return at - first, F.concat(*parts)
+
+
+def _note(kind: str, name: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.array().cast("array<string>").alias("scope"))
+
+
+def _no_notes() -> Column:
+    return F.array().cast(f"array<{NOTE}>")
+
+
+def _within(notes: Column, name: str) -> Column:
+    """The notes, said to be in an output column."""
+    return F.transform(notes, lambda n: F.struct(n["kind"].alias("kind"), n["name"].alias("name"), F.concat(F.array(F.lit(name)), n["scope"]).alias("scope")))
+
+
 def compile_expr(df: DataFrame, e: Expr) -> Column:
     """The expression as a column of ``df``."""
     return Compiler(df).compile(e).column
@@ -437,7 +573,20 @@ def run(df: DataFrame, query: Query, strict: bool = False) -> DataFrame:
     Conditions are checked on the input. Where one is absent or no boolean the
     row makes no record; ``strict`` raises instead.
     """
-    compiler = Compiler(df)
+    return _run(df, Compiler(df), query, strict)
+
+
+def annotated(df: DataFrame, query: Query, strict: bool = False) -> DataFrame:
+    """:func:`run`, and for each record its ``annotations``: missing fields and failed functions.
+
+    Only what the record took counts: the branch of a switch that matched, a
+    default that was needed. ``scope`` has the output column. A column of that
+    name in the records is replaced.
+    """
+    return _run(df, Compiler(df), query, strict, notes=True)
+
+
+def _run(df: DataFrame, compiler: Compiler, query: Query, strict: bool, notes: bool = False, gone: bool = False) -> DataFrame:
     out = None
     for branch in query.branches:
         rows = df
@@ -446,22 +595,54 @@ def run(df: DataFrame, query: Query, strict: bool = False) -> DataFrame:
             column = typed.column if isinstance(typed.kind, T.BooleanType) else F.lit(None).cast("boolean")
             if strict:
                 column = F.when(column.isNull(), F.raise_error(F.lit("a condition has no truth value")).cast("boolean")).otherwise(column)
-            rows = rows.where(column)
-        columns = []
+            with _failing_is_null(df):
+                rows = rows.where(column)
+        columns, names, said, lost = [], [], [], []
         for name, e in branch.columns:
+            if notes and name == "annotations":
+                continue
             typed = compiler.compile(e)
             # a name of its own first: a lambda would take an output for an input
             columns.append((typed.column if typed.kind is not None else F.lit(None).cast("string")).alias(f"__out{len(columns)}"))
-        part = rows.select(*columns).toDF(*[name for name, _ in branch.columns])
+            names.append(name)
+            if notes:
+                said.append(_within(compiler.notes(e), name))
+            if gone:
+                lost.append(F.when(typed.absent, F.lit(name)))
+        if notes:
+            columns.append(F.concat(*said, _no_notes()).alias("__notes"))
+            names.append("annotations")
+        if gone:
+            columns.append(F.array_compact(F.array(*lost)).alias("__gone"))
+            names.append("__gone")
+        with _failing_is_null(df):
+            part = rows.select(*columns).toDF(*names)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-def run_json(df: DataFrame, column: str, schema: str | T.StructType, query: Query, strict: bool = False) -> DataFrame:
-    """:func:`run` over JSON texts of a known schema; gives JSON, absent fields left out."""
-    parsed = df.select(F.from_json(F.col(quoted(column)), schema).alias("__r")).select("__r.*")
-    made = run(parsed, query, strict)
-    return made.select(F.to_json(F.struct(*[F.col(quoted(c)) for c in made.columns])).alias("value"))
+def run_json(df: DataFrame, column: str, schema: str | T.StructType, query: Query, strict: bool = False, strict_nulls: bool = False) -> DataFrame:
+    """:func:`run` over JSON texts of a known schema; gives JSON, absent fields left out.
+
+    With ``strict_nulls`` a null in the text is a value: it is not empty, does
+    not call for a default, and comes out as a null. A text that is no JSON
+    has no field.
+    """
+    text = F.col(quoted(column))
+    if not strict_nulls:
+        parsed = df.select(F.from_json(text, schema).alias("__r")).select("__r.*")
+        made = run(parsed, query, strict)
+        return made.select(F.to_json(F.struct(*[F.col(quoted(c)) for c in made.columns])).alias("value"))
+    parsed = df.select(F.from_json(text, schema).alias("__r"), F.try_parse_json(text).alias("__raw")).select("__r.*", "__raw")
+    made = _run(parsed, Compiler(parsed, "__raw"), query, strict, gone=True)
+    keep = {"ignoreNullFields": "false"}
+    pairs = []
+    for c in made.columns:
+        if c != "__gone":
+            whole = F.to_json(F.struct(F.col(quoted(c)).alias(c)), keep)
+            there = ~F.array_contains("__gone", c)
+            pairs.append(F.when(there, F.substring(whole, F.lit(2), F.length(whole) - 2)))
+    return made.select(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("value"))
 
 
 # -- looking at expressions -------------------------------------------------------------
@@ -524,13 +705,10 @@ def listing(e: Expr) -> str:
 
 
 def traced(df: DataFrame, e: Expr) -> DataFrame:
-    """Which parts of an expression have a value, row by row: ``used``.
+    """Which parts of an expression each row takes: ``used``.
 
-    An array of the numbers of :func:`listing`, beside the columns of ``df``.
+    An array of the numbers of :func:`listing`, beside the columns of ``df``. A
+    switch takes its source, the cases up to the one that matches, and that
+    one's result; a default is taken where it is needed.
     """
-    compiler = Compiler(df)
-    marks = []
-    for number, (_, x) in enumerate(walk(e)):
-        typed = compiler.compile(x)
-        marks.append(F.when(typed.column.isNotNull(), F.lit(number)))
-    return df.withColumn("used", F.filter(F.array(*marks), lambda m: m.isNotNull()))
+    return df.withColumn("used", F.array_sort(Compiler(df).used(e)[1]))

@@ -586,12 +586,37 @@ def n2_sources(spark, sf_dir):
     return spark.createDataFrame([(path, i) for i, path in enumerate(found, 1)], "path string, level int")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '0,1,2,3' ELSE '1,2,3' END AS used FROM orders")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '0,1,2,3' WHEN 'O' THEN '0,1,2,4,5' ELSE '0,1,2,4,6' END AS used FROM orders")
 def n4_used_parts(spark, sf_dir):
-    e = mp.field("o_orderstatus").case_when(("F", "done"))
+    """0 is the switch, 1 its field, 2 and 3 the first case, 4 and 5 the second, 6 the default."""
+    e = mp.field("o_orderstatus").case_when(("F", "done"), ("O", "open"), otherwise="other")
     return mp.traced(table(spark, sf_dir, "orders"), e).select("o_orderkey", F.array_join("used", ",").alias("used"))
 
 
+@query("""WITH n AS (SELECT unnest(list_filter([CASE WHEN value IS NULL THEN 'missing value in part' END, CASE WHEN value IS NOT NULL AND amount IS NULL THEN 'missing amount in part' END,
+CASE WHEN value = 0 AND amount IS NOT NULL THEN 'failed Apply in part' END, CASE WHEN eulav IS NULL THEN 'missing eulav in text' END, CASE WHEN eulav IS NULL AND value IS NULL THEN 'missing value in text' END], lambda x: x IS NOT NULL)) AS note FROM left_test)
+SELECT note, count(*) AS n FROM n GROUP BY 1""")
+def h8_annotated_mapping(spark, sf_dir):
+    """Missing fields and failed functions, under the branches that were taken."""
+    part = mp.field("value").with_(mp.field("amount")).map(lambda v, a: F.floor(a).cast("bigint") % v)
+    text = mp.field("eulav").or_else(mp.field("value").as_("string"))
+    made = mp.annotated(table(spark, sf_dir, "left_test").withColumn("amount", F.nanvl("amount", F.lit(0.0))), mp.record(part=part, text=text))
+    note = F.concat_ws(" ", "kind", "name", F.lit("in"), F.array_join("scope", "."))
+    return made.select(F.inline("annotations")).select(note.alias("note")).groupBy("note").agg(F.count(F.lit(1)).alias("n"))
+
+
+_JSON_ROWS = """CASE row_id % 4 WHEN 0 THEN '{"row":' || row_id || '}' WHEN 1 THEN '{"row":' || row_id || ',"x":null}' WHEN 2 THEN '{"row":' || row_id || ',"x":""}' ELSE '{"row":' || row_id || ',"x":"a"}' END"""
+
+
+@query("""SELECT CASE row_id % 4 WHEN 0 THEN '{"row":' || row_id || ',"first_of":"d","empty":true}' WHEN 1 THEN '{"row":' || row_id || ',"x":null,"first_of":null,"empty":false}'
+WHEN 2 THEN '{"row":' || row_id || ',"x":"","first_of":"","empty":true}' ELSE '{"row":' || row_id || ',"x":"a","first_of":"a","empty":false}' END AS value FROM enum_rows WHERE row_id IS NOT NULL""")
+def b6_json_nulls(spark, sf_dir):
+    """A null that is there is neither absent nor empty, and comes out again."""
+    texts = table(spark, sf_dir, "enum_rows").where("row_id IS NOT NULL").select(F.expr(_JSON_ROWS).alias("t"))
+    x = mp.field("x")
+    return mp.run_json(texts, "t", "row bigint, x string", mp.record(row=mp.field("row"), x=x, first_of=x.or_else("d"), empty=x.is_empty()), strict_nulls=True)
+
+
 # -- quality annotations ---------------------------------------------------------------------------------
 
 QUANTITY = qa.Rule(((lambda c: c > 45, "TOO_MANY", True), (lambda c: c > 30, "MANY", False)))

@@ -163,8 +163,8 @@ def test_lens(spark, family):
     assert rows(older)[0][1][0]["age"] == 33
     all_strings = fn.lens(family, lambda p, k: isinstance(k, T.StringType), lambda c, k: F.concat(c, F.lit("!")))
     assert rows(all_strings)[0] == ("1!", [("John!", 32), ("Mary!", 31)])
-    nested = spark.sql("SELECT named_struct('name', 'x', 'age', CAST(NULL AS INT)) AS toto, CAST(NULL AS STRUCT<name:STRING>) AS gone")
-    assert fn.transform_at(nested, "toto.age", lambda c: c + 1).first() == (("x", None), None)
+    nested = spark.sql("SELECT named_struct('name', 'x', 'age', CAST(NULL AS INT)) AS owner, CAST(NULL AS STRUCT<name:STRING>) AS gone")
+    assert fn.transform_at(nested, "owner.age", lambda c: c + 1).first() == (("x", None), None)
     assert rows(fn.lens(family, lambda p, k: False, lambda c, k: c)) == rows(family)
 
 
@@ -388,26 +388,54 @@ def mapped(spark, text, query, schema=None):
 
 
 def test_filter_and_union(spark):
-    age = mp.field("age").as_("int")
-    q = mp.record(tata=mp.field("toto")).where(age.map(lambda a: a > 10).or_else(mp.field("age").is_empty()))
-    schema = "toto int, age int"
-    assert mapped(spark, "{toto:0, age:11}", q, schema) == [{"tata": 0}]
-    assert mapped(spark, "{toto:0, age:9}", q, schema) == []
-    assert mapped(spark, "{toto:0}", q, schema) == [{"tata": 0}]
-    both = q.union(q.and_where(age.map(lambda a: a > 11)))
-    assert mapped(spark, "{toto:0, age:12}", both, schema) == [{"tata": 0}] * 2
+    weight = mp.field("kg").as_("int")
+    q = mp.record(parcel=mp.field("no")).where(weight.map(lambda w: w > 30).or_else(mp.field("kg").is_empty()))
+    schema = "no int, kg int"
+    assert mapped(spark, "{no:5, kg:31}", q, schema) == [{"parcel": 5}]
+    assert mapped(spark, "{no:5, kg:30}", q, schema) == []
+    assert mapped(spark, "{no:5}", q, schema) == [{"parcel": 5}]
+    both = q.union(q.and_where(weight.map(lambda w: w < 40)))
+    assert [len(mapped(spark, "{no:5, kg:%d}" % kg, both, schema)) for kg in (35, 45)] == [2, 1]
     with pytest.raises(Exception, match="no truth value"):
         mp.run(io.json_frame("{a:1}", spark=spark), mp.record(a=mp.field("a")).where(mp.field("b")), strict=True).collect()
 
 
-def test_switch_with_fall_through(spark):
-    day = "2019-01-02"
-    product = mp.field("gppTypeProduit")
-    first = product.case_when(("KTTR", mp.field("ktStart")), otherwise=day)
-    second = mp.field("ktInvoicingType").case_when(("STANDARD", mp.expr(False).case_when((True, day), (False, mp.field("ktStart")))), otherwise=first)
-    third = product.case_when(("KTREMB", "x"), ("KTREGU", "x")).or_else(second)
-    got = mapped(spark, '{"ktInvoicingType":"MONTHLY","gppTypeProduit":"TOTO"}', mp.record(a=first, b=second, c=third))
-    assert got == [{"a": day, "b": day, "c": day}]
+def test_a_case_without_result_goes_on_to_the_default(spark):
+    """A switch in the place of a result, and a switch as the default of another."""
+    shelf = mp.field("genre").case_when(("poetry", mp.field("shelf.low")), ("atlas", mp.field("shelf.high")), otherwise="store")
+    lent = mp.field("lent").case_when((True, mp.field("size").case_when(("large", "desk"), otherwise=shelf)))
+    place = lent.or_else(mp.field("genre").case_when(("novel", "hall")).or_else(shelf))
+    schema = "genre string, size string, lent boolean, shelf struct<low:string,high:string>"
+    for text, wanted in (
+        ('{"genre":"poetry","lent":true,"size":"large","shelf":{"low":"L4"}}', {"place": "desk"}),
+        ('{"genre":"poetry","lent":true,"size":"small","shelf":{"low":"L4"}}', {"place": "L4"}),
+        ('{"genre":"atlas","lent":false,"shelf":{"low":"L4","high":"H1"}}', {"place": "H1"}),
+        ('{"genre":"novel"}', {"place": "hall"}),
+        ('{"genre":"map"}', {"place": "store"}),
+        ('{"genre":"poetry"}', {}),
+    ):
+        assert mapped(spark, text, mp.record(place=place), schema) == [wanted]
+
+
+def test_annotations_name_what_was_missing_or_failed(spark):
+    frame = spark.createDataFrame([(1, 6, 3, "2024-02-30"), (2, 6, 0, None), (3, None, None, "2024-02-29")], "id int, a int, b int, d string")
+    ratio = mp.field("a").with_(mp.field("b")).map(lambda a, b: a % b)
+    q = mp.record(id=mp.field("id"), ratio=ratio, day=mp.field("d").date_add("day", 1), other=mp.field("b").case_when((0, mp.field("nowhere")), otherwise=mp.field("a")))
+    got = {r["id"]: (r["ratio"], r["day"], sorted((n["kind"], n["name"], tuple(n["scope"])) for n in r["annotations"])) for r in mp.annotated(frame, q).collect()}
+    assert got[1] == (0, None, [("failed", "DateAdd", ("day",))])
+    assert got[2] == (None, None, [("failed", "Apply", ("ratio",)), ("missing", "d", ("day",)), ("missing", "nowhere", ("other",))])
+    assert got[3] == (None, "2024-03-01", [("missing", "a", ("other",)), ("missing", "a", ("ratio",))])
+    assert [tuple(r) for r in mp.run(frame, mp.record(ratio=ratio)).collect()] == [(0,), (None,), (None,)]
+
+
+def test_nulls_in_json_are_values_if_asked(spark):
+    texts = spark.createDataFrame([(t,) for t in ('{"a":null,"s":{"b":null}}', '{"a":"x","s":{}}', "{}", "no json")], "t string")
+    a, b = mp.field("a"), mp.field("s.b")
+    q = mp.record(a=a, b=b.or_else("d"), e=a.is_empty(), k=a.case_when((None, "null"), ("x", "x"), otherwise="none"))
+    strict = [json.loads(r[0]) for r in mp.run_json(texts, "t", "a string, s struct<b:string>", q, strict_nulls=True).collect()]
+    assert strict == [{"a": None, "b": None, "e": False, "k": "null"}, {"a": "x", "b": "d", "e": False, "k": "x"}, *[{"b": "d", "e": True, "k": "none"}] * 2]
+    loose = [json.loads(r[0]) for r in mp.run_json(texts, "t", "a string, s struct<b:string>", q).collect()]
+    assert loose[0] == {"b": "d", "e": True, "k": "null"}
 
 
 @pytest.mark.parametrize(
@@ -434,14 +462,16 @@ def test_switch_with_fall_through(spark):
         ("{a:false}", mp.field("a").case_when((True, "ok"), (False, "no")), "no"),
         ("{a:1}", mp.field("a").case_when((True, "ok"), (False, "no")), None),
         ("{a:1}", mp.expr(1).case_when(otherwise=mp.expr(1).case_when((2, None), otherwise=1)), 1),
-        ("{dt:'2018-10-25T15:00:31+00:00'}", mp.field("dt").left(10), "2018-10-25"),
-        ("{dt:'2018-10-25T15:00:31+00:00'}", mp.field("dt").left(10).date_add("day", 1), "2018-10-26"),
-        ("{dt:'2018-10-25'}", mp.field("dt").date_add("week", 1), None),
-        ("{dt:'no date'}", mp.field("dt").date_add("day", 1), None),
-        ("{a:1}", mp.field("dt").left(10).date_add("day", 1), None),
-        ("{s:'2018-10-24', e:'2018-10-25'}", mp.field("s").date_diff("month", mp.field("e")), 0),
-        ("{s:'2017-02-12', e:'2019-01-11'}", mp.field("s").date_diff("month", mp.field("e")), 22),
-        ("{a:[{n:'P2'},{n:'P3'}]}", mp.field("a").map(lambda a: F.array_join(F.transform(a, lambda x: x["n"]), ", ")), "P2, P3"),
+        ("{at:'2031-04-30 06:15'}", mp.field("at").left(4), "2031"),
+        ("{at:'2031-04-30 06:15'}", mp.field("at").date_add("day", 1), "2031-05-01"),
+        ("{at:'2032-01-31'}", mp.field("at").date_add("month", 1), "2032-02-29"),
+        ("{at:'2031-04-30'}", mp.field("at").date_add("decade", 1), None),
+        ("{at:'yesterday'}", mp.field("at").date_add("day", 1), None),
+        ("{b:1}", mp.field("at").date_add("day", 1), None),
+        ("{from:'2030-05-17', to:'2030-05-19'}", mp.field("from").date_diff("day", mp.field("to")), 2),
+        ("{from:'2030-05-17', to:'2030-05-19'}", mp.field("from").date_diff("month", mp.field("to")), 0),
+        ("{from:'2030-05-17', to:'2031-08-16'}", mp.field("from").date_diff("month", mp.field("to")), 14),
+        ("{rows:[{k:'u'},{k:'v'},{}]}", mp.field("rows").map(lambda a: F.array_join(F.transform(a, lambda x: x["k"]), "+")), "u+v"),
         ("{a:[1,2]}", mp.field("a").first_element(), 1),
         ("{a:[1,2]}", mp.field("a").last_element(), 2),
         ("{a:[1,2]}", mp.field("a").size(), 2),
