@@ -144,3 +144,15 @@ def indexed(df: DataFrame, name: str = "row_index", order: Sequence[str] | None
     # one row a partition
     joined = marked.withColumn("__in", partition).join(F.broadcast(starts), F.col("__in") == F.col("__partition"))
     return joined.select(*[F.col(quoted(c)) for c in df.columns], (F.col("__start") + place).alias(name))
+
+
+def top_rows(df: DataFrame, group: Sequence[str], order: Sequence, n: int, parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group in an order that ties no two rows.
+
+    Taken in two steps, first in ``parts`` parts of each group, so no task
+    sorts a whole group.
+    """
+    keys = [F.col(quoted(g)) for g in group]
+    part = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), F.lit(parts))
+    near = df.withColumn("__part", part).withColumn("__place", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))).where(F.col("__place") <= n)
+    return near.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__place") <= n).drop("__part", "__place")

@@ -31,6 +31,8 @@ class Policy:
 
 
 policy = Policy()
+#: Rows that an error shows where the policy sets no limit.
+MAX_SHOWN = 1_000
 
 
 @contextmanager
@@ -53,9 +55,14 @@ def _condition(predicate: str | Column) -> Column:
     return F.expr(predicate) if isinstance(predicate, str) else predicate
 
 
+def violations(df: DataFrame, predicate: str | Column) -> DataFrame:
+    """Rows of which the predicate is false; null passes."""
+    return df.where(~_condition(predicate))
+
+
 def should_for_all(df: DataFrame, predicate: str | Column) -> None:
     """Fail if the predicate is false of any row; null passes."""
-    rows = df.where(~_condition(predicate)).limit(10).collect()
+    rows = violations(df, predicate).limit(10).collect()
     if rows:
         raise AssertionError("Rows not matching the predicate:\n" + "\n".join(map(str, rows)))
 
@@ -114,11 +121,15 @@ def align(actual: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]
 def set_nullable(df: DataFrame, name: str, nullable: bool) -> DataFrame:
     """The frame with one column's nullability declared otherwise.
 
-    A declaration only: rows with nulls in a column said to have none fail
-    when they are read.
+    Said to have no nulls, the column is checked as it is read: a null there
+    ends the job. Rows stay in the JVM and filters are pushed down past it.
     """
-    fields = [T.StructField(f.name, f.dataType, nullable if f.name == name else f.nullable, f.metadata) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(df.rdd, T.StructType(fields))
+    column = F.col(quoted(name))
+    if nullable:
+        said = F.when(F.lit(True), column)  # nullable as analysed; the optimizer takes it away
+    else:
+        said = F.coalesce(column, F.raise_error(F.lit(f"a null in {name}")).cast(df.schema[name].dataType))
+    return df.withColumn(name, said)
 
 
 def order_columns(df: DataFrame) -> DataFrame:
@@ -271,16 +282,18 @@ def assert_equal(actual: DataFrame, expected: DataFrame, *, ordered: bool = True
             raise ValueMismatch(f"The data set content is different :\n\n{rows}\n")
         return
     found = []
-    wanted = policy.max_row_error if policy.max_row_error > 0 else None
+    wanted = policy.max_row_error if policy.max_row_error > 0 else MAX_SHOWN
+    more = False
     for row in ordered_differences(actual, expected, order, approx > 0).orderBy("row_index").toLocalIterator():
         left, right = (None if x is None else x.asDict(recursive=True) for x in (row["left"], row["right"]))
         changes = compare_values(left or {}, right or {}, approx)
         if changes or left is None or right is None:
-            found.append((left, right, changes))
-            if wanted and len(found) >= wanted:
+            if len(found) >= wanted:
+                more = True
                 break
+            found.append((left, right, changes))
     if found:
-        raise ValueMismatch(report(found))
+        raise ValueMismatch(report(found) + ("\nand more rows\n" if more and policy.max_row_error <= 0 else ""))
 
 
 def approx_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], approx: float, one_sided: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from rowlattice.operators.versions import comparable, has_map, quoted
 from rowlattice.plans.schema import assert_same
+from rowlattice.session import materialize, maybe_broadcast
 
 #: Distinct keys up to which histograms and enums stay exact in a summary.
 EXACT_KEYS = 256
@@ -30,6 +31,7 @@ _DOUBLES = (T.FloatType, T.DoubleType)
 _TIMES = (T.TimestampType, T.TimestampNTZType)
 
 STATISTIC = "struct<column:string,role:string,metric:string,key_str:string,key_other:string,key_long:bigint,key_double:double>"
+ROLES = ("left", "right", "error", "pair")
 GROUP = ["section", "diff_set", "column", "role", "metric"]
 
 
@@ -176,9 +178,12 @@ def error_fact(a: Column, b: Column, kind: T.DataType, name: str) -> Column:
     return nulls.otherwise(_fact(name, "error", "nUnsupported"))
 
 
-def statistics(classes: DataFrame, coarse: bool = False, label: Column | None = None) -> DataFrame:
+def statistics(classes: DataFrame, coarse: bool = False, label: Column | None = None, roles: Sequence[str] = ROLES) -> DataFrame:
     """All statistics in long form: one aggregate over the classified pairs.
 
+    Only facts of the ``roles`` asked for are made and shuffled. Where counts
+    are enough, :func:`column_deltas` and :func:`confusion` shuffle no values.
+
     ``coarse`` puts numbers into their buckets (:func:`bucket_floor`) before
     the aggregate, so that the shuffle is bounded for them as well; whole
     numbers below ``2 ** BITS`` and zero stay as they are. ``label`` takes the
@@ -193,12 +198,13 @@ def statistics(classes: DataFrame, coarse: bool = False, label: Column | None =
         a, b = F.col(f"l.{quoted(f.name)}"), F.col(f"r.{quoted(f.name)}")
         inner = F.col("section").startswith("inner")
         differs = F.array_contains("diff_set", f.name)
-        facts += [
-            F.when(F.col("l_rows").isNotNull(), describe_fact(a, f.dataType, f.name, "left")),
-            F.when(F.col("r_rows").isNotNull(), describe_fact(b, f.dataType, f.name, "right")),
-            F.when(inner & differs, error_fact(a, b, f.dataType, f.name)),
-            F.when(inner, _fact(f.name, "pair", F.when(differs, "nNotEqual").otherwise("nEqual"))),
-        ]
+        made = {
+            "left": F.when(F.col("l_rows").isNotNull(), describe_fact(a, f.dataType, f.name, "left")),
+            "right": F.when(F.col("r_rows").isNotNull(), describe_fact(b, f.dataType, f.name, "right")),
+            "error": F.when(inner & differs, error_fact(a, b, f.dataType, f.name)),
+            "pair": F.when(inner, _fact(f.name, "pair", F.when(differs, "nNotEqual").otherwise("nEqual"))),
+        }
+        facts += [made[role] for role in roles]
     every = F.filter(F.array(*facts), lambda x: x.isNotNull()) if facts else F.array().cast(f"array<{STATISTIC}>")
     label = F.array_join(F.array_sort("diff_set"), ",") if label is None else label
     long_form = classes.select("section", label.alias("__label"), F.inline(every)).withColumnRenamed("__label", "diff_set")
@@ -215,25 +221,39 @@ def by_column(stats: DataFrame) -> DataFrame:
     return inner.groupBy("column", "role", "metric", "key_str", "key_other", "key_long", "key_double").agg(F.sum("n").alias("n"))
 
 
-def confusion(stats: DataFrame) -> DataFrame:
-    """tt, tf, ft and ff of each boolean column of the inner part."""
-    merged = by_column(stats)
+def column_deltas(classes: DataFrame) -> DataFrame:
+    """Equal and unequal pairs of each column: column, metric, n.
+
+    Conditional counts in one pass over the pairs; no value is shuffled.
+    """
+    inner = classes.where(F.col("section").startswith("inner"))
+    names = [f.name for f in compared_columns(classes)]
+    differs = [F.array_contains("diff_set", name) for name in names]
+    counted = inner.agg(*[F.count_if(x).alias(f"d{i}") for i, x in enumerate(differs)], *[F.count_if(~x).alias(f"e{i}") for i, x in enumerate(differs)])
+    rows = [F.struct(F.lit(name).alias("column"), F.lit(metric).alias("metric"), F.col(f"{mark}{i}").alias("n")) for i, name in enumerate(names) for metric, mark in (("nNotEqual", "d"), ("nEqual", "e"))]
+    flat = counted.select(F.inline(F.array(*rows) if rows else F.array().cast("array<struct<column:string,metric:string,n:bigint>>")))
+    return flat.where("n > 0")
+
+
+def confusion(classes: DataFrame) -> DataFrame:
+    """tt, tf, ft and ff of each boolean column of the inner part: pairs by
+    their values left and right, those with a null left out.
+
+    Conditional counts in one pass over the pairs.
+    """
+    inner = classes.where(F.col("section").startswith("inner"))
+    names = [f.name for f in compared_columns(classes) if isinstance(f.dataType, T.BooleanType)]
+    marks = {"tt": (True, True), "tf": (True, False), "ft": (False, True), "ff": (False, False)}
+    counts = [F.count_if((F.col(f"l.{quoted(name)}") == x) & (F.col(f"r.{quoted(name)}") == y)).alias(f"{mark}{i}") for i, name in enumerate(names) for mark, (x, y) in marks.items()]
+    if not names:
+        return inner.sparkSession.createDataFrame([], "column string, tt bigint, tf bigint, ft bigint, ff bigint")
+    rows = [F.struct(F.lit(name).alias("column"), *[F.col(f"{mark}{i}").alias(mark) for mark in marks]) for i, name in enumerate(names)]
+    return inner.agg(*counts).select(F.inline(F.array(*rows)))
 
-    def total(role: str, metric: str) -> Column:
-        return F.coalesce(F.sum(F.when((F.col("role") == role) & (F.col("metric") == metric), F.col("n"))), F.lit(0)).cast("bigint")
 
-    flags = merged.where(F.col("metric").isin("nTrue", "nFalse")).select("column").distinct()
-    counted = merged.join(flags, "column", "left_semi").groupBy("column").agg(total("error", "tf").alias("tf"), total("error", "ft").alias("ft"), total("left", "nTrue").alias("lt"), total("left", "nFalse").alias("lf"), total("error", "leftToNull").alias("to_null"))
-    # a pair of equal values is true on both sides, or false on both
-    equal_pairs = merged.where((F.col("role") == "pair") & (F.col("metric") == "nEqual")).groupBy("column").agg(F.sum("n").alias("n_equal"))
-    nulls = merged.where((F.col("role") == "left") & (F.col("metric") == "nNull")).groupBy("column").agg(F.sum("n").alias("l_null"))
-    from_null = merged.where((F.col("role") == "error") & (F.col("metric") == "rightToNull")).groupBy("column").agg(F.sum("n").alias("from_null"))
-    joined = counted.join(equal_pairs, "column", "left").join(nulls, "column", "left").join(from_null, "column", "left")
-    both_null = F.coalesce("l_null", F.lit(0)) - F.coalesce("from_null", F.lit(0))
-    value_pairs = F.coalesce("n_equal", F.lit(0)) - both_null
-    lost_true = F.col("lt") - F.col("tf")
-    exact = F.when(F.col("to_null") == 0, lost_true)
-    return joined.select("column", exact.alias("tt"), "tf", "ft", (value_pairs - exact).alias("ff"))
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """How often each value is there: value, n. Exact, of any size; null is a value."""
+    return df.groupBy(F.col(quoted(value)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bucket_floor(column: Column, bits: int = BITS) -> Column:
@@ -264,7 +284,7 @@ def _cells() -> Column:
     return F.array(*[(i * SKETCH_WIDTH + (first + i * step) % SKETCH_WIDTH).cast("int") for i in range(SKETCH_ROWS)])
 
 
-def _top(rows: DataFrame, group: Sequence[str], most: int) -> DataFrame:
+def top_strings(rows: DataFrame, group: Sequence[str], most: int) -> DataFrame:
     """Add ``__top``: is the string one of the ``most`` most frequent of its group?
 
     Taken in two steps, so no task sees a whole group.
@@ -290,9 +310,10 @@ def bounded(stats: DataFrame, exact_keys: int = EXACT_KEYS) -> DataFrame:
     :func:`sketch_cells`) that are not 0, whose least is no less than a
     string's count. The sum of ``n`` is that of ``stats``.
     """
-    sizes = stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__keys"))
+    stats = materialize(stats)  # read several times below
+    sizes = materialize(stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__keys")).where(F.col("__keys") > exact_keys))
     on = None
-    s, z = stats.alias("s"), F.broadcast(sizes.where(F.col("__keys") > exact_keys)).alias("z")
+    s, z = stats.alias("s"), maybe_broadcast(sizes, sizes.count(), 20_000).alias("z")
     for c in GROUP:
         same = F.col(f"s.{c}") == F.col(f"z.{c}")
         on = same if on is None else on & same
@@ -313,9 +334,9 @@ def _bounded_strings(stats: DataFrame, marked: DataFrame, exact_keys: int) -> Da
     """The large string groups of :func:`bounded`."""
     over = ["column", "role", "metric"]
     inner = stats.where(F.col("section").startswith("inner") & F.col("key_str").isNotNull())
-    merged = _top(inner.groupBy(*over, "key_str", "key_other").agg(F.sum("n").alias("n")), over, exact_keys).where("__top")
+    merged = top_strings(inner.groupBy(*over, "key_str", "key_other").agg(F.sum("n").alias("n")), over, exact_keys).where("__top")
     frequent = merged.select(*[F.col(c).alias(f"__{c}") for c in [*over, "key_str", "key_other"]], F.lit(True).alias("__frequent"))
-    ranked = _top(marked.where(F.col("is_large") & F.col("key_str").isNotNull()), GROUP, exact_keys)
+    ranked = top_strings(marked.where(F.col("is_large") & F.col("key_str").isNotNull()), GROUP, exact_keys)
     on = F.col("section").startswith("inner") & F.col("key_other").eqNullSafe(F.col("__key_other"))
     for c in [*over, "key_str"]:
         on &= F.col(c) == F.col(f"__{c}")

@@ -293,10 +293,25 @@ def _labels(counted: DataFrame, columns: Sequence[str], most: int, seed: int) ->
 def _nearest(batches: Iterable[pa.RecordBatch], bit: dict[str, int], centres: list[int]) -> Iterable[pa.RecordBatch]:
     for batch in batches:
         points = [sum(bit[c] for c in s) for s in batch.column(0).to_pylist()]
-        places = [min(range(len(centres)), key=lambda i: (set_distance(centres[i], p), i)) for p in points]
+        places = [closest(centres, p) for p in points]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int32())], names=["__set", "__place"])
 
 
+def describe_column(df: DataFrame, column: str, exact_keys: int = kd.EXACT_KEYS) -> Describe:
+    """The bounded description of one column of a frame.
+
+    Histograms and enums are exact up to ``exact_keys`` distinct values; of
+    more, an enum keeps that many of the most frequent, and the total.
+    """
+    fact = kd.describe_fact(F.col(column), df.schema[column].dataType, column, "left")
+    facts = df.select(F.lit("all").alias("section"), F.lit("").alias("diff_set"), F.inline(F.array(fact)))
+    stats = facts.groupBy(*kd.GROUP, "key_str", "key_other", "key_long", "key_double").agg(F.count(F.lit(1)).alias("n"))
+    out = Describe()
+    for row in kd.bounded(stats, exact_keys).collect():
+        _put(out, row, False)
+    return out
+
+
 def sources_of(left: DataFrame, right: DataFrame) -> dict[str, list[str]]:
     """The files behind both sides, for ``summarise(sources=...)``."""
     return {"left": left.inputFiles(), "right": right.inputFiles()}
@@ -337,6 +352,15 @@ def set_distance(centre: int, point: int) -> float:
     return ((a - shared) + (b - shared)) * (1 + math.sqrt(a + b + shared))
 
 
+def closest(centres: Sequence[int], point: int) -> int:
+    """The centre that holds all of the point with the fewest bits besides,
+    else the nearest one; the first of several."""
+    holding = [i for i, c in enumerate(centres) if point & ~c == 0]
+    if holding:
+        return min(holding, key=lambda i: ((centres[i] & ~point).bit_count(), i))
+    return min(range(len(centres)), key=lambda i: (set_distance(centres[i], point), i))
+
+
 def k_modes(points: dict[int, int], k: int, rounds: int = 20, seed: int = 0) -> dict[int, int]:
     """Assign each point (bits) to one of ``k`` centres; returns point -> centre.
 
@@ -346,7 +370,7 @@ def k_modes(points: dict[int, int], k: int, rounds: int = 20, seed: int = 0) ->
     centres = rng.sample(sorted(points), min(k, len(points)))
     nearest: dict[int, int] = {}
     for _ in range(rounds):
-        nearest = {p: min(range(len(centres)), key=lambda i: (set_distance(centres[i], p), i)) for p in sorted(points)}
+        nearest = {p: closest(centres, p) for p in sorted(points)}
         moved = []
         for i, old in enumerate(centres):
             members = [p for p, c in nearest.items() if c == i]
@@ -445,6 +469,7 @@ def check(summary: DiffSummary, *constraints: Constraint) -> Outcome:
 # -- JSON -------------------------------------------------------------------------------------
 
 
+# The names of the parts and of what is counted, here and in LABELS.
 def to_json(summary: DiffSummary) -> str:
     """The summary as JSON; :func:`from_json` gives the same summary back."""
 

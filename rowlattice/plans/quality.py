@@ -187,17 +187,28 @@ def python_rule(f: Callable, returns: str) -> Callable[[Checked | str], Checked]
     return apply
 
 
+_registered: dict[str, set[str]] = {}
+
+
+def registered(spark: SparkSession) -> set[str]:
+    """Names of the rules that SQL of this application may call."""
+    return _registered.setdefault(spark.sparkContext.applicationId, set())
+
+
 def register_rule(spark: SparkSession, name: str, f: Callable, takes: str, returns: str) -> None:
     """Make a Python rule callable in SQL: ``name(x)`` is its value and
-    ``qa_raw_name(x)`` the struct of value and annotations."""
+    ``qa_raw_name(x)`` the struct of value and annotations, of which ``name``
+    is a field. Values travel in Arrow batches. In :func:`annotated_sql.sql`
+    its notes travel with the rows; ``f`` must give the same for the same."""
     kind = T._parse_datatype_string(f"value {returns}, {NAME} array<{ANNOTATION}>")
 
     def raw(value):
         result, notes = f(value)
-        return result, [(m, None, [], e, 1) for m, e in notes]
+        return result, [(m, None, [], e, 1) for m, e in notes or ()]
 
-    spark.udf.register(f"qa_raw_{name}", raw, kind)
-    spark.udf.register(name, lambda value: f(value)[0], returns)
+    spark.udf.register(f"qa_raw_{name}", F.udf(raw, kind, useArrow=True))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {quoted(name)}(x {takes}) RETURNS {returns} RETURN qa_raw_{name}(x).value")
+    registered(spark).add(name.lower())
 
 
 def build_result(**parts: Checked) -> Column:
@@ -291,7 +302,7 @@ class Grouped:
                     notes.append(located(given.all_notes(), name, sorted(given.fields)))
             else:
                 columns.append(given.alias(name))
-        totals = df.groupBy(*keys).agg(*columns)
+        totals = df.groupBy(*keys).agg(*columns) if columns else df.select(*keys).distinct()
         single = df.select(*keys, F.explode(F.concat(*notes)).alias("n")).select(*keys, "n.*")
         counted = single.groupBy(*keys, "message", "onField", "fromFields", "isError").agg(F.sum("count").alias("count"))
         kinds = F.collect_list(F.struct("message", "onField", "fromFields", "isError", "count"))

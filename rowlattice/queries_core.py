@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,25 +141,24 @@ def d2_diff_statistics(spark, sf_dir):
 
 @query(f"{_STATS} SELECT {_READABLE} FROM stats WHERE section LIKE 'outer%'")
 def d3_outer_statistics(spark, sf_dir):
-    return _readable(kd.statistics(_classes(spark, sf_dir)).where(F.col("section").startswith("outer")))
+    outer = _classes(spark, sf_dir).where(F.col("section").startswith("outer"))
+    return _readable(kd.statistics(outer, roles=("left", "right")))
 
 
 @query(f'{_STATS} SELECT "column", metric, sum(n)::BIGINT AS n FROM stats WHERE role = \'pair\' GROUP BY 1, 2')
 def d6_column_deltas(spark, sf_dir):
-    stats = kd.statistics(_classes(spark, sf_dir))
-    return stats.where(F.col("role") == "pair").groupBy("column", "metric").agg(F.sum("n").alias("n"))
+    return kd.column_deltas(_classes(spark, sf_dir))
 
 
 @query(f"{_STATS} SELECT {_READABLE} FROM stats WHERE role = 'error'")
 def d7_errors(spark, sf_dir):
-    return _readable(kd.statistics(_classes(spark, sf_dir)).where(F.col("role") == "error"))
+    return _readable(kd.statistics(_classes(spark, sf_dir), roles=("error",)))
 
 
-@query(f"""{_PAIRS} SELECT 'flag' AS "column", CASE WHEN NOT bool_or(l.flag AND r.flag IS NULL OR NOT l.flag AND r.flag IS NULL) THEN count(*) FILTER (l.flag AND r.flag) END AS tt,
-count(*) FILTER (l.flag AND NOT r.flag) AS tf, count(*) FILTER (NOT l.flag AND r.flag) AS ft,
-CASE WHEN NOT bool_or(l.flag AND r.flag IS NULL OR NOT l.flag AND r.flag IS NULL) THEN count(*) FILTER (NOT l.flag AND NOT r.flag) END AS ff FROM c WHERE section LIKE 'inner%'""")
+@query(f"""{_PAIRS} SELECT 'flag' AS "column", count(*) FILTER (l.flag AND r.flag) AS tt, count(*) FILTER (l.flag AND NOT r.flag) AS tf,
+count(*) FILTER (NOT l.flag AND r.flag) AS ft, count(*) FILTER (NOT l.flag AND NOT r.flag) AS ff FROM c WHERE section LIKE 'inner%'""")
 def d8_confusion(spark, sf_dir):
-    return kd.confusion(kd.statistics(_classes(spark, sf_dir)))
+    return kd.confusion(_classes(spark, sf_dir))
 
 
 @query(f"{_STATS}, m AS (SELECT \"column\", role, metric, key_str, key_other, key_long, key_double, sum(n)::BIGINT AS n FROM stats WHERE section LIKE 'inner%' GROUP BY ALL) SELECT {_READABLE} FROM m")
@@ -166,9 +166,9 @@ def d9_by_column(spark, sf_dir):
     return _readable(kd.by_column(kd.statistics(_classes(spark, sf_dir))))
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT value, count(*) AS n FROM left_test GROUP BY 1")
 def d10_exact_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return kd.value_counts(table(spark, sf_dir, "left_test"), "value")
 
 
 @query("""WITH s AS (SELECT c_acctbal AS x, pow(2.0, floor(log2(greatest(abs(c_acctbal), 1e-300))) - 6) AS step FROM customer)
@@ -187,20 +187,50 @@ def d12_bins(spark, sf_dir):
 @query("""WITH s AS (SELECT p_size AS x, row_number() OVER (ORDER BY p_size) - 1 AS i, count(*) OVER () AS n FROM part), q AS (SELECT unnest([0.0, 0.25, 0.5, 0.9, 1.0]) AS p)
 SELECT p::DOUBLE AS p, x::DOUBLE AS low, x::DOUBLE AS high FROM q JOIN s ON i = least(floor(p * n), n - 1)""")
 def d13_quantile_bounds(spark, sf_dir):
-    counted = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).where("p_size IS NOT NULL")
-    histogram = ds.Histogram({r["p_size"]: r["n"] for r in counted.collect()})  # sizes are few
+    histogram = ds.describe_column(table(spark, sf_dir, "part"), "p_size").histograms["value"]
     return spark.createDataFrame([(p, *map(float, histogram.quantile_bounds(p))) for p in (0.0, 0.25, 0.5, 0.9, 1.0)], "p double, low double, high double")
 
 
+@query("""WITH s AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders), q AS (SELECT unnest([0.0, 0.25, 0.5, 0.9, 1.0]) AS p)
+SELECT p::DOUBLE AS p, true AS inside, true AS narrow FROM q JOIN s ON i = least(floor(p * n), n - 1)""")
+def d13_large_quantile_bounds(spark, sf_dir):
+    """Of very many distinct numbers: the bounds hold the quantile and are a bucket apart."""
+    orders = table(spark, sf_dir, "orders")
+    histogram = ds.describe_column(orders, "o_totalprice").histograms["value"]
+    bounds = [(p, *map(float, histogram.quantile_bounds(p))) for p in (0.0, 0.25, 0.5, 0.9, 1.0)]
+    # below a bound are at most as many rows as the quantile has before it, up to the other more
+    counts = [[F.count_if(F.col("o_totalprice") < low).alias(f"a{i}"), F.count_if(F.col("o_totalprice") <= high).alias(f"b{i}")] for i, (_, low, high) in enumerate(bounds)]
+    found = orders.agg(F.count("o_totalprice").alias("n"), *[c for pair in counts for c in pair])
+    rank = [F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1) for p, _, _ in bounds]
+    rows = [F.struct(F.lit(p).alias("p"), ((F.col(f"a{i}") <= rank[i]) & (F.col(f"b{i}") > rank[i])).alias("inside"), F.lit(high - low <= low / 32).alias("narrow")) for i, (p, low, high) in enumerate(bounds)]
+    return found.select(F.inline(F.array(*rows)))
+
+
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def d14_frequency_enum(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    enum = ds.describe_column(table(spark, sf_dir, "customer"), "c_mktsegment").enums["value"]
+    return spark.createDataFrame(enum.heavy_hitters(), "c_mktsegment string, n bigint")
 
 
-@query()
+@query("""WITH c AS (SELECT str, count(*) AS n FROM enum_rows WHERE str IS NOT NULL GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, str) AS place, sum(n) OVER () AS total, count(*) OVER () AS kinds FROM c)
+SELECT str, n, total::BIGINT AS total, (kinds - 256)::BIGINT AS rest_keys, true AS estimates_hold FROM r WHERE place <= 256""")
 def d15_approximate_enum(spark, sf_dir):
-    top = table(spark, sf_dir, "part").agg(F.expr("approx_top_k(p_name, 256)").alias("top"))
-    return top.select(F.inline("top")).toDF("p_name", "n")
+    """The 256 most frequent strings, exactly; of all others the total, their number and a sketch."""
+    rows = table(spark, sf_dir, "enum_rows")
+    enum = ds.describe_column(rows, "str").enums["value"]
+    kept = spark.createDataFrame(enum.heavy_hitters(), "str string, n bigint")
+    # a hundred of the others, by hash: no estimate is below the count, nor above it by a thousandth of their rows
+    others = kd.value_counts(rows.where("str IS NOT NULL"), "str").join(F.broadcast(kept), F.col("value") == F.col("str"), "left_anti")
+    some = others.orderBy(F.xxhash64("value"), "value").limit(100).collect()
+    hold = all(r["n"] <= enum.estimate(r["value"]) <= r["n"] + enum.rest // 1000 + 1 for r in some)
+    return kept.select("str", "n", F.lit(enum.total).cast("bigint").alias("total"), F.lit(enum.rest_keys).cast("bigint").alias("rest_keys"), F.lit(hold).alias("estimates_hold"))
+
+
+@query(f"""{_STATS} SELECT section, diff_set, "column", role, metric, sum(n)::BIGINT AS n, count(*) > 256 AS is_large FROM stats GROUP BY 1, 2, 3, 4, 5""")
+def d16_bounded_totals(spark, sf_dir):
+    """Bounding the statistics loses no row of any group."""
+    bound = kd.bounded(_readable(kd.statistics(_classes(spark, sf_dir))))
+    return bound.groupBy(*kd.GROUP).agg(F.sum("n").alias("n"), F.bool_or("is_large").alias("is_large"))
 
 
 @query()
@@ -208,11 +238,13 @@ def d16_bounded_statistics(spark, sf_dir):
     return kd.bounded(_readable(kd.statistics(_classes(spark, sf_dir))))
 
 
-@query(f"{_PAIRS}, n AS (SELECT count(*) AS n FROM c WHERE section = 'inner_diff'), s AS (SELECT count(DISTINCT diff_set) AS k FROM c WHERE section = 'inner_diff') SELECT n.n AS n_rows, least(k, 8) >= 1 AS few FROM n, s")
+@query(f"{_PAIRS} SELECT diff_set, count(*) AS n, true AS inside, true AS few, sum(count(*)) OVER ()::BIGINT AS merged_total FROM c WHERE section = 'inner_diff' GROUP BY 1")
 def d17_compacted_sets(spark, sf_dir):
-    sets = {frozenset(r["diff_set"].split(",")): r["n"] for r in kd.diff_sets(_classes(spark, sf_dir)).collect()}
-    merged = ds.compact_sets(sets, 8, lambda a, b: a + b)
-    return spark.createDataFrame([(sum(merged.values()), 1 <= len(merged) <= 8)], "n_rows bigint, few boolean")
+    """Each set once, inside the union it was merged into, and what the unions add up to."""
+    counted = {frozenset(r["diff_set"].split(",")): r["n"] for r in kd.diff_sets(_classes(spark, sf_dir)).collect()}  # at most 63 sets of 6 columns
+    merged = ds.compact_sets({s: (n, [s]) for s, n in counted.items()}, 8, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    rows = [(",".join(sorted(s)), counted[s], s <= union, len(merged) <= 8, sum(n for n, _ in merged.values())) for union, (_, members) in merged.items() for s in members]
+    return spark.createDataFrame(rows, "diff_set string, n bigint, inside boolean, few boolean, merged_total bigint")
 
 
 @query()
@@ -233,10 +265,13 @@ def k6_constraints(spark, sf_dir):
     return spark.createDataFrame([(c.name, c.name not in failed) for c in demands], "demand string, holds boolean")
 
 
-@query("SELECT true AS same")
+@query(f"""{_PAIRS} SELECT CASE section WHEN 'inner_diff' THEN diff_set ELSE section END AS part, count(*) AS n FROM c GROUP BY 1""")
 def m8_summary_round_trip(spark, sf_dir):
-    summary = ds.summarise(_classes(spark, sf_dir), coarse=True)
-    return spark.createDataFrame([(ds.to_json(ds.from_json(ds.to_json(summary))) == ds.to_json(summary),)], "same boolean")
+    """Rows of each part and set of differing columns, as the JSON has them that was read and written again."""
+    whole = json.loads(ds.to_json(ds.from_json(ds.to_json(ds.summarise(_classes(spark, sf_dir), coarse=True)))))["result"]
+    rows = [("inner_equal", whole["inner"]["countRowEqual"]), ("outer_left", whole["outer"]["left"]["count"]), ("outer_right", whole["outer"]["right"]["count"])]
+    rows += [(",".join(x["key"]), x["value"]["count"]) for x in whole["inner"]["countDeltaByRow"]]
+    return spark.createDataFrame([r for r in rows if r[1]], "part string, n bigint")
 
 
 @query(f'{_STATS} SELECT "column", role, sum(n)::BIGINT AS n FROM stats WHERE section LIKE \'inner%\' GROUP BY 1, 2')
@@ -282,10 +317,10 @@ def d20_compress_flat(spark, sf_dir):
     return dp.compress_flat(_dumps(spark, sf_dir)).select("id", "a", "b", F.array_join("dump_date", ",").alias("dumps"))
 
 
-@query(f"{_LINES} SELECT id, count(*) AS n_lines FROM flat GROUP BY 1")
+@query(f"{_LINES} SELECT id, a, b, dumps FROM flat")
 def d21_compress_grouped(spark, sf_dir):
     packed = dp.compress_grouped(_dumps(spark, sf_dir), ["id"])
-    return packed.select("id", F.size("rest").cast("bigint").alias("n_lines"))
+    return packed.select("id", F.inline("rest")).select("id", "a", "b", F.array_join("dump_date", ",").alias("dumps"))
 
 
 @query(f"{_LINES}, x AS (SELECT DISTINCT * FROM lines), p AS (SELECT id, d AS dump, count(*) AS n_lines FROM x GROUP BY 1, 2) SELECT dump, n_lines, count(*) AS n_keys FROM p GROUP BY 1, 2")
@@ -400,9 +435,9 @@ def m2_approx_differences(spark, sf_dir):
     return cmp.approx_differences(*sides, ["key"], 0.01)
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT key, value FROM left_test l WHERE NOT EXISTS (SELECT 1 FROM right_test r WHERE r.key IS NOT DISTINCT FROM l.key AND r.value IS NOT DISTINCT FROM l.value)")
 def b20_missing_values(spark, sf_dir):
-    return cmp.missing_values(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), table(spark, sf_dir, "customer").select("c_custkey"))
+    return cmp.missing_values(*(table(spark, sf_dir, f"{side}_test").select("key", "value") for side in ("right", "left")))
 
 
 @query("SELECT count(*) AS n FROM lineitem WHERE l_discount IS DISTINCT FROM l_tax")
@@ -412,7 +447,7 @@ def b24_columns_differ(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE NOT (l_quantity < 45)")
 def b18_violations(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where(~F.expr("l_quantity < 45")).select("l_orderkey", "l_linenumber", "l_quantity")
+    return cmp.violations(table(spark, sf_dir, "lineitem"), "l_quantity < 45").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("SELECT c_acctbal, c_custkey, c_mktsegment, c_name, c_nationkey FROM customer")
@@ -710,10 +745,15 @@ def a15_maps(spark, sf_dir):
     return io.maps_frame([{"a": 1}, {"b": "x"}], spark=spark)
 
 
-@query("SELECT n_nationkey, n_nationkey * 2 AS result, true AS ok FROM nation")
+@query("SELECT key, value, CASE WHEN value IS NOT NULL THEN 9007199254740993 + value END AS result, value IS NOT NULL AS ok FROM left_test")
 def i4_tapped_map(spark, sf_dir):
-    called = fx.tapped_map(table(spark, sf_dir, "nation").select("n_nationkey"), lambda r: r["n_nationkey"] * 2, "int")
-    return called.select("n_nationkey", "result", "ok")
+    """Nullable whole numbers beyond those that a double can hold."""
+
+    def shifted(row: dict) -> int:
+        return 2**53 + 1 + row["value"]
+
+    called = fx.tapped_map(table(spark, sf_dir, "left_test").select("key", "value"), shifted, "bigint", max_error=1.0)
+    return called.select("key", "value", "result", "ok")
 
 
 def _doubled_or_failed(row: dict) -> int:
@@ -751,17 +791,16 @@ def i6_retried_orders(spark, sf_dir):
     return called.select("o_orderkey", "result", "ok", F.lit(execution.passes).alias("passes"))
 
 
-@query("SELECT s_suppkey, s_suppkey + 1 AS result FROM supplier")
+@query("SELECT row_id, CASE WHEN str IS NOT NULL THEN length(str) + 9007199254740993 END AS result, str IS NOT NULL AS ok FROM enum_rows")
 def i6_retry(spark, sf_dir):
-    called, _ = fx.retry(table(spark, sf_dir, "supplier").select("s_suppkey"), lambda r: r["s_suppkey"] + 1, "bigint")
-    return called.select("s_suppkey", "result")
+    called, _ = fx.retry(table(spark, sf_dir, "enum_rows").select("row_id", "str"), lambda r: len(r["str"]) + 2**53 + 1, "bigint", max_passes=2, max_failures_in_a_row=10**9)
+    return called.select("row_id", "result", "ok")
 
 
 @query("SELECT c_mktsegment, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 10")
 def f4_top_rows(spark, sf_dir):
-    best = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
-    return rows.withColumn("place", F.row_number().over(best)).where("place <= 10").drop("place")
+    return cg.top_rows(rows, ["c_mktsegment"], [F.desc("c_acctbal"), F.asc("c_custkey")], 10)
 
 
 @query("""WITH l AS (SELECT key, CASE WHEN bool_or(value IS NULL) THEN NULL ELSE min(value) END AS value FROM left_test GROUP BY 1), r AS (SELECT key, CASE WHEN bool_or(value IS NULL) THEN NULL ELSE min(value) END AS value FROM right_test GROUP BY 1),

@@ -53,7 +53,7 @@ def test_boolean_column(spark):
     delta = ds.summarise(frame).by_column["b"]
     assert (delta.n_equal, delta.n_not_equal) == (3, 2)
     assert delta.as_boolean == {"tt": 1, "tf": 1, "ft": 1, "ff": 2}
-    assert kd.confusion(kd.statistics(frame)).first().asDict() == {"column": "b", "tt": 1, "tf": 1, "ft": 1, "ff": 2}
+    assert kd.confusion(frame).first().asDict() == {"column": "b", "tt": 1, "tf": 1, "ft": 1, "ff": 2}
 
 
 def test_confusion_matches_counting(spark):
