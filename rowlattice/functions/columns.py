@@ -141,6 +141,8 @@ def dice_similarity(a: Column, b: Column) -> Column:
     """Twice the shared letter pairs over all, with multiplicity; 1 if equal.
 
     Two different texts without any pair have similarity 0. Null if one is.
+    The time grows with the number of distinct pairs times all pairs: it is for
+    names and titles, not for whole documents.
     """
     left, right = word_letter_pairs(a), word_letter_pairs(b)
 

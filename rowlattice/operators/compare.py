@@ -118,6 +118,19 @@ def align(actual: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]
     return actual.select(*[F.col(quoted(c)).cast(kinds[c]).alias(c) for c in common]), expected.select(*[F.col(quoted(c)) for c in common])
 
 
+def _some_value(kind: T.DataType) -> Column:
+    """A literal of a type that is no null."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_some_value(f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return (F.array() if isinstance(kind, T.ArrayType) else F.create_map()).cast(kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(datetime.datetime(1970, 1, 1)).cast(kind)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit("").cast(kind)
+    return F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0).cast(kind)
+
+
 def set_nullable(df: DataFrame, name: str, nullable: bool) -> DataFrame:
     """The frame with one column's nullability declared otherwise.
 
@@ -126,9 +139,11 @@ def set_nullable(df: DataFrame, name: str, nullable: bool) -> DataFrame:
     """
     column = F.col(quoted(name))
     if nullable:
-        said = F.when(F.lit(True), column)  # nullable as analysed; the optimizer takes it away
+        said = F.when(column.isNotNull(), column)  # the same, but nullable as analysed
     else:
-        said = F.coalesce(column, F.raise_error(F.lit(f"a null in {name}")).cast(df.schema[name].dataType))
+        kind = df.schema[name].dataType
+        # the last choice is never reached, but says that there is no null
+        said = F.coalesce(column, F.raise_error(F.lit(f"a null in {name}")).cast(kind), _some_value(kind))
     return df.withColumn(name, said)
 
 

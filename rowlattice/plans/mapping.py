@@ -309,6 +309,13 @@ def _family(kind: T.DataType | None) -> str:
     return "none" if kind is None else kind.typeName() if not isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else kind.simpleString()
 
 
+def _whole_months(start: Column, end: Column) -> Column:
+    """The most months that can be added to a day without passing another; the
+    last day of a short month counts as any later day."""
+    months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
+    return months - F.when(F.add_months(start, months) > end, 1).otherwise(0)
+
+
 class Compiler:
     """Compiles expressions over the schema of one frame.
 
@@ -460,7 +467,7 @@ class Compiler:
         if e.part == "day":
             return Typed(F.datediff(end, start), T.IntegerType())
         if e.part == "month":
-            return Typed(F.months_between(end, start).cast("int"), T.IntegerType())
+            return Typed(F.when(end >= start, _whole_months(start, end)).otherwise(-_whole_months(end, start)), T.IntegerType())
         return Typed(F.lit(None).cast("int"), T.IntegerType())
 
     def _element(self, e: Element) -> Typed:

@@ -23,6 +23,7 @@ class SchemaChange:
 
     def sentence(self) -> str:
         name = self.path.first_name
+        # The sentences of a report
         return {
             "add": f"Field {name} was not in the original DataFrame.",
             "remove": f"Field {name} was not in the expected DataFrame.",

@@ -16,6 +16,8 @@ from rowlattice.functions import columns as fn
 from rowlattice.operators import cogroup as cg
 from rowlattice.operators import compare as cmp
 from rowlattice.operators import dumps as dp
+from rowlattice.plans import annotated_sql as asql
+from rowlattice.plans import diff_summary as ds
 from rowlattice.plans import mapping as mp
 from rowlattice.plans import paths
 from rowlattice.plans import quality as qa
@@ -712,3 +714,83 @@ def test_retry(spark, tmp_path):
     out, execution = fx.retry(spark.range(1, 40).coalesce(1), lambda r: 1 / 0, "int", max_passes=2, max_failures_in_a_row=5)
     assert execution == fx.Execution(39, 2)
     assert out.where("error = 'circuit open'").count() == 34 and not math.isnan(execution.passes)
+
+
+# -- rules in SQL -------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def people(spark):
+    def to_age(text):
+        if text is None:
+            return None, [("EMPTY", True)]
+        if not text.lstrip("-").isdigit():
+            return None, [("NO_NUMBER", True)]
+        return int(text), [("NEGATIVE", False)] if text.startswith("-") else []
+
+    qa.register_rule(spark, "to_age", to_age, "string", "int")
+    spark.createDataFrame([(1, "12", "a"), (2, "x", "a"), (3, "-5", "b"), (4, None, "b")], "id int, age string, g string").createOrReplaceTempView("people")
+    spark.createDataFrame([("a", "A"), ("b", "B")], "g string, big string").createOrReplaceTempView("places")
+
+
+def noted(spark, text):
+    rows = asql.sql(spark, text).to_df().collect()
+    return sorted([(*tuple(r)[:-1], [(n["message"], n["onField"], n["fromFields"], n["count"]) for n in r["annotations"]]) for r in rows], key=repr)
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("select id, to_age(age) as age from people where id < 3", [(1, 12, []), (2, None, [("NO_NUMBER", "age", ["age"], 1)])]),
+        ("select id, 1 + to_age(age) as next from people where to_age(age) < 0", [(3, -4, [("NEGATIVE", "next", ["age"], 1)])]),
+        ("select p.id, q.big, to_age(p.age) n from people p join places q on p.g = q.g where p.id = 4", [(4, "B", None, [("EMPTY", "n", ["age"], 1)])]),
+        ("select * from people left join places using (g) where id = 1", [("a", 1, "12", "A", [])]),
+        ("select g, sum(to_age(age)) as total from people group by g having sum(to_age(age)) > 0", [("a", 12, [("NO_NUMBER", "total", ["age"], 1)])]),
+        ("select g as k, count(*) n from (select g, to_age(age) a from people) t where a is null group by 1 order by k desc limit 1", [("b", 1, [("EMPTY", "a", ["age"], 1)])]),
+        ("with c as (select g, to_age(age) a from people where id < 3) select distinct g from c union all select big from places where g = 'b'", [("B", []), ("a", [("NO_NUMBER", "a", ["age"], 1)])]),
+        ("select p.id from people p left anti join (select g from places where big = 'A') q on p.g = q.g where p.id = 3", [(3, [])]),
+        ("select to_age(age) a, count(*) n from people group by to_age(age) having count(*) = 1 order by a limit 1", [(-5, 1, [("NEGATIVE", "a", ["age"], 1)])]),
+        ("select 1 as one", [(1, [])]),
+    ],
+)
+def test_notes_travel_through_sql(spark, people, text, wanted):
+    assert noted(spark, text) == wanted
+
+
+def test_sql_that_cannot_be_annotated_is_refused(spark, people):
+    with pytest.raises(NotImplementedError):
+        asql.sql(spark, "select id from people where id in (select 1)")
+    with pytest.raises(NotImplementedError):
+        asql.sql(spark, "select id from people lateral view explode(array(1)) x as y")
+
+
+def test_a_rule_runs_once_for_its_two_names(spark, people):
+    plan = spark.sql("select to_age(age), qa_raw_to_age(age) from people")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and plan.split("ArrowEvalPython [")[1].split("]")[0].count("qa_raw_to_age(") == 1
+
+
+def test_nullability_is_declared_in_the_jvm(spark):
+    schema = "n int, s string, t timestamp, xs array<int>, m map<string,int>, r struct<a:int>"
+    frame = spark.createDataFrame([(1, "x", None, [1], {"a": 1}, (1,))], schema)
+    for name in frame.columns:
+        declared = cmp.set_nullable(frame, name, False)
+        assert not declared.schema[name].nullable and cmp.set_nullable(declared, name, True).schema[name].nullable
+        assert "Python" not in declared._jdf.queryExecution().executedPlan().toString()
+        if name == "t":
+            with pytest.raises(Exception, match="a null in t"):
+                declared.collect()
+        else:
+            assert declared.collect() == frame.collect()
+
+
+def test_an_assertion_shows_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(cmp, "MAX_SHOWN", 7)
+    with cmp.using(max_row_error=0), pytest.raises(cmp.ValueMismatch) as error:
+        cmp.assert_equal(spark.range(20), spark.range(1, 21), order=["id"])
+    assert str(error.value).count("was not equal to") == 7 and "and more rows" in str(error.value)
+
+
+def test_sets_go_to_the_centre_that_holds_them():
+    assert ds.closest([0b0011, 0b1111, 0b0111], 0b0011) == 0
+    assert ds.closest([0b1111, 0b0111], 0b0110) == 1
+    assert ds.closest([0b0001, 0b1100], 0b0110) == min((0, 1), key=lambda i: ds.set_distance([0b0001, 0b1100][i], 0b0110))
