@@ -37,6 +37,19 @@ def cogroup(frames: Mapping[str, tuple[DataFrame, Sequence[str]]], names: Sequen
     return grouped.select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(out_names)], *arrays)
 
 
+def group_sizes(frames: Mapping[str, tuple[DataFrame, Sequence[str]]], names: Sequence[str] | None = None) -> DataFrame:
+    """The keys of :func:`cogroup` and how many rows each frame has for them.
+
+    Sizes are counted on the map side, so a key may hold any share of the rows.
+    """
+    names = list(names or next(iter(frames.values()))[1])
+    tagged = None
+    for tag, (frame, keys) in frames.items():
+        one = frame.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], F.lit(tag).alias("__frame"))
+        tagged = one if tagged is None else tagged.union(one)
+    return tagged.groupBy(*[F.col(quoted(n)) for n in names]).agg(*[F.count_if(F.col("__frame") == tag).alias(tag) for tag in frames])
+
+
 def _orderable(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return all(_orderable(f.dataType) for f in kind.fields)

@@ -21,7 +21,14 @@ def _sorted(rows: Column, kind: T.StructType) -> Column:
     return F.array_sort(rows) if _orderable(kind) else rows
 
 
-def _tagged(dumps: Mapping[str, DataFrame], name: str, by_name: bool) -> DataFrame:
+#: Dumps by name, or one frame with the column that names the dump of each line.
+Dumps = Mapping[str, DataFrame] | tuple[DataFrame, str]
+
+
+def _tagged(dumps: Dumps, name: str, by_name: bool) -> DataFrame:
+    if isinstance(dumps, tuple):
+        frame, version = dumps
+        return frame.where(F.col(quoted(version)).isNotNull()).select(*[F.col(quoted(c)) for c in frame.columns if c not in (name, version)], F.col(quoted(version)).alias(name))
     if not dumps:
         raise ValueError("at least one dump is needed")
     out = None
@@ -31,10 +38,11 @@ def _tagged(dumps: Mapping[str, DataFrame], name: str, by_name: bool) -> DataFra
     return out
 
 
-def compress_flat(dumps: Mapping[str, DataFrame], name: str = "dump_date", sort_by: Sequence[str] = ()) -> DataFrame:
+def compress_flat(dumps: Dumps, name: str = "dump_date", sort_by: Sequence[str] = ()) -> DataFrame:
     """Each distinct line once, with the sorted dumps that held it.
 
-    Columns are matched by name. With ``sort_by``, lines are ordered by these
+    Columns are matched by name. Dumps that lie in one table are best given as
+    the table and its column of dumps: it is read once. With ``sort_by``, lines are ordered by these
     and by their first dump.
     """
     lines = _tagged(dumps, name, by_name=True)
@@ -43,7 +51,7 @@ def compress_flat(dumps: Mapping[str, DataFrame], name: str = "dump_date", sort_
     return packed.orderBy(*[F.col(quoted(c)) for c in sort_by], F.array_min(F.col(quoted(name)))) if sort_by else packed
 
 
-def compress_grouped(dumps: Mapping[str, DataFrame], group_by: Sequence[str], name: str = "dump_date", sort_by: Sequence[str] = (), rest: str = "rest") -> DataFrame:
+def compress_grouped(dumps: Dumps, group_by: Sequence[str], name: str = "dump_date", sort_by: Sequence[str] = (), rest: str = "rest") -> DataFrame:
     """:func:`compress_flat`, then the lines of each group as an array."""
     flat = compress_flat(dumps, name)
     inside = [c for c in flat.columns if c not in group_by]
@@ -53,7 +61,7 @@ def compress_grouped(dumps: Mapping[str, DataFrame], group_by: Sequence[str], na
     return packed.orderBy(*[F.col(quoted(c)) for c in sort_by]) if sort_by else packed
 
 
-def compress(dumps: Mapping[str, DataFrame], keys: Sequence[str], ordered: bool = True) -> DataFrame:
+def compress(dumps: Dumps, keys: Sequence[str], ordered: bool = True) -> DataFrame:
     """One row per key: ``xs``, its distinct lines, each with ``compressDumpDts``.
 
     Columns are matched by place, as the dumps of one table have them.
@@ -63,7 +71,7 @@ def compress(dumps: Mapping[str, DataFrame], keys: Sequence[str], ordered: bool
     return packed.orderBy(*[F.col(quoted(k)) for k in keys]) if ordered else packed
 
 
-def compress_by(dumps: Mapping[str, DataFrame], group_expr: str, group_name: str = "groupByExpr") -> DataFrame:
+def compress_by(dumps: Dumps, group_expr: str, group_name: str = "groupByExpr") -> DataFrame:
     """As :func:`compress`, grouped by any SQL expression; the lines keep all columns."""
     lines = _tagged(dumps, DUMPS, by_name=False).withColumn(group_name, F.expr(group_expr))
     return _pack(lines, [F.col(quoted(group_name))], [c for c in lines.columns if c not in (DUMPS, group_name)], [group_name])
@@ -76,6 +84,17 @@ def _pack(lines: DataFrame, keys: list[Column], columns: list[str], names: list[
     return per_line.groupBy(*[F.col(quoted(n)) for n in names]).agg(_sorted(F.collect_list(F.struct(*fields)), schema).alias(ROWS))
 
 
+def unpacked(packed: DataFrame, rows: str = ROWS, dumps: str = DUMPS, name: str = "dump") -> DataFrame:
+    """Each line of each dump again: the keys, the line's columns, and its dump.
+
+    Keys without lines and lines without dumps give no row.
+    """
+    keys = [c for c in packed.columns if c != rows]
+    columns = [c for c in packed.schema[rows].dataType.elementType.names if c != dumps]
+    lines = packed.select(*[F.col(quoted(k)) for k in keys], F.explode(F.col(quoted(rows))).alias("__line"))
+    return lines.select(*[F.col(quoted(k)) for k in keys], *[F.col(f"__line.{quoted(c)}").alias(c) for c in columns], F.explode(f"__line.{quoted(dumps)}").alias(name))
+
+
 def changed_rows(packed: DataFrame) -> DataFrame:
     """Rows whose last column, an array, has more than one element."""
     return packed.where(F.size(F.col(quoted(packed.columns[-1]))) > 1)

@@ -302,11 +302,26 @@ class Grouped:
                     notes.append(located(given.all_notes(), name, sorted(given.fields)))
             else:
                 columns.append(given.alias(name))
-        totals = df.groupBy(*keys).agg(*columns) if columns else df.select(*keys).distinct()
-        single = df.select(*keys, F.explode(F.concat(*notes)).alias("n")).select(*keys, "n.*")
-        counted = single.groupBy(*keys, "message", "onField", "fromFields", "isError").agg(F.sum("count").alias("count"))
-        kinds = F.collect_list(F.struct("message", "onField", "fromFields", "isError", "count"))
-        packed = counted.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.array_sort(kinds).cast(f"array<{ANNOTATION}>").alias("__notes"))
-        on = reduce(lambda a, b: a & b, [F.col(quoted(k)).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)], F.lit(True))
-        joined = totals.join(packed, on, "left")
-        return QualityFrame(joined.select(*[F.col(quoted(c)) for c in totals.columns], F.coalesce("__notes", none()).alias(NAME)))
+        if not keys:
+            return self._whole(df, columns, notes)
+        # one pass: each row, and behind it once more for each of its notes; the
+        # rows make one group of each key, and equal notes another
+        note = F.col("__note")
+        single = df.withColumn("__note", F.explode(F.concat(F.array(F.lit(None).cast(ANNOTATION)), *notes)))
+        kind = F.when(note.isNotNull(), F.struct(*[note[c].alias(c) for c in ("message", "onField", "fromFields", "isError")])).alias("__kind")
+        placed = [c.alias(f"__a{i}") for i, c in enumerate(columns)]
+        counted = single.groupBy(*keys, kind).agg(F.sum(note["count"]).alias("__count"), *placed)
+        totals = F.struct(F.lit(True).alias("__row"), *[F.col(f"__a{i}").alias(f"__a{i}") for i in range(len(columns))])
+        found = F.struct("__kind.message", "__kind.onField", "__kind.fromFields", "__kind.isError", F.col("__count").alias("count"))
+        packed = counted.groupBy(*keys).agg(F.first(F.when(F.col("__kind").isNull(), totals), True).alias("__totals"), F.array_sort(F.collect_list(F.when(F.col("__kind").isNotNull(), found))).cast(f"array<{ANNOTATION}>").alias("__notes"))
+        return QualityFrame(packed.select(*keys, *[F.col(f"__totals.__a{i}").alias(n) for i, n in enumerate(aggregates)], F.col("__notes").alias(NAME)))
+
+    @staticmethod
+    def _whole(df: DataFrame, columns: list[Column], notes: list[Column]) -> QualityFrame:
+        """The aggregate of all rows: one, also of none."""
+        totals = df.agg(*columns)
+        single = df.select(F.explode(F.concat(*notes)).alias("n")).select("n.*")
+        counted = single.groupBy("message", "onField", "fromFields", "isError").agg(F.sum("count").alias("count"))
+        packed = counted.agg(F.array_sort(F.collect_list(F.struct("message", "onField", "fromFields", "isError", "count"))).cast(f"array<{ANNOTATION}>").alias("__notes"))
+        # one row and one row
+        return QualityFrame(totals.crossJoin(F.broadcast(packed)).withColumnRenamed("__notes", NAME))

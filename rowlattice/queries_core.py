@@ -297,9 +297,14 @@ def m7_report(spark, sf_dir):
 # -- dumps ---------------------------------------------------------------------------------
 
 
-def _dumps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    lines = table(spark, sf_dir, "dump_lines").withColumn("d", compact_date(F.col("compressdumpdt")))
-    return {d: lines.where(F.col("d") == d).select("id", "a", "b") for d in version_list(lines, "d")}
+def _dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """All lines, and the column that names their dump; lines without a readable date are in none."""
+    return table(spark, sf_dir, "dump_lines").select("id", "a", "b", compact_date(F.col("compressdumpdt")).alias("d")), "d"
+
+
+def _dumps_apart(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    lines, name = _dumps(spark, sf_dir)
+    return {d: lines.where(F.col(name) == d).drop(name) for d in version_list(lines, name)}
 
 
 _LINES = r"""WITH lines AS (SELECT id, a, b, replace(replace(regexp_extract(compressdumpdt, '(\d{4}[-/]?\d{2}[-/]?\d{2})', 1), '-', ''), '/', '') AS d FROM dump_lines),
@@ -376,8 +381,21 @@ def b25_changed_rows(spark, sf_dir):
 
 @_add("SELECT id, array_to_string(list_sort(list(DISTINCT d)), ',') AS dumps FROM (SELECT id, unnest(x.compressdumpdts) AS d FROM (SELECT id, unnest(xs) AS x FROM compressed_dumps)) GROUP BY 1")
 def c13_nested_rows(spark, sf_dir):
-    lines = table(spark, sf_dir, "compressed_dumps").select("id", F.inline("xs")).select("id", F.explode("compressdumpdts").alias("d"))
-    return lines.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("d")), ",").alias("dumps"))
+    lines = dp.unpacked(table(spark, sf_dir, "compressed_dumps"), "xs", "compressdumpdts")
+    return lines.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("dump")), ",").alias("dumps"))
+
+
+@_add(f"{_LINES} SELECT id, a, b, d AS dump FROM (SELECT DISTINCT * FROM lines)")
+def c13_unpacked_dumps(spark, sf_dir):
+    """Compacted and taken apart again: each line once in each of its dumps."""
+    return dp.unpacked(dp.compress(_dumps(spark, sf_dir), ["id"], ordered=False))
+
+
+@_add(f"{_LINES} SELECT id, a, b, dumps FROM flat")
+def g3_dumps_by_name(spark, sf_dir):
+    """Dumps given one by one, matched by the names of their columns."""
+    apart = {d: f.select(*(["b", "id", "a"] if i % 2 else ["id", "a", "b"])) for i, (d, f) in enumerate(_dumps_apart(spark, sf_dir).items())}
+    return dp.compress_flat(apart).select("id", "a", "b", F.array_join("dump_date", ",").alias("dumps"))
 
 
 # -- co-grouping and comparison ---------------------------------------------------------------
@@ -408,6 +426,12 @@ def c5_cogroup_many(spark, sf_dir):
     return grouped.select("n_nationkey", *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("nations", "customers", "suppliers")])
 
 
+@_add("""WITH k AS (SELECT n_nationkey AS k, 1 AS n, 0 AS c, 0 AS s FROM nation UNION ALL SELECT c_nationkey, 0, 1, 0 FROM customer UNION ALL SELECT s_nationkey, 0, 0, 1 FROM supplier)
+SELECT k AS n_nationkey, sum(n)::BIGINT AS nations, sum(c)::BIGINT AS customers, sum(s)::BIGINT AS suppliers FROM k GROUP BY 1""")
+def c5_group_sizes(spark, sf_dir):
+    return cg.group_sizes({"nations": (table(spark, sf_dir, "nation"), ["n_nationkey"]), "customers": (table(spark, sf_dir, "customer"), ["c_nationkey"]), "suppliers": (table(spark, sf_dir, "supplier"), ["s_nationkey"])})
+
+
 @_add("""WITH a AS (SELECT key AS k, sum(value)::DOUBLE AS x FROM left_test GROUP BY 1), b AS (SELECT key AS k, sum(value)::DOUBLE AS y FROM right_test GROUP BY 1),
 j AS (SELECT coalesce(x, 0) AS x, coalesce(y, 0) AS y, a.k IS NOT NULL OR (a.k IS NULL AND b.k IS NULL) AS l, b.k IS NOT NULL OR (a.k IS NULL AND b.k IS NULL) AS r FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k)
 SELECT 'value' AS measure, coalesce(sum(x) FILTER (l AND NOT r), 0) AS left_only, coalesce(sum(y) FILTER (r AND NOT l), 0) AS right_only, coalesce(sum(x) FILTER (l AND r), 0) AS left_common, coalesce(sum(y) FILTER (l AND r), 0) AS right_common,
@@ -839,7 +863,7 @@ def a7_writer(spark, sf_dir):
 @_add(f"{_LINES}, x AS (SELECT id, a, b, d AS dump FROM (SELECT DISTINCT * FROM lines)) SELECT id, count(*) AS n_dumps FROM x GROUP BY 1")
 def a11_compaction_program(spark, sf_dir):
     paths = []
-    for date, frame in _dumps(spark, sf_dir).items():
+    for date, frame in _dumps_apart(spark, sf_dir).items():
         paths.append(f"{scratch_path(spark)}/{date}_lines")
         frame.write.parquet(paths[-1])
     out = scratch_path(spark)
