@@ -312,6 +312,23 @@ def describe_column(df: DataFrame, column: str, exact_keys: int = kd.EXACT_KEYS)
     return out
 
 
+def estimates(df: DataFrame, column: str, enum: Enum) -> DataFrame:
+    """The frame with ``estimate``, an enum's count of each string; 0 of a null.
+
+    The enum is of bounded size and goes to all executors.
+    """
+    ship_package(df.sparkSession)
+    schema = df.drop("estimate").withColumn("estimate", F.lit(0).cast("bigint")).schema
+    place = schema.names.index(column)
+
+    def estimated(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            found = [0 if s is None or (not enum.large and s not in enum.values) else enum.estimate(s) for s in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=schema.names)
+
+    return df.drop("estimate").mapInArrow(estimated, schema)
+
+
 def sources_of(left: DataFrame, right: DataFrame) -> dict[str, list[str]]:
     """The files behind both sides, for ``summarise(sources=...)``."""
     return {"left": left.inputFiles(), "right": right.inputFiles()}
