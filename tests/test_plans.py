@@ -13,7 +13,7 @@ from rowlattice.operators import keyed_diff as kd
 from rowlattice.operators.versions import latest_lines
 from rowlattice.plans import mapping as mp
 from rowlattice.plans import quality as qa
-from rowlattice.session import maybe_broadcast, shared_dir
+from rowlattice.session import maybe_broadcast, shared_dir, spread
 
 
 def plan(df):
@@ -99,3 +99,10 @@ def test_public_functions_are_described(module):
     for name, f in inspect.getmembers(module, inspect.isfunction):
         if not name.startswith("_") and f.__module__ == module.__name__ and len(inspect.getsource(f).splitlines()) > 8:
             assert f.__doc__, name
+
+
+def test_only_small_inputs_are_dealt_out(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    small, large = spread(documents), spread(documents, least_bytes=1000)
+    assert "RoundRobinPartitioning" in plan(small) and "Exchange" not in plan(large)
+    assert small.count() == large.count() == documents.count()
