@@ -113,12 +113,14 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
 def spread(df: DataFrame, least_bytes: int = 2 << 20) -> DataFrame:
     """Deal out the rows of a small input before much work is done on each.
 
-    A small file is read by one task, whatever the work. Where the plan's
-    estimate is under ``least_bytes`` for each core, rows are shuffled to as
-    many tasks as there are cores; all larger inputs are read where they lie.
+    A small file is read by one task, whatever the work. Where the sources of
+    the frame are estimated at under ``least_bytes`` for each core, rows are
+    shuffled to as many tasks as there are cores; all larger inputs are read
+    where they lie.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * least_bytes else df
 
 
