@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowlattice.llm.text import plain
-from rowlattice.session import ship_package
+from rowlattice.session import ship_package, spread
 
 #: Labelled documents of each language that the model is fitted on.
 PER_LANGUAGE = 250
@@ -471,7 +471,7 @@ def label_languages(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     others = [c for c in model.labels if c not in spellings] if model else []
     chosen = documents.select(F.col(doc_id).alias("d"), label_code(F.col(lang), spellings, others).alias("given_lang"), F.col(text).alias("t"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    out = chosen.mapInArrow(lambda it: read_batches(it, shared.value), f"d {kinds[doc_id]}, given_lang string, {_READ}")
+    out = spread(chosen).mapInArrow(lambda it: read_batches(it, shared.value), f"d {kinds[doc_id]}, given_lang string, {_READ}")
     return out.withColumnRenamed("d", doc_id)
 
 

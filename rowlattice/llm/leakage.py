@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rowlattice.llm.text import words
-from rowlattice.session import materialize, ship_package
+from rowlattice.session import materialize, ship_package, spread
 
 #: Bytes of item texts looked for in one pass over the corpus: about 20,000
 #: items of 200 words. Their words and shingles are what is broadcast.
@@ -373,7 +373,7 @@ def leaked_items(
     spark = documents.sparkSession
     ship_package(spark)
     wanted = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    corpus = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
+    corpus = spread(documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")))
     kinds = [frame.schema[0].dataType for frame in (corpus, wanted)]
     doc_kind, item_kind = (kind.simpleString() for kind in kinds)
     item_type = to_arrow_type(kinds[1])

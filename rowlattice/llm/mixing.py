@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowlattice.session import materialize, ship_package
+from rowlattice.session import materialize, ship_package, spread
 
 #: Vocabulary of ranks; the pattern that splits texts is the usual one for it.
 VOCABULARY = os.environ.get("ROWLATTICE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -186,7 +186,7 @@ def mixture(
     cleaned = documents.select(*kept_columns).withColumn(source, clean_source(F.col(source)))
     sizes = cleaned.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), F.col(text).alias("t"))
     kinds = {f.name: f.dataType.simpleString() for f in sizes.schema.fields}
-    counted = materialize(sizes.mapInArrow(lambda it: count_tokens(it, vocabulary, pattern), f"source string, id {kinds['id']}, n_tokens bigint"))
+    counted = materialize(spread(sizes).mapInArrow(lambda it: count_tokens(it, vocabulary, pattern), f"source string, id {kinds['id']}, n_tokens bigint"))
     by_source = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("squares"))
     wanted = targets.select(clean_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap"))
     wanted = wanted.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("share").alias("share"), F.max("cap").alias("cap"))
